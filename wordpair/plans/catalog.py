@@ -118,8 +118,7 @@ def q_top_pmi_documents(spark, sf):
     return t.select("w1", "w2", "word1", "word2", "x", _r("pmi").alias("pmi"))
 
 
-def registry() -> dict[str, Query]:
-    return {
+_CORPUS_QUERIES: dict[str, Query] = {
         "vocab_documents": q_vocab_documents,
         "vocab_stats_documents": q_vocab_stats_documents,
         "tokenize_documents": q_tokenize_documents,
@@ -132,4 +131,198 @@ def registry() -> dict[str, Query]:
         "symmetric_degree_documents": q_symmetric_degree_documents,
         "pmi_documents": q_pmi_documents,
         "top_pmi_documents": q_top_pmi_documents,
-    }
+}
+
+
+# ================================================================ vectors
+# Fixture-derived inputs: B6 vectors, B7 pairs, B8 contexts, B9 questions.
+import math as _math  # noqa: E402
+
+from wordpair.operators import analogy as an  # noqa: E402
+from wordpair.operators import diagnostics as dg  # noqa: E402
+from wordpair.operators import emission as em  # noqa: E402
+from wordpair.operators import model as md  # noqa: E402
+from wordpair.plans import fixtures as fx  # noqa: E402
+from wordpair.sources.analogies import parse_analogies  # noqa: E402
+
+X_MAX = 100.0
+C0 = _math.log(X_MAX)
+LR = 0.05
+EPS = 1e-8
+TOP_K = 10
+HIST_BINS = 60
+
+
+def _long(df: DataFrame, arr: str, *more: str, digits: int = 6) -> DataFrame:
+    """(id, array[, array...]) -> (id, k, value[, ...]) with 1-based k."""
+    cols = [arr, *more]
+    z = F.arrays_zip(*[F.col(c) for c in cols])
+    e = df.select("id", F.posexplode(z).alias("k0", "e"))
+    return e.select("id", (F.col("k0") + 1).cast("int").alias("k"),
+                    *[F.round(F.col("e")[c], digits).alias(c) for c in cols])
+
+
+def q_norm_vs_frequency(spark, sf):
+    d, _ = dg.norm_vs_frequency(fx.vectors(spark, sf))
+    return d.select("id", _r("sq_norm").alias("sq_norm"), _r("log_freq").alias("log_freq"))
+
+
+def q_norm_vs_frequency_summary(spark, sf):
+    _, s = dg.norm_vs_frequency(fx.vectors(spark, sf))
+    return s.select("n", _r("correlation").alias("correlation"))
+
+
+def q_sn_loss(spark, sf):
+    s = md.sn_loss(fx.synthetic_pairs(spark, sf), fx.vectors(spark, sf), C0, X_MAX)
+    return s.select(*[_r(c, 4).alias(c) for c in ("loss", "weight", "wmse", "grad_c")])
+
+
+def q_sn_gradient(spark, sf):
+    g = md.sn_gradient(fx.synthetic_pairs(spark, sf), fx.vectors(spark, sf), C0, X_MAX)
+    return _long(g, "g", digits=5)
+
+
+def q_adagrad_step(spark, sf):
+    vec = fx.vectors(spark, sf)
+    params = vec.select("id", "v", F.transform("v", lambda x: F.lit(0.0)).alias("gacc"))
+    g = md.sn_gradient(fx.synthetic_pairs(spark, sf), vec, C0, X_MAX)
+    step = md.adagrad_step(params, g, LR, EPS)
+    # sqrt(G) = |g| after one step from zero; G itself (~1e8) is past 5-decimal precision
+    step = step.select("id", "v", F.transform("gacc", lambda a: F.sqrt(a)).alias("g_rms"))
+    return _long(step, "v", "g_rms", digits=5)
+
+
+def q_pmi_scatter(spark, sf):
+    d, _ = pm.pmi_scatter(fx.vectors(spark, sf), fx.synthetic_pairs(spark, sf), None, X_FLOOR)
+    return d.select("w1", "w2", "x", _r("pmi_emp").alias("pmi_emp"), _r("pmi_pred").alias("pmi_pred"))
+
+
+def q_pmi_scatter_summary(spark, sf):
+    _, s = pm.pmi_scatter(fx.vectors(spark, sf), fx.synthetic_pairs(spark, sf), None, X_FLOOR)
+    return s.select("n", *[_r(c).alias(c) for c in ("correlation", "slope", "intercept")])
+
+
+def _pf(spark, sf, renormalize):
+    return dg.partition_function(fx.vectors(spark, sf), fx.contexts(spark, sf),
+                                 renormalize=renormalize, id_col="t", dir_col="c")
+
+
+def q_partition_function_path(spark, sf):
+    d, _ = _pf(spark, sf, False)
+    return d.select("s", _r("z", 5).alias("z"), _r("normalised").alias("normalised"))
+
+
+def q_partition_function_path_summary(spark, sf):
+    _, s = _pf(spark, sf, False)
+    return s.select("n", _r("mean_z", 5).alias("mean_z"), _r("c_norm").alias("c_norm"),
+                    _r("std_ratio").alias("std_ratio"), _r("frac_in_band").alias("frac_in_band"))
+
+
+def q_partition_function_directions(spark, sf):
+    d, _ = _pf(spark, sf, True)
+    return d.select("s", _r("z", 5).alias("z"), _r("normalised").alias("normalised"))
+
+
+def q_partition_function_random(spark, sf):
+    d, _ = dg.partition_function(fx.vectors(spark, sf), n_samples=1000, seed=0)
+    return d.select("s", _r("z", 5).alias("z"), _r("normalised").alias("normalised"))
+
+
+def q_z_histogram(spark, sf):
+    d, _ = _pf(spark, sf, False)
+    h = dg.histogram(d, "normalised", HIST_BINS)
+    return h.select("bin", _r("lo").alias("lo"), _r("hi").alias("hi"), "count")
+
+
+def q_singular_values(spark, sf):
+    sv, _ = dg.singular_values(fx.vectors(spark, sf))
+    return sv.select("k", _r("sigma").alias("sigma"))
+
+
+def q_singular_energy(spark, sf):
+    _, s = dg.singular_values(fx.vectors(spark, sf))
+    return s.select(F.col("n_values").cast("bigint").alias("n_values"), _r("energy", 4).alias("energy"))
+
+
+def q_singular_summary(spark, sf):
+    _, s = dg.singular_values(fx.vectors(spark, sf))
+    return s.select("n_values", *[_r(c).alias(c) for c in ("rms", "min_nonzero", "ratio")])
+
+
+def q_analogy_predictions(spark, sf):
+    p = an.analogy_predictions(fx.vectors(spark, sf), fx.analogy_questions(spark, sf))
+    return p.select("qid", "pred", _r("score").alias("score"), "correct")
+
+
+def q_analogy_by_relation(spark, sf):
+    p = an.analogy_predictions(fx.vectors(spark, sf), fx.analogy_questions(spark, sf))
+    return an.accuracy_by_relation(p).select("relation", "correct", "total",
+                                             _r("accuracy").alias("accuracy"))
+
+
+def q_analogy_summary(spark, sf):
+    q = fx.analogy_questions(spark, sf)
+    p = an.analogy_predictions(fx.vectors(spark, sf), q)
+    return an.accuracy_summary(p, q).select(_r("overall").alias("overall"), "n_correct",
+                                            "n_eligible", "n_total", "n_relations")
+
+
+def q_analogy_parse(spark, sf):
+    return parse_analogies(fx.analogy_lines(spark, sf))
+
+
+def q_relation_pairs(spark, sf):
+    rp = dg.relation_pairs(fx.vectors(spark, sf), fx.analogy_questions(spark, sf))
+    return rp.select("relation", "n_pairs").distinct()
+
+
+def q_relation_directions(spark, sf):
+    r = dg.relation_directions(fx.vectors(spark, sf), fx.analogy_questions(spark, sf))
+    return r.select("relation", "n_pairs", *[_r(c).alias(c) for c in ("mean1", "std1")],
+                    _r(F.abs("mean2")).alias("abs_mean2"), _r("std2").alias("std2"))
+
+
+def q_emission_probs(spark, sf):
+    e = em.emission_probs(fx.vectors(spark, sf), fx.contexts(spark, sf), TOP_K)
+    return e.select("t", "rank", "id", _r("p", 8).alias("p"))
+
+
+def q_sample_emissions(spark, sf):
+    return em.sample_emissions(fx.vectors(spark, sf), fx.contexts(spark, sf), seed=0)
+
+
+def q_embedding_summary(spark, sf):
+    return md.embedding_summary(fx.vectors(spark, sf))
+
+
+_VECTOR_QUERIES = {
+    "norm_vs_frequency": q_norm_vs_frequency,
+    "norm_vs_frequency_summary": q_norm_vs_frequency_summary,
+    "sn_loss": q_sn_loss,
+    "sn_gradient": q_sn_gradient,
+    "adagrad_step": q_adagrad_step,
+    "pmi_scatter": q_pmi_scatter,
+    "pmi_scatter_summary": q_pmi_scatter_summary,
+    "partition_function_path": q_partition_function_path,
+    "partition_function_path_summary": q_partition_function_path_summary,
+    "partition_function_directions": q_partition_function_directions,
+    "partition_function_random": q_partition_function_random,
+    "z_histogram": q_z_histogram,
+    "singular_values": q_singular_values,
+    "singular_energy": q_singular_energy,
+    "singular_summary": q_singular_summary,
+    "analogy_predictions": q_analogy_predictions,
+    "analogy_by_relation": q_analogy_by_relation,
+    "analogy_summary": q_analogy_summary,
+    "analogy_parse": q_analogy_parse,
+    "relation_pairs": q_relation_pairs,
+    "relation_directions": q_relation_directions,
+    "emission_probs": q_emission_probs,
+    "sample_emissions": q_sample_emissions,
+    "embedding_summary": q_embedding_summary,
+}
+
+
+
+def registry() -> dict[str, Query]:
+    return {**_CORPUS_QUERIES, **_VECTOR_QUERIES}

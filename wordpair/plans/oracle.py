@@ -111,3 +111,206 @@ FROM (SELECT * FROM pmi ORDER BY pmi DESC, w1, w2 LIMIT 20) t
 JOIN vocab v1 ON v1.id = t.w1 JOIN vocab v2 ON v2.id = t.w2""",
     }
     return out
+
+
+# ================================================================ vectors
+from wordpair.plans.catalog import C0, EPS, HIST_BINS, LR, TOP_K, X_MAX  # noqa: E402
+from wordpair.plans.fixtures import LINE_STRIDE, PAIR_OFFSETS, X_MODULUS  # noqa: E402
+
+VEC = """vec AS (
+  SELECT CAST(vec_id + 1 AS INTEGER) AS id, 'w' || CAST(vec_id + 1 AS VARCHAR) AS word,
+         CAST(100000 // (vec_id + 1) + 1 AS BIGINT) AS count,
+         list_transform(embedding, lambda x: CAST(x AS DOUBLE)
+             * (CAST(1 AS DOUBLE) + CAST(vec_id % 7 AS DOUBLE) / CAST(4 AS DOUBLE))) AS v
+  FROM embeddings)"""
+
+SPAIRS = f"""pairs AS (
+  SELECT w1, w2, CAST(1 + (w1 * 7 + w2 * 13) % {X_MODULUS} AS BIGINT) AS x
+  FROM (SELECT id AS w1, CAST(id + k AS INTEGER) AS w2 FROM vec, range(1, {PAIR_OFFSETS + 1}) r(k))
+  WHERE w2 <= (SELECT max(id) FROM vec))"""
+
+CTX = """ctx AS (
+  SELECT CAST(vec_id AS BIGINT) AS t, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS c
+  FROM embeddings)"""
+
+QUEST = """quest AS (
+  SELECT * FROM (
+    SELECT CAST(vec_id AS BIGINT) AS qid, CAST(label AS VARCHAR) AS relation,
+           'w' || CAST(vec_id + 1 AS VARCHAR) AS a,
+           'w' || CAST(lead(vec_id, 1) OVER w + 1 AS VARCHAR) AS b,
+           'w' || CAST(lead(vec_id, 2) OVER w + 1 AS VARCHAR) AS c,
+           'w' || CAST(lead(vec_id, 3) OVER w + 1 AS VARCHAR) AS d
+    FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))
+  WHERE d IS NOT NULL)"""
+
+SQN = "list_sum(list_transform({v}, lambda e: e * e))"
+
+
+def _dbl(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+TERMS = f"""terms AS (
+  SELECT w1, w2, x, least(CAST(x AS DOUBLE), {_dbl(X_MAX)}) AS xbar, vs,
+         ln(CAST(x AS DOUBLE)) - {SQN.format(v='vs')} - {_dbl(C0)} AS r
+  FROM (SELECT p.w1, p.w2, p.x, list_transform(list_zip(a.v, b.v), lambda e: e[1] + e[2]) AS vs
+        FROM pairs p JOIN vec a ON a.id = p.w1 JOIN vec b ON b.id = p.w2))"""
+
+GRAD = """ends AS (
+  SELECT w1 AS id, CAST(-4 AS DOUBLE) * xbar * r AS coef, vs FROM terms
+  UNION ALL SELECT w2 AS id, CAST(-4 AS DOUBLE) * xbar * r AS coef, vs FROM terms),
+grad AS (
+  SELECT id, k, sum(g) AS g FROM (
+    SELECT id, unnest(generate_series(1, len(vs))) AS k,
+           unnest(list_transform(vs, lambda e: e * coef)) AS g FROM ends)
+  GROUP BY id, k)"""
+
+SMARG = """marg AS (
+  SELECT id, CAST(sum(x) AS BIGINT) AS row_sum
+  FROM (SELECT w1 AS id, x FROM pairs UNION ALL SELECT w2 AS id, x FROM pairs) GROUP BY id)"""
+
+SCATTER = f"""scatter AS (
+  SELECT p.w1, p.w2, p.x,
+         ln(CAST(p.x AS DOUBLE)) + ln((SELECT CAST(2 * sum(x) AS DOUBLE) FROM pairs))
+           - ln(CAST(m1.row_sum AS DOUBLE)) - ln(CAST(m2.row_sum AS DOUBLE)) AS pmi_emp,
+         list_dot_product(a.v, b.v) AS pmi_pred
+  FROM pairs p JOIN marg m1 ON m1.id = p.w1 JOIN marg m2 ON m2.id = p.w2
+       JOIN vec a ON a.id = p.w1 JOIN vec b ON b.id = p.w2
+  WHERE p.x >= {X_FLOOR})"""
+
+
+def pf_cte(renormalize: bool) -> str:
+    scale = "CAST(4 AS DOUBLE) / (SELECT avg(sqrt(" + SQN.format(v="v") + ")) FROM vec)"
+    cvec = ("list_transform(c, lambda e: e / sqrt(" + SQN.format(v="c") + ") * sc)") if renormalize \
+        else "list_transform(c, lambda e: e * sc)"
+    return f"""cs AS (SELECT t, {cvec} AS c FROM (SELECT t, c, {scale} AS sc FROM ctx)),
+zt AS (SELECT cs.t AS s, sum(exp(list_dot_product(vec.v, cs.c))) AS z FROM cs, vec GROUP BY cs.t),
+pf AS (SELECT s, z, z / (SELECT avg(z) FROM zt) AS normalised FROM zt)"""
+
+
+NORMED = """vn AS (
+  SELECT id, list_transform(v, lambda e: e / nrm) AS vn
+  FROM (SELECT id, v, sqrt(list_sum(list_transform(v, lambda e: e * e))) AS nrm FROM vec)),
+el AS (
+  SELECT q.qid, q.relation, a.id AS a_id, b.id AS b_id, c.id AS c_id, d.id AS d_id,
+         list_transform(list_zip(b.v, a.v, c.v), lambda e: e[1] - e[2] + e[3]) AS raw
+  FROM quest q JOIN vec a ON a.word = lower(q.a) JOIN vec b ON b.word = lower(q.b)
+       JOIN vec c ON c.word = lower(q.c) JOIN vec d ON d.word = lower(q.d)),
+qn AS (
+  SELECT qid, a_id, b_id, c_id, list_transform(raw, lambda e: e / nrm) AS qn
+  FROM (SELECT *, sqrt(list_sum(list_transform(raw, lambda e: e * e))) AS nrm FROM el)),
+sc AS (
+  SELECT qn.qid, vn.id, list_dot_product(vn.vn, qn.qn) AS s FROM qn, vn
+  WHERE vn.id <> qn.a_id AND vn.id <> qn.b_id AND vn.id <> qn.c_id),
+best AS (
+  SELECT qid, id AS pred, s AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rn
+    FROM sc WHERE NOT isnan(s)) WHERE rn = 1),
+pred AS (
+  SELECT el.qid, el.relation, CAST(coalesce(best.pred, 0) AS INTEGER) AS pred, best.score,
+         coalesce(best.pred, 0) = el.d_id AS correct
+  FROM el LEFT JOIN best ON best.qid = el.qid)"""
+
+LINES = f"""lines AS (
+  SELECT DISTINCT 'analogies' AS file, CAST(relation AS BIGINT) * {LINE_STRIDE} AS line_no,
+         ': ' || relation AS value FROM quest
+  UNION ALL
+  SELECT 'analogies', CAST(relation AS BIGINT) * {LINE_STRIDE} + qid + 1,
+         concat_ws(' ', a, b, c, d) FROM quest),
+stripped AS (
+  SELECT file, line_no, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS s FROM lines),
+heads AS (
+  SELECT file, line_no AS h_line, regexp_replace(substr(s, 2), '^\\s+|\\s+$', '', 'g') AS relation
+  FROM stripped WHERE s LIKE ':%'),
+qlines AS (
+  SELECT file, line_no, regexp_split_to_array(s, '\\s+') AS f
+  FROM stripped WHERE s <> '' AND NOT s LIKE ':%')"""
+
+EMIT = f"""lg AS (
+  SELECT cs.t, vec.id, list_dot_product(vec.v, cs.c) AS logit FROM cs, vec),
+nz AS (SELECT t, max(logit) AS m FROM lg GROUP BY t),
+zz AS (SELECT lg.t, sum(exp(lg.logit - nz.m)) AS z FROM lg JOIN nz ON nz.t = lg.t GROUP BY lg.t),
+probs AS (
+  SELECT lg.t, lg.id, exp(lg.logit - nz.m) / zz.z AS p,
+         row_number() OVER (PARTITION BY lg.t ORDER BY lg.logit DESC, lg.id) AS rank
+  FROM lg JOIN nz ON nz.t = lg.t JOIN zz ON zz.t = lg.t)"""
+
+
+def vector_sql() -> dict[str, str]:
+    return {
+        "norm_vs_frequency": with_(VEC) + f"""SELECT id, round({SQN.format(v='v')}, 6) AS sq_norm,
+  round(ln(CAST(count AS DOUBLE) / (SELECT CAST(sum(count) AS DOUBLE) FROM vec)), 6) AS log_freq FROM vec""",
+        "norm_vs_frequency_summary": with_(VEC) + f"""SELECT count(*) AS n,
+  round(corr({SQN.format(v='v')}, ln(CAST(count AS DOUBLE) / (SELECT CAST(sum(count) AS DOUBLE) FROM vec))), 6)
+    AS correlation FROM vec""",
+        "sn_loss": with_(VEC, SPAIRS, TERMS) + """SELECT round(sum(xbar * r * r), 4) AS loss,
+  round(sum(xbar), 4) AS weight, round(sum(xbar * r * r) / sum(xbar), 4) AS wmse,
+  round(sum(CAST(-2 AS DOUBLE) * xbar * r), 4) AS grad_c FROM terms""",
+        "sn_gradient": with_(VEC, SPAIRS, TERMS, GRAD)
+        + "SELECT id, CAST(k AS INTEGER) AS k, round(g, 5) AS g FROM grad",
+        "adagrad_step": with_(VEC, SPAIRS, TERMS, GRAD) + f"""SELECT vec.id, CAST(gk.k AS INTEGER) AS k,
+  round(CASE WHEN grad.g IS NULL THEN vec.v[gk.k]
+             ELSE vec.v[gk.k] - {_dbl(LR)} * grad.g / (sqrt(grad.g * grad.g) + {_dbl(EPS)}) END, 5) AS v,
+  round(sqrt(coalesce(grad.g * grad.g, CAST(0 AS DOUBLE))), 5) AS g_rms
+FROM vec CROSS JOIN LATERAL (SELECT unnest(generate_series(1, len(vec.v))) AS k) gk
+LEFT JOIN grad ON grad.id = vec.id AND grad.k = gk.k""",
+        "pmi_scatter": with_(VEC, SPAIRS, SMARG, SCATTER)
+        + "SELECT w1, w2, x, round(pmi_emp, 6) AS pmi_emp, round(pmi_pred, 6) AS pmi_pred FROM scatter",
+        "pmi_scatter_summary": with_(VEC, SPAIRS, SMARG, SCATTER) + """SELECT count(*) AS n,
+  round(corr(pmi_emp, pmi_pred), 6) AS correlation, round(regr_slope(pmi_emp, pmi_pred), 6) AS slope,
+  round(regr_intercept(pmi_emp, pmi_pred), 6) AS intercept FROM scatter""",
+        "partition_function_path": with_(VEC, CTX, pf_cte(False))
+        + "SELECT s, round(z, 5) AS z, round(normalised, 6) AS normalised FROM pf",
+        "partition_function_path_summary": with_(VEC, CTX, pf_cte(False)) + """SELECT count(*) AS n,
+  round(avg(z), 5) AS mean_z,
+  round(CAST(4 AS DOUBLE) / (SELECT avg(sqrt(list_sum(list_transform(v, lambda e: e * e)))) FROM vec), 6)
+    AS c_norm,
+  round(stddev_samp(normalised), 6) AS std_ratio,
+  round(avg(CASE WHEN normalised BETWEEN 0.9 AND 1.1 THEN 1.0 ELSE 0.0 END), 6) AS frac_in_band FROM pf""",
+        "partition_function_directions": with_(VEC, CTX, pf_cte(True))
+        + "SELECT s, round(z, 5) AS z, round(normalised, 6) AS normalised FROM pf",
+        "z_histogram": with_(VEC, CTX, pf_cte(False)) + f""", mm AS (
+  SELECT min(normalised) AS lo, max(normalised) AS hi FROM pf),
+hb AS (
+  SELECT CAST(CASE WHEN mm.hi > mm.lo
+                   THEN least(floor((pf.normalised - mm.lo) / ((mm.hi - mm.lo) / {HIST_BINS})) + 1, {HIST_BINS})
+                   ELSE 1 END AS INTEGER) AS bin, mm.lo, mm.hi
+  FROM pf, mm)
+SELECT bin, round(lo + (bin - 1) * ((hi - lo) / {HIST_BINS}), 6) AS lo,
+       round(lo + bin * ((hi - lo) / {HIST_BINS}), 6) AS hi, count(*) AS count
+FROM hb GROUP BY bin, lo, hi""".replace("WITH", "WITH", 1),
+        "singular_energy": with_(VEC) + f"""SELECT CAST(least(count(*), max(len(v))) AS BIGINT) AS n_values,
+  round(sum({SQN.format(v='v')}), 4) AS energy FROM vec""",
+        "analogy_predictions": with_(VEC, QUEST, NORMED)
+        + "SELECT qid, pred, round(score, 6) AS score, correct FROM pred",
+        "analogy_by_relation": with_(VEC, QUEST, NORMED) + """SELECT relation,
+  CAST(sum(CASE WHEN correct THEN 1 ELSE 0 END) AS BIGINT) AS correct, count(*) AS total,
+  round(CAST(sum(CASE WHEN correct THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS accuracy
+FROM pred GROUP BY relation""",
+        "analogy_summary": with_(VEC, QUEST, NORMED) + """SELECT
+  round(CASE WHEN count(*) > 0 THEN CAST(sum(CASE WHEN correct THEN 1 ELSE 0 END) AS DOUBLE) / count(*)
+             ELSE 0.0 END, 6) AS overall,
+  CAST(coalesce(sum(CASE WHEN correct THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_correct,
+  count(*) AS n_eligible, (SELECT count(*) FROM quest) AS n_total,
+  (SELECT count(DISTINCT relation) FROM quest) AS n_relations FROM pred""",
+        "analogy_parse": with_(QUEST, LINES) + """SELECT q.file, q.line_no,
+  coalesce((SELECT h.relation FROM heads h WHERE h.file = q.file AND h.h_line < q.line_no
+            ORDER BY h.h_line DESC LIMIT 1), '') AS relation,
+  q.f[1] AS a, q.f[2] AS b, q.f[3] AS c, q.f[4] AS d
+FROM qlines q WHERE len(q.f) = 4""",
+        "relation_pairs": with_(VEC, QUEST) + """SELECT q.relation, count(*) AS n_pairs
+FROM quest q JOIN vec a ON a.word = lower(q.a) JOIN vec b ON b.word = lower(q.b)
+GROUP BY q.relation HAVING count(*) >= 5""",
+        "emission_probs": with_(VEC, CTX, pf_cte(False), EMIT)
+        + "SELECT t, CAST(rank AS INTEGER) AS rank, id, round(p, 8) AS p FROM probs WHERE rank <= "
+        + str(TOP_K),
+        "embedding_summary": with_(VEC)
+        + "SELECT CAST(max(len(v)) AS INTEGER) AS d, count(*) AS n, CAST(NULL AS DOUBLE) AS c FROM vec",
+    }
+
+
+_corpus_sql = sql
+
+
+def sql() -> dict[str, str]:  # noqa: F811
+    return {**_corpus_sql(), **vector_sql()}
