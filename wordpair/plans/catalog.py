@@ -291,6 +291,14 @@ def q_sample_emissions(spark, sf):
     return em.sample_emissions(fx.vectors(spark, sf), fx.contexts(spark, sf), seed=0)
 
 
+def q_train_losses(spark, sf):
+    """D7 on the B7 pairs over the B6 vocabulary (rows-only check)."""
+    from wordpair.operators.train import losses_frame, train
+    vec = fx.vectors(spark, sf)
+    _, _, losses = train(fx.synthetic_pairs(spark, sf), vec, d=16, epochs=3, blocks=2, seed=0)
+    return losses_frame(spark, losses)
+
+
 def q_embedding_summary(spark, sf):
     return md.embedding_summary(fx.vectors(spark, sf))
 
@@ -320,6 +328,7 @@ _VECTOR_QUERIES = {
     "emission_probs": q_emission_probs,
     "sample_emissions": q_sample_emissions,
     "embedding_summary": q_embedding_summary,
+    "train_losses": q_train_losses,
 }
 
 
