@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordpair.operators.encode import compact_positions
+from wordpair.operators.encode import compact_positions, encode
+from wordpair.operators.pairs_arrow import PAIR_ARROW_SCHEMA, window_pairs_kernel
 from wordpair.sources.corpus import Tokens
 
 PAIR_SCHEMA = "w1 INT, w2 INT, x BIGINT"
@@ -59,8 +60,24 @@ def window_pairs(pos: DataFrame, window: int = 10, boundary: str = "sequence",
 
 def cooccurrence(tokens: Tokens, vocab: DataFrame, window: int = 10, boundary: str = "sequence",
                  block_size: int = 1024, broadcast: bool | None = None,
-                 max_size: int | None = None) -> DataFrame:
-    """Encode, compact positions, count window pairs."""
+                 max_size: int | None = None, method: str = "auto") -> DataFrame:
+    """Encode, compact positions, count window pairs.
+
+    ``method``: 'blocks' (DataFrame block/halo plan, any input), 'stream'
+    (in-task Arrow pass; needs one row per sequence and a broadcast
+    vocabulary, falls back to 'blocks' otherwise), 'auto' = 'stream' when
+    possible.
+    """
+    if window < 1:
+        raise ValueError("window must be >= 1")
+    if method not in ("auto", "blocks", "stream"):
+        raise ValueError("method must be 'auto', 'blocks' or 'stream'")
+    if method != "blocks" and tokens.rowwise and boundary == "sequence":
+        enc, was_broadcast = encode(tokens, vocab, broadcast, max_size)
+        if was_broadcast:
+            pairs = enc.select("seq_id", "id").mapInArrow(
+                window_pairs_kernel(window, True), PAIR_ARROW_SCHEMA)
+            return pairs.groupBy("w1", "w2").agg(F.sum("x").cast("bigint").alias("x"))
     pos = compact_positions(tokens, vocab, boundary, broadcast, max_size)
     return window_pairs(pos, window, boundary, block_size)
 

@@ -75,6 +75,13 @@ def q_cooccurrence_documents(spark, sf):
     return doc_pairs(spark, sf)[0]
 
 
+def q_cooccurrence_documents_blocks(spark, sf):
+    """The same counts through the pure DataFrame block/halo plan."""
+    toks = doc_tokens(spark, sf)
+    vocab = build_vocabulary(toks, MIN_COUNT, MAX_SIZE)
+    return co.cooccurrence(toks, vocab, WINDOW, max_size=MAX_SIZE, method="blocks")
+
+
 def q_cooccurrence_stream(spark, sf):
     return doc_pairs(spark, sf, "stream")[0]
 
@@ -123,6 +130,7 @@ _CORPUS_QUERIES: dict[str, Query] = {
         "vocab_stats_documents": q_vocab_stats_documents,
         "tokenize_documents": q_tokenize_documents,
         "cooccurrence_documents": q_cooccurrence_documents,
+        "cooccurrence_documents_blocks": q_cooccurrence_documents_blocks,
         "cooccurrence_stream": q_cooccurrence_stream,
         "cooccurrence_conversations": q_cooccurrence_conversations,
         "cooccurrence_events": q_cooccurrence_events,

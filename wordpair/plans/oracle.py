@@ -83,6 +83,7 @@ def sql() -> dict[str, str]:
         "tokenize_documents": with_(DOC_TOKS, DOC_VOCAB, DOC_ENC)
         + "SELECT seq_id, CAST(p AS INTEGER) AS pos, id FROM enc",
         "cooccurrence_documents": base + "SELECT w1, w2, x FROM pairs",
+        "cooccurrence_documents_blocks": base + "SELECT w1, w2, x FROM pairs",
         "cooccurrence_stream": with_(DOC_TOKS, DOC_VOCAB,
                                      enc_cte("enc", "doc_toks", "vocab", "t.pos", stream=True),
                                      pairs_cte("pairs", "enc", WINDOW, stream=True))

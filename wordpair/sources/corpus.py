@@ -26,6 +26,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has cores.
+
+    A file with one row group is one scan task; splitting its rows into
+    tokens is the expensive part, so rows are dealt out first.  On a large
+    input (many splits) this is a no-op: nothing is shuffled.  Spark sorts
+    before a round-robin repartition, so a retried task gets the same rows.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def split_tokens(text, pattern: str = " ") -> Column:
     """Split on the space character only and drop empty tokens.
 
@@ -39,7 +53,7 @@ def split_tokens(text, pattern: str = " ") -> Column:
 def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     pattern: str = " ") -> Tokens:
     """One sequence per document row; ``pos`` is the 0-based token index."""
-    df = docs.select(F.col(id_col).cast("bigint").alias("seq_id"),
+    df = spread(docs).select(F.col(id_col).cast("bigint").alias("seq_id"),
                      F.posexplode(split_tokens(text_col, pattern)).alias("pos", "token"))
     return Tokens(df, ("pos",), rowwise=True)
 
@@ -51,7 +65,7 @@ def conversation_tokens(conv: DataFrame, pattern: str = " ") -> Tokens:
     concatenation of the per-turn token lists, so no per-conversation string
     is ever built (a long conversation never lands in one row).
     """
-    df = conv.select(F.col("conv_id").cast("bigint").alias("seq_id"),
+    df = spread(conv).select(F.col("conv_id").cast("bigint").alias("seq_id"),
                      F.col("turn").cast("bigint").alias("turn"),
                      F.posexplode(split_tokens("text", pattern)).alias("pos", "token"))
     return Tokens(df, ("turn", "pos"))
