@@ -21,15 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordpair.operators.encode import compact_positions, encode
-from wordpair.operators.pairs_arrow import PAIR_ARROW_SCHEMA, window_pairs_kernel
+from wordpair.operators.pairs_arrow import (PAIR_ARROW_SCHEMA, block_pairs_kernel,
+                                            window_pairs_kernel)
 from wordpair.sources.corpus import Tokens
 
 PAIR_SCHEMA = "w1 INT, w2 INT, x BIGINT"
 
 
 def window_pairs(pos: DataFrame, window: int = 10, boundary: str = "sequence",
-                 block_size: int = 1024) -> DataFrame:
-    """``(w1 INT, w2 INT, x BIGINT)``, w1 < w2, from ``(seq_id, gp, id)``."""
+                 block_size: int = 1024, engine: str = "arrow") -> DataFrame:
+    """``(w1 INT, w2 INT, x BIGINT)``, w1 < w2, from ``(seq_id, gp, id)``.
+
+    ``engine='sql'``: collect + slice + explode per block (all built-ins);
+    ``engine='arrow'``: the same block groups counted by a vectorised numpy
+    pass per group (``applyInArrow``), pre-aggregated before the shuffle.
+    """
     if window < 1:
         raise ValueError("window must be >= 1")
     if block_size < window or block_size & (block_size - 1):
@@ -40,6 +46,11 @@ def window_pairs(pos: DataFrame, window: int = 10, boundary: str = "sequence",
     blk = F.shiftright(gp, shift)
     keys = (F.when(gp.bitwiseAND(F.lit(mask)) < window, F.array(blk, blk - 1))
              .otherwise(F.array(blk)))
+    if engine == "arrow":
+        rows = pos.select(F.explode(keys).alias("blk"), gp.alias("gp"), "seq_id", "id")
+        parts = rows.groupBy("blk").applyInArrow(
+            block_pairs_kernel(window, shift, boundary == "sequence"), PAIR_ARROW_SCHEMA)
+        return parts.groupBy("w1", "w2").agg(F.sum("x").cast("bigint").alias("x"))
     t = pos.select(F.explode(keys).alias("blk"),
                    F.struct(gp.alias("gp"), F.col("seq_id").alias("seq_id"),
                             F.col("id").alias("id")).alias("t"))
@@ -60,7 +71,8 @@ def window_pairs(pos: DataFrame, window: int = 10, boundary: str = "sequence",
 
 def cooccurrence(tokens: Tokens, vocab: DataFrame, window: int = 10, boundary: str = "sequence",
                  block_size: int = 1024, broadcast: bool | None = None,
-                 max_size: int | None = None, method: str = "auto") -> DataFrame:
+                 max_size: int | None = None, method: str = "auto",
+                 engine: str = "arrow") -> DataFrame:
     """Encode, compact positions, count window pairs.
 
     ``method``: 'blocks' (DataFrame block/halo plan, any input), 'stream'
@@ -79,7 +91,7 @@ def cooccurrence(tokens: Tokens, vocab: DataFrame, window: int = 10, boundary: s
                 window_pairs_kernel(window, True), PAIR_ARROW_SCHEMA)
             return pairs.groupBy("w1", "w2").agg(F.sum("x").cast("bigint").alias("x"))
     pos = compact_positions(tokens, vocab, boundary, broadcast, max_size)
-    return window_pairs(pos, window, boundary, block_size)
+    return window_pairs(pos, window, boundary, block_size, engine)
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:

@@ -70,3 +70,36 @@ def window_pairs_kernel(window: int, same_sequence: bool = True):
         if out is not None:
             yield out
     return f
+
+
+def block_pairs_kernel(window: int, shift: int, same_sequence: bool = True):
+    """applyInArrow function for one block group of ``(blk, gp, seq_id, id)``
+    rows (owned tokens plus the right halo): pairs whose left token is owned
+    by the block and whose distance in gp is at most ``window``."""
+    out_schema = pa.schema([("w1", pa.int32()), ("w2", pa.int32()), ("x", pa.int64())])
+
+    def f(t: pa.Table) -> pa.Table:
+        if t.num_rows == 0:
+            return out_schema.empty_table()
+        blk = int(t.column("blk")[0].as_py())
+        gp = t.column("gp").to_numpy()
+        order = np.argsort(gp, kind="stable")
+        gp = gp[order]
+        s = t.column("seq_id").to_numpy()[order]
+        ids = t.column("id").to_numpy().astype(np.int64)[order]
+        owned = (gp >> shift) == blk
+        n = len(ids)
+        keys = []
+        for k in range(1, window + 1):
+            if k >= n:
+                break
+            a, z = ids[:n - k], ids[k:]
+            ok = owned[:n - k] & (gp[k:] - gp[:n - k] <= window) & (a != z)
+            if same_sequence:
+                ok &= s[:n - k] == s[k:]
+            a, z = a[ok], z[ok]
+            keys.append((np.minimum(a, z).astype(np.uint64) << np.uint64(32))
+                        | np.maximum(a, z).astype(np.uint64))
+        b = _count(keys)
+        return pa.Table.from_batches([b]) if b is not None else out_schema.empty_table()
+    return f

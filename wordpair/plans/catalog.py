@@ -51,9 +51,13 @@ def doc_vocab(spark, sf):
 
 
 def doc_pairs(spark, sf, boundary="sequence"):
+    """Pairs of the documents corpus; persisted because PMI reads them three
+    times (marginals, total, main join)."""
+    from pyspark import StorageLevel
     toks = doc_tokens(spark, sf)
     vocab = build_vocabulary(toks, MIN_COUNT, MAX_SIZE)
-    return co.cooccurrence(toks, vocab, WINDOW, boundary, max_size=MAX_SIZE), vocab
+    pairs = co.cooccurrence(toks, vocab, WINDOW, boundary, max_size=MAX_SIZE)
+    return pairs.persist(StorageLevel.MEMORY_AND_DISK), vocab
 
 
 # ---------------------------------------------------------------- queries
@@ -79,7 +83,7 @@ def q_cooccurrence_documents_blocks(spark, sf):
     """The same counts through the pure DataFrame block/halo plan."""
     toks = doc_tokens(spark, sf)
     vocab = build_vocabulary(toks, MIN_COUNT, MAX_SIZE)
-    return co.cooccurrence(toks, vocab, WINDOW, max_size=MAX_SIZE, method="blocks")
+    return co.cooccurrence(toks, vocab, WINDOW, max_size=MAX_SIZE, method="blocks", engine="sql")
 
 
 def q_cooccurrence_stream(spark, sf):
