@@ -72,6 +72,18 @@ def partition_function(vectors: DataFrame, directions: DataFrame | None = None,
     return detail, summary
 
 
+def norm_deviation(contexts: DataFrame, c_col: str = "c") -> DataFrame:
+    """``(n, max_dev)`` with max_dev = max |‖c‖ - 1| over a context
+    table (the reference asserts < 1e-10 for its unit-sphere path)."""
+    return contexts.agg(F.count(F.lit(1)).alias("n"),
+                        F.max(F.abs(norm(c_col) - F.lit(1.0))).alias("max_dev"))
+
+
+def extent(df: DataFrame, col: str) -> DataFrame:
+    """``(lo, hi)`` of a column."""
+    return df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
+
+
 def histogram(df: DataFrame, col: str, bins: int = 60) -> DataFrame:
     """``(bin, lo, hi, count)`` over [min, max] in ``bins`` equal bins;
     the maximum falls in the last bin."""

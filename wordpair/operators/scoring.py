@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,9 @@ def grid(vectors: DataFrame, queries: DataFrame, qid: str = "qid",
          rows_per_block: int = ROWS_PER_BLOCK, query_chunk: int = QUERY_CHUNK):
     """Assign (vb, qb) cells and replicate both sides over the grid."""
     spark = vectors.sparkSession
+    # both sides are read twice (count, then the grid): keep them
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
     n = vectors.count()
     s = queries.count()
     par = spark.sparkContext.defaultParallelism

@@ -311,6 +311,17 @@ def q_train_losses(spark, sf):
     return losses_frame(spark, losses)
 
 
+def q_context_norm_deviation(spark, sf):
+    d = dg.norm_deviation(fx.contexts(spark, sf))
+    return d.select("n", _r("max_dev", 10).alias("max_dev"))
+
+
+def q_pmi_extent(spark, sf):
+    d, _ = pm.pmi_scatter(fx.vectors(spark, sf), fx.synthetic_pairs(spark, sf), None, X_FLOOR)
+    e = dg.extent(d, "pmi_pred")
+    return e.select(_r("lo").alias("lo"), _r("hi").alias("hi"))
+
+
 def q_embedding_summary(spark, sf):
     return md.embedding_summary(fx.vectors(spark, sf))
 
@@ -340,6 +351,8 @@ _VECTOR_QUERIES = {
     "emission_probs": q_emission_probs,
     "sample_emissions": q_sample_emissions,
     "embedding_summary": q_embedding_summary,
+    "context_norm_deviation": q_context_norm_deviation,
+    "pmi_extent": q_pmi_extent,
     "train_losses": q_train_losses,
 }
 

@@ -305,6 +305,10 @@ GROUP BY q.relation HAVING count(*) >= 5""",
         "emission_probs": with_(VEC, CTX, pf_cte(False), EMIT)
         + "SELECT t, CAST(rank AS INTEGER) AS rank, id, round(p, 8) AS p FROM probs WHERE rank <= "
         + str(TOP_K),
+        "context_norm_deviation": with_(CTX) + f"""SELECT count(*) AS n,
+  round(max(abs(sqrt({SQN.format(v='c')}) - CAST(1 AS DOUBLE))), 10) AS max_dev FROM ctx""",
+        "pmi_extent": with_(VEC, SPAIRS, SMARG, SCATTER)
+        + "SELECT round(min(pmi_pred), 6) AS lo, round(max(pmi_pred), 6) AS hi FROM scatter",
         "embedding_summary": with_(VEC)
         + "SELECT CAST(max(len(v)) AS INTEGER) AS d, count(*) AS n, CAST(NULL AS DOUBLE) AS c FROM vec",
     }
