@@ -103,3 +103,103 @@ def block_pairs_kernel(window: int, shift: int, same_sequence: bool = True):
         b = _count(keys)
         return pa.Table.from_batches([b]) if b is not None else out_schema.empty_table()
     return f
+
+
+SORTED_OUT_SCHEMA = "kind int, pid int, idx long, seq_id long, w1 int, w2 int, x long"
+_SORTED_OUT = pa.schema([("kind", pa.int32()), ("pid", pa.int32()), ("idx", pa.int64()),
+                         ("seq_id", pa.int64()), ("w1", pa.int32()), ("w2", pa.int32()),
+                         ("x", pa.int64())])
+
+
+def _sorted_rows(kind, pid, idx, seq, w1, w2, x) -> pa.RecordBatch:
+    n = len(w1)
+    return pa.RecordBatch.from_pydict({
+        "kind": pa.array(np.full(n, kind, np.int32)), "pid": pa.array(np.full(n, pid, np.int32)),
+        "idx": pa.array(np.asarray(idx, np.int64)), "seq_id": pa.array(np.asarray(seq, np.int64)),
+        "w1": pa.array(np.asarray(w1, np.int32)), "w2": pa.array(np.asarray(w2, np.int32)),
+        "x": pa.array(np.asarray(x, np.int64))}, schema=_SORTED_OUT)
+
+
+def sorted_partition_kernel(window: int, same_sequence: bool, window_pairs: bool = True):
+    """mapInArrow over a range-sorted token stream ``(seq_id, id)``.
+
+    Emits kind 0: partial pair counts inside the partition (only when
+    ``window_pairs``); kind 1: the
+    first and last ``window`` tokens with their index in the partition
+    (w1 = id); kind 2: the partition's token count (idx).  Kinds 1 and 2
+    are at most 2 window + 1 rows per partition.
+    """
+    inner = window_pairs_kernel(window, same_sequence) if window_pairs else None
+
+    def f(batches):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        head_s, head_i = [], []
+        tail_s = np.zeros(0, np.int64)
+        tail_i = np.zeros(0, np.int64)
+        total = 0
+
+        def tap(bs):
+            nonlocal tail_s, tail_i, total
+            for b in bs:
+                if b.num_rows == 0:
+                    continue
+                s = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                i = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                need = window - sum(len(h) for h in head_i)
+                if need > 0:
+                    head_s.append(s[:need])
+                    head_i.append(i[:need])
+                tail_s = np.concatenate([tail_s, s])[-window:]
+                tail_i = np.concatenate([tail_i, i])[-window:]
+                total += len(i)
+                yield b
+
+        if inner is None:
+            for _ in tap(batches):
+                pass
+        else:
+            for out in inner(tap(batches)):
+                n = out.num_rows
+                yield _sorted_rows(0, pid, np.zeros(n), np.zeros(n), out.column(0).to_numpy(),
+                                   out.column(1).to_numpy(), out.column(2).to_numpy())
+        if total == 0:
+            return
+        hs = np.concatenate(head_s)
+        hi = np.concatenate(head_i)
+        h_idx = np.arange(len(hi))
+        t_idx = np.arange(total - len(tail_i), total)
+        keep = t_idx >= len(hi)                      # do not repeat head tokens
+        idx = np.concatenate([h_idx, t_idx[keep]])
+        yield _sorted_rows(1, pid, idx, np.concatenate([hs, tail_s[keep]]),
+                           np.concatenate([hi, tail_i[keep]]), np.zeros(len(idx)), np.zeros(len(idx)))
+        yield _sorted_rows(2, pid, [total], [0], [0], [0], [0])
+    return f
+
+
+def boundary_pairs_kernel(window: int, same_sequence: bool):
+    """applyInArrow over all boundary tokens ``(pid, gpos, seq_id, id)``:
+    pairs within ``window`` whose two tokens sit in different partitions."""
+    out = pa.schema([("w1", pa.int32()), ("w2", pa.int32()), ("x", pa.int64())])
+
+    def f(t: pa.Table) -> pa.Table:
+        if t.num_rows == 0:
+            return out.empty_table()
+        g = t.column("gpos").to_numpy()
+        o = np.argsort(g, kind="stable")
+        g = g[o]
+        p = t.column("pid").to_numpy()[o]
+        s = t.column("seq_id").to_numpy()[o]
+        ids = t.column("w1").to_numpy().astype(np.int64)[o]
+        n = len(g)
+        keys = []
+        for k in range(1, min(window, n - 1) + 1):
+            ok = (p[:n - k] != p[k:]) & (g[k:] - g[:n - k] <= window) & (ids[:n - k] != ids[k:])
+            if same_sequence:
+                ok &= s[:n - k] == s[k:]
+            a, z = ids[:n - k][ok], ids[k:][ok]
+            keys.append((np.minimum(a, z).astype(np.uint64) << np.uint64(32))
+                        | np.maximum(a, z).astype(np.uint64))
+        b = _count(keys)
+        return pa.Table.from_batches([b]) if b is not None else out.empty_table()
+    return f
