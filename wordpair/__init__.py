@@ -10,6 +10,14 @@ Layout
 ``streaming``   incremental pair counts over a stream of new sequences
 """
 
-from wordpair.session import get_session, ensure_checkpoint_dir
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Ship the in-task kernels by value: Python workers then need no copy of
+# this package on their path (no --py-files step for local or cluster runs).
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from wordpair.session import get_session, ensure_checkpoint_dir  # noqa: E402
 
 __all__ = ["get_session", "ensure_checkpoint_dir"]
