@@ -1,11 +1,11 @@
-"""Analogy file parsing (A8) and evaluation on the 6-word toy."""
+"""Analogy file parsing and evaluation on small hand-made vocabularies."""
 
-import numpy as np
-
-from wordpair.operators.analogy import evaluate_analogies
+from wordpair.operators.analogy import analogy_topk, evaluate_analogies
 from wordpair.sources.analogies import parse_analogies, read_analogy_lines
 
-TOY = {"a": [1e-6, 0, 0], "b": [1, 0, 0], "c": [0, 1, 0], "d": [1, 1, 0], "e": [0, 0, 1], "f": [1, -1, 0]}
+# boat - sail + wheel points along cart; the others point elsewhere
+TOY = {"sail": [0, 2, 1, 0], "boat": [0, 2, 1, 3], "wheel": [1, -1, 2, 0], "cart": [2, -2, 4, 6],
+       "fog": [-3, 0, 0, -1], "hill": [0, 0, -2, 1], "lamp": [1, 5, 0, 0]}
 
 
 def _vectors(spark, vecs):
@@ -20,12 +20,20 @@ def _questions(spark, rows):
 
 def test_parse_file(spark, tmp_path):
     p = tmp_path / "q.txt"
-    p.write_text(": capital-common-countries\nAthens Greece Baghdad Iraq\n"
-                 "Athens Greece Bangkok Thailand\n\n: currency\nAlgeria dinar Argentina peso\n")
+    p.write_text(": young\ncow calf hen chick\n\ncow calf pig piglet\n: tool\n\nsaw wood axe log\n")
     rows = parse_analogies(read_analogy_lines(spark, str(p))).orderBy("line_no").collect()
-    assert len(rows) == 3
-    assert rows[0].relation == "capital-common-countries" and (rows[0].a, rows[0].b) == ("Athens", "Greece")
-    assert rows[2].relation == "currency"
+    assert [(r.relation, r.a, r.d) for r in rows] == \
+        [("young", "cow", "chick"), ("young", "cow", "piglet"), ("tool", "saw", "log")]
+
+
+def test_headers_carry_over_partitions(spark):
+    lines = [("f", 0, "p q r s")] + [("f", 10 * k, f": rel{k}") for k in range(1, 4)]
+    lines += [("f", 10 * k + j, f"a{j} b c d") for k in range(1, 4) for j in range(1, 10)]
+    lines += [("g", j, "a b c d") for j in range(5)]
+    df = spark.createDataFrame(lines, "file string, line_no long, value string").repartition(7)
+    got = {(r.file, r.line_no): r.relation for r in parse_analogies(df).collect()}
+    assert got == {(f, n): ("" if f == "g" or n == 0 else f"rel{n // 10}")
+                   for f, n, v in lines if not v.startswith(":")}
 
 
 def test_parse_edge_lines(spark):
@@ -38,19 +46,23 @@ def test_parse_edge_lines(spark):
 
 
 def test_toy_analogy_found(spark):
-    pred, by_rel, summary = evaluate_analogies(_vectors(spark, TOY), _questions(spark, [("rel", "a", "b", "c", "d")]),
+    pred, by_rel, summary = evaluate_analogies(_vectors(spark, TOY), _questions(spark, [("move", "sail", "boat", "wheel", "cart")]),
                                                lowercase=False)
     s = summary.first()
     assert (s.n_eligible, s.overall, s.n_total) == (1, 1.0, 1)
     assert pred.first().pred == 4
-    assert [(r.relation, r.correct, r.total) for r in by_rel.collect()] == [("rel", 1, 1)]
+    assert [(r.relation, r.correct, r.total) for r in by_rel.collect()] == [("move", 1, 1)]
+    top = analogy_topk(_vectors(spark, TOY), _questions(spark, [("move", "sail", "boat", "wheel", "cart")]), 3)
+    rows = sorted((r.rank, r.id) for r in top.collect())
+    assert rows[0] == (1, 4) and len(rows) == 3 and not {1, 2, 3} & {i for _, i in rows}
 
 
 def test_nan_never_wins_ties_lowest_id_and_no_candidate(spark):
     vecs = dict(TOY)
-    vecs["z"] = [0.0, 0.0, 0.0]          # zero vector: NaN cosine, must lose
-    vecs["d2"] = [1, 1, 0]               # duplicate of d: tie goes to the lower id (d)
-    qs = [("rel", "a", "b", "c", "d"), ("rel", "A", "B", "C", "D"), ("x", "a", "b", "missing", "d")]
+    vecs["void"] = [0.0] * 4             # zero vector: NaN cosine, must lose
+    vecs["wagon"] = [2, -2, 4, 6]        # equal to cart: the tie goes to the lower id
+    qs = [("move", "sail", "boat", "wheel", "cart"), ("move", "SAIL", "Boat", "wheeL", "CART"),
+          ("x", "sail", "boat", "raft", "cart")]
     pred, _, summary = evaluate_analogies(_vectors(spark, vecs), _questions(spark, qs), lowercase=True)
     got = {r.qid: r.pred for r in pred.collect()}
     assert got == {0: 4, 1: 4}
@@ -59,8 +71,8 @@ def test_nan_never_wins_ties_lowest_id_and_no_candidate(spark):
 
 
 def test_three_word_vocabulary_has_no_candidate(spark):
-    vecs = {"a": [1, 0], "b": [0, 1], "c": [1, 1]}
-    pred, _, summary = evaluate_analogies(_vectors(spark, vecs), _questions(spark, [("r", "a", "b", "c", "c")]))
+    vecs = {"x": [3, 1], "y": [-1, 2], "u": [1, 4]}
+    pred, _, summary = evaluate_analogies(_vectors(spark, vecs), _questions(spark, [("r", "x", "y", "u", "u")]))
     r = pred.first()
     assert r.pred == 0 and not r.correct
     assert summary.first().overall == 0.0

@@ -1,8 +1,10 @@
 """Staged pipeline resume and incremental (streaming) pair counts."""
 
 import os
+import shutil
+from dataclasses import replace
 
-from pyspark.sql import functions as F
+import pytest
 
 from wordpair.operators.cooccur import cooccurrence
 from wordpair.operators.train import TrainingConfig
@@ -14,22 +16,59 @@ from wordpair.streaming import latest_pairs, start_incremental_pairs
 from conftest import SF0001
 
 
-def test_pipeline_runs_and_skips(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+CFG = PipelineConfig(training=TrainingConfig(d=8, epochs=1, blocks=2), z_samples=20, pmi_samples=100)
+
+
+def times(out):
+    return {d: os.path.getmtime(f"{out}/{d}/_SUCCESS") for d in os.listdir(out)}
+
+
+def test_pipeline_runs_skips_and_rebuilds(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").limit(40)
     toks = document_tokens(docs)
-    cfg = PipelineConfig(training=TrainingConfig(d=8, epochs=1, blocks=2), z_samples=20, pmi_samples=100)
+    vocab = {r.word for r in build_vocabulary(toks, 5).collect()}
+    w = sorted(vocab)[:8]
+    q = spark.createDataFrame([(i, "r", w[i % 8], w[(i + 1) % 8], w[(i + 2) % 8], w[(i + 3) % 8]) for i in range(8)],
+                              "qid long, relation string, a string, b string, c string, d string")
+    ctx = spark.createDataFrame([(0, [1.0] + [0.0] * 7), (1, [0.0] * 7 + [1.0])], "t long, c array<double>")
     out = str(tmp_path / "run")
-    res = run_pipeline(spark, toks, out, cfg)
-    assert res["vocab"].count() > 0 and res["pairs"].count() > 0
-    assert res["losses"].count() == 1 and res["d3_singular"].count() == 8
-    mtime = os.path.getmtime(out + "/vocab/_SUCCESS")
-    run_pipeline(spark, toks, out, cfg)
-    assert os.path.getmtime(out + "/vocab/_SUCCESS") == mtime   # skipped
+    res = run_pipeline(spark, toks, out, CFG, q, ctx)
+    assert res["vocab"].count() == len(vocab) and res["losses"].count() == 1 and res["d3_singular"].count() == 8
+    full = cooccurrence(toks, res["vocab"], 10)
+    assert res["pairs"].select("w1", "w2", "x").exceptAll(full).count() == 0
+    assert res["pairs"].count() == full.count()
+    for name in ("d1_summary", "d2_summary", "d3_summary", "d4_summary", "d5_summary", "d8_summary"):
+        assert res[name].count() == 1
+    assert res["d5_by_relation"].first().total == 8 and res["d6_relations"].count() == 1
+    assert res["d9_samples"].count() == 2 and res["d10_probs"].count() == 20
+    assert res["model"].first().d == 8 and res["model"].schema["lr"].dataType.simpleString() == "double"
+
+    before = times(out)
+    run_pipeline(spark, toks, out, CFG, q, ctx)
+    assert times(out) == before                                   # all skipped
+    # broken off between vectors and losses: the three of one fit come again, and what follows
+    shutil.rmtree(f"{out}/losses")
+    run_pipeline(spark, toks, out, CFG, q, ctx)
+    after = times(out)
+    assert after["pairs"] == before["pairs"] and after["vectors"] > before["vectors"]
+    assert after["d1_partition"] > before["d1_partition"]
+    # another window: pairs and all after them, not the vocabulary
+    run_pipeline(spark, toks, out, replace(CFG, window=3), q, ctx)
+    last = times(out)
+    assert last["vocab"] == before["vocab"] and last["pairs"] > after["pairs"] and last["d2_norms"] > after["d2_norms"]
+
+
+def test_missing_analogies(spark, tmp_path, caplog):
+    toks = document_tokens(spark.read.parquet(f"{SF0001}/documents.parquet").limit(5))
+    with pytest.raises(FileNotFoundError):
+        run_pipeline(spark, toks, str(tmp_path / "x"), CFG, need_analogies=True)
+    res = run_pipeline(spark, toks, str(tmp_path / "y"), CFG)
+    assert "d5_predictions" not in res and "are skipped" in caplog.text
 
 
 def test_incremental_pairs_equal_batch(spark, tmp_path):
     docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text")
-    vocab = build_vocabulary(document_tokens(docs), 5, 50_000).checkpoint()
+    vocab = build_vocabulary(document_tokens(docs), 5).checkpoint()
     src = tmp_path / "src"
     docs.where("doc_id % 2 = 0").write.parquet(str(src / "a"))
     q = start_incremental_pairs(spark, str(src / "*"), "doc_id long, text string", vocab,

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordpair.functions.vec import normalize, vadd, vsub
-from wordpair.operators.scoring import argmax_kernel, run_grid
+from wordpair.operators.scoring import argmax_kernel, run_grid, topk_kernel
 
 
 def eligible_questions(vectors: DataFrame, questions: DataFrame, lowercase: bool = True) -> DataFrame:
@@ -45,6 +45,32 @@ def analogy_predictions(vectors: DataFrame, questions: DataFrame, lowercase: boo
                       (F.coalesce("pred", F.lit(0)) == F.col("d_id")).alias("correct"))
 
 
+def analogy_topk(vectors: DataFrame, questions: DataFrame, k: int = 5,
+                 lowercase: bool = True) -> DataFrame:
+    """T3 in general form: ``(qid, rank, id, score)``, the k words of highest cosine
+    per eligible question, the question's own a, b, c excluded; NaN never ranks,
+    ties go to the lowest id.  At most k rows per question and word block are
+    shuffled."""
+    el = eligible_questions(vectors, questions, lowercase)
+    v = vectors.select("id", "v")
+    va = v.select(F.col("id").alias("a_id"), F.col("v").alias("va"))
+    vb = v.select(F.col("id").alias("b_id"), F.col("v").alias("vb"))
+    vc = v.select(F.col("id").alias("c_id"), F.col("v").alias("vc"))
+    qv = (el.join(va, "a_id").join(vb, "b_id").join(vc, "c_id")
+            .select("qid", "a_id", "b_id", "c_id",
+                    normalize(vadd(vsub("vb", "va"), "vc")).alias("qn")))
+    vn = vectors.select("id", normalize("v").alias("vn"))
+    best = run_grid(vn, qv, topk_kernel(k), "qid long, id int, score double")
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id").asc())
+    return (best.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+                .select("qid", "rank", "id", "score"))
+
+
+def accuracy_report(by_relation: DataFrame) -> DataFrame:
+    """The by-relation table in order of the relation's name."""
+    return by_relation.orderBy("relation")
+
+
 def accuracy_by_relation(pred: DataFrame) -> DataFrame:
     """``(relation, correct, total, accuracy)`` over eligible questions."""
     return (pred.groupBy("relation")

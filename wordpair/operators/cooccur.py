@@ -24,6 +24,7 @@ from wordpair.operators.encode import compact_positions, encode
 from wordpair.operators.pairs_arrow import (PAIR_ARROW_SCHEMA, SORTED_OUT_SCHEMA,
                                             block_pairs_kernel, boundary_pairs_kernel,
                                             sorted_partition_kernel, window_pairs_kernel)
+from wordpair.session import materialize
 from wordpair.sources.corpus import Tokens
 
 PAIR_SCHEMA = "w1 INT, w2 INT, x BIGINT"
@@ -71,61 +72,66 @@ def window_pairs(pos: DataFrame, window: int = 10, boundary: str = "sequence",
 
 
 def cooccurrence(tokens: Tokens, vocab: DataFrame, window: int = 10, boundary: str = "sequence",
-                 block_size: int = 1024, broadcast: bool | None = None,
-                 max_size: int | None = None, method: str = "auto",
+                 block_size: int = 1024, broadcast: bool | None = None, method: str = "auto",
                  engine: str = "arrow") -> DataFrame:
-    """Encode, compact positions, count window pairs.
-
-    ``method``: 'auto'/'stream': one row per sequence with a broadcast
-    vocabulary is counted in the scan tasks with no shuffle; anything else
-    (multi-row sequences, ``boundary='stream'``) uses 'blocks' (global
-    positions + bounded block/halo groups).  'sorted' is the alternative
-    plan of ``sorted_stream_pairs`` (one range sort, in-partition pass,
-    boundary stitching); on the test data it measured slower than 'blocks'.
+    """Encode, then count window pairs.
+
+    ``method``: 'scan' counts in the scan tasks with no token shuffle (one row
+    per sequence and a broadcast vocabulary, else an error); 'sorted' sorts the
+    encoded stream once and counts in one pass (``sorted_stream_pairs``);
+    'blocks' makes bounded block/halo groups of global positions; 'auto' is
+    'scan' where it applies and 'sorted' elsewhere.
     """
     if window < 1:
         raise ValueError("window must be >= 1")
-    if method not in ("auto", "blocks", "stream", "sorted"):
-        raise ValueError("method must be 'auto', 'blocks', 'stream' or 'sorted'")
-    if method in ("auto", "stream") and tokens.rowwise and boundary == "sequence":
-        enc, was_broadcast = encode(tokens, vocab, broadcast, max_size)
-        if was_broadcast:
-            pairs = enc.select("seq_id", "id").mapInArrow(
-                window_pairs_kernel(window, True), PAIR_ARROW_SCHEMA)
-            return pairs.groupBy("w1", "w2").agg(F.sum("x").cast("bigint").alias("x"))
-    if method == "sorted":
-        enc, _ = encode(tokens, vocab, broadcast, max_size)
-        return sorted_stream_pairs(enc, ["seq_id", *tokens.order], window, boundary)
-    pos = compact_positions(tokens, vocab, boundary, broadcast, max_size)
-    return window_pairs(pos, window, boundary, block_size, engine)
+    if method not in ("auto", "scan", "blocks", "sorted"):
+        raise ValueError("method must be 'auto', 'scan', 'blocks' or 'sorted'")
+    if method == "blocks":
+        pos = compact_positions(tokens, vocab, boundary, broadcast)
+        return window_pairs(pos, window, boundary, block_size, engine)
+    enc, was_broadcast = encode(tokens, vocab, broadcast)
+    in_scan = tokens.rowwise and boundary == "sequence" and was_broadcast
+    if method == "scan" and not in_scan:
+        raise ValueError("'scan' needs one row per sequence, sequence boundaries and a vocabulary "
+                         "small enough to broadcast")
+    if in_scan and method != "sorted":
+        pairs = enc.select("seq_id", "id").mapInArrow(window_pairs_kernel(window, True), PAIR_ARROW_SCHEMA)
+        return pairs.groupBy("w1", "w2").agg(F.sum("x").cast("bigint").alias("x"))
+    return sorted_stream_pairs(enc, ["seq_id", *tokens.order], window, boundary)
 
 
 def sorted_stream_pairs(enc: DataFrame, order_cols, window: int = 10,
-                        boundary: str = "sequence") -> DataFrame:
+                        boundary: str = "sequence", num_partitions: int | None = None) -> DataFrame:
     """Window pairs of an encoded stream ``(seq_id, *order, id)`` of any shape.
 
     One range-partitioned sort on the order columns (a hot sequence is split
-    over many partitions), then every sorted partition is a contiguous piece
-    of the stream: an in-task Arrow pass counts the pairs inside it and
-    reports its first/last ``window`` tokens and its size.  Those boundary
-    rows -- at most 2 window + 1 per partition, so bounded by the partition
-    count -- get global positions from per-partition offsets and one small
-    task counts the pairs that straddle partitions.
+    over many partitions) and ONE in-task Arrow pass over it: a sorted partition
+    is a contiguous piece of the stream, so the pass counts the pairs inside it
+    and reports its first/last ``window`` tokens and its size.  Its output is
+    stored, so both kinds of rows come from the same partition boundaries
+    whatever is recomputed.  The edge rows -- at most 2 window + 1 per
+    partition -- get global positions from per-partition offsets; a pair that
+    straddles partitions lies within 2 window edge rows of position, so edges
+    are compared in blocks of positions with a halo, not in one task.
     """
     same = boundary == "sequence"
-    n = int(enc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # An explicit partition count: AQE leaves it as is, so both passes below
-    # read the same (reused) exchange with the same partition boundaries.
-    s = (enc.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-            .select("seq_id", "id"))
-    inner = s.mapInArrow(window_pairs_kernel(window, same), PAIR_ARROW_SCHEMA)
-    out = s.mapInArrow(sorted_partition_kernel(window, same, window_pairs=False), SORTED_OUT_SCHEMA)
+    s = (enc.repartitionByRange(num_partitions, *order_cols) if num_partitions
+         else enc.repartitionByRange(*order_cols)).sortWithinPartitions(*order_cols)
+    out = materialize(s.select("seq_id", "id").mapInArrow(
+        sorted_partition_kernel(window, same), SORTED_OUT_SCHEMA), "stream-pairs")
+    inner = out.where(F.col("kind") == 0).select("w1", "w2", "x")
     counts = out.where(F.col("kind") == 2).select("pid", F.col("idx").alias("n"))
+    # one row a partition: bounded by the partition count
     offs = counts.select("pid", (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("off"))
     edge = (out.where(F.col("kind") == 1).join(F.broadcast(offs), "pid")
-               .select("pid", (F.col("off") + F.col("idx")).alias("gpos"), "seq_id", "w1")
-               .withColumn("_one", F.lit(0)))
-    cross = edge.groupBy("_one").applyInArrow(boundary_pairs_kernel(window, same), PAIR_ARROW_SCHEMA)
+               .select("pid", (F.col("off") + F.col("idx")).alias("gpos"), "seq_id", "w1"))
+    # block = position / (64 windows); a token also goes to the block before it when a
+    # left partner may lie there
+    size = 64 * window
+    block = F.floor(F.col("gpos") / size)
+    edge = edge.select("*", block.alias("own"), F.explode(F.array_distinct(
+        F.array(block, F.floor((F.col("gpos") - window) / size)))).alias("block"))
+    cross = edge.groupBy("block").applyInArrow(boundary_pairs_kernel(window, same), PAIR_ARROW_SCHEMA)
     return (inner.unionByName(cross).groupBy("w1", "w2")
                  .agg(F.sum("x").cast("bigint").alias("x")))
 
@@ -141,8 +147,14 @@ def symmetric(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(both).alias("e"), "x").select("e.w", "e.c", "x")
 
 
-def upper_triangle(entries: DataFrame, row: str = "w", col: str = "c", val: str = "x") -> DataFrame:
-    """P5: strict upper triangle (row < col) of a COO table."""
+def upper_triangle(entries: DataFrame, row: str = "w", col: str = "c", val: str = "x",
+                   n_rows: int | None = None, n_cols: int | None = None) -> DataFrame:
+    """P5: strict upper triangle (row < col) of a COO table.
+
+    ``n_rows`` and ``n_cols`` give the matrix's shape where it is known; a matrix
+    that is not square is an error."""
+    if n_rows != n_cols:
+        raise ValueError(f"the matrix must be square, not {n_rows} x {n_cols}")
     return (entries.where(F.col(row) < F.col(col))
                    .select(F.col(row).alias("w1"), F.col(col).alias("w2"), F.col(val).alias("x")))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wordpair.functions.vec import dot, norm, safe_div, sqnorm, vsub
 from wordpair.operators.scoring import exp_sum_kernel, run_grid, to_matrix
+from wordpair.session import materialize
 
 
 # ------------------------------------------------------------ D1 / D8
@@ -62,7 +63,8 @@ def partition_function(vectors: DataFrame, directions: DataFrame | None = None,
         scaled = F.transform(c, lambda x: x.cast("double") * F.lit(scale))
     q = directions.select(F.col(id_col).cast("bigint").alias("qid"), scaled.alias("c"))
     parts = run_grid(vectors.select("id", "v"), q, exp_sum_kernel(), "qid long, z double")
-    z = parts.groupBy(F.col("qid").alias("s")).agg(F.sum("z").alias("z"))
+    # one row a direction, stored: the product runs once for detail, summary and bins
+    z = materialize(parts.groupBy(F.col("qid").alias("s")).agg(F.sum("z").alias("z")), "z")
     mean_z = z.agg(F.avg("z")).scalar()
     detail = z.select("s", "z", (F.col("z") / mean_z).alias("normalised"))
     summary = detail.agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("mean_z"),
@@ -182,6 +184,14 @@ def singular_values(vectors: DataFrame, fanout: int = 16) -> tuple[DataFrame, Da
     return sv, summary
 
 
+def power_sums(values: DataFrame) -> DataFrame:
+    """``(n_values, p2, p4, p6)``: sums of sigma^2, sigma^4, sigma^6, which equal the
+    traces of the powers of V^T V."""
+    s2 = F.col("sigma") * F.col("sigma")
+    return values.agg(F.count(F.lit(1)).alias("n_values"), F.sum(s2).alias("p2"),
+                      F.sum(s2 * s2).alias("p4"), F.sum(s2 * s2 * s2).alias("p6"))
+
+
 # ------------------------------------------------------------ D6
 def relation_pairs(vectors: DataFrame, questions: DataFrame, lowercase: bool = True,
                    min_pairs: int = 5) -> DataFrame:
@@ -198,19 +208,34 @@ def relation_pairs(vectors: DataFrame, questions: DataFrame, lowercase: bool = T
     return per.join(sizes, "relation")
 
 
-def _moment_kernel(salted: pa.Table) -> pa.Table:
-    D = to_matrix(salted.column("diff"))
-    w = salted.column("w").to_numpy().astype(np.float64)
-    M = (D * w[:, None]).T @ D
-    return pa.table({"relation": [salted.column("relation")[0].as_py()],
-                     "m": pa.array([M.ravel().tolist()]), "d": pa.array([D.shape[1]], pa.int32())})
+def _partial_moments(batches):
+    """(relation, w, diff) rows -> one weighted d x d moment per relation and task."""
+    total: dict[str, np.ndarray] = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        D = to_matrix(b.column("diff"))
+        w = b.column("w").to_numpy().astype(np.float64)
+        rel = np.array(b.column("relation").to_pylist(), dtype=object)
+        for r in set(rel.tolist()):
+            at = rel == r
+            M = (D[at] * w[at, None]).T @ D[at]
+            total[r] = total[r] + M if r in total else M
+    if total:
+        yield pa.RecordBatch.from_pydict({
+            "relation": pa.array(list(total)), "m": pa.array([M.ravel().tolist() for M in total.values()]),
+            "d": pa.array([M.shape[0] for M in total.values()], pa.int32())})
+
+
+def _add_moments(t: pa.Table) -> pa.Table:
+    M = np.sum([np.asarray(m) for m in t.column("m").to_pylist()], axis=0)
+    return pa.table({"relation": t.column("relation")[:1], "m": pa.array([M.tolist()]),
+                     "d": t.column("d")[:1]})
 
 
 def _top2_kernel(t: pa.Table) -> pa.Table:
     d = int(t.column("d")[0].as_py())
-    M = np.zeros((d, d))
-    for m in t.column("m").to_pylist():
-        M += np.asarray(m).reshape(d, d)
+    M = np.sum([np.asarray(m) for m in t.column("m").to_pylist()], axis=0).reshape(d, d)
     vals, vecs = np.linalg.eigh(M)
     order = np.argsort(vals)[::-1]
     u1 = vecs[:, order[0]]
@@ -221,13 +246,14 @@ def _top2_kernel(t: pa.Table) -> pa.Table:
 
 
 def relation_directions(vectors: DataFrame, questions: DataFrame, lowercase: bool = True,
-                        min_pairs: int = 5, salts: int = 8) -> DataFrame:
+                        min_pairs: int = 5, spread: int = 64) -> DataFrame:
     """Per relation, the top-2 left singular vectors u1, u2 of
     M = [v_a - v_b] and mean/std of cos(v_a - v_b, u_k) over its pairs.
 
-    Repeated pairs are merged with a weight first; the d x d moment
-    M M^T is summed from salted partial groups (a relation with a third of
-    all pairs is spread over ``salts`` tasks), then ``eigh`` gives u1, u2.
+    Repeated pairs are merged with a weight first; every task adds up its own
+    d x d moments M M^T per relation, so a relation with a third of all pairs
+    costs one row a task.  Those rows are added in ``spread`` groups, then in one,
+    and ``eigh`` gives u1, u2.
     u1 is oriented so the mean cosine is non-negative; u2's sign is
     arbitrary (as in the reference).  ``(relation, n_pairs, mean1, std1,
     mean2, std2)``.
@@ -237,9 +263,11 @@ def relation_directions(vectors: DataFrame, questions: DataFrame, lowercase: boo
     vb = vectors.select(F.col("id").alias("b_id"), F.col("v").alias("vb"))
     diffs = rp.join(va, "a_id").join(vb, "b_id").select(
         "relation", "a_id", "b_id", "w", "n_pairs", vsub("va", "vb").alias("diff"))
-    salt = F.pmod(F.xxhash64("a_id", "b_id"), F.lit(salts))
-    parts = (diffs.withColumn("_salt", salt).groupBy("relation", "_salt")
-             .applyInArrow(_moment_kernel, "relation string, m array<double>, d int"))
+    diffs = materialize(diffs, "relation-diffs")
+    moments = "relation string, m array<double>, d int"
+    parts = (diffs.select("relation", "w", "diff").mapInArrow(_partial_moments, moments)
+             .withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(spread)))
+             .groupBy("relation", "_salt").applyInArrow(_add_moments, moments))
     uniq = diffs.groupBy("relation").agg(F.count(F.lit(1)).alias("n_unique"))
     dirs = (parts.join(uniq, "relation").groupBy("relation")
             .applyInArrow(_top2_kernel, "relation string, u1 array<double>, u2 array<double>"))
@@ -250,16 +278,16 @@ def relation_directions(vectors: DataFrame, questions: DataFrame, lowercase: boo
                    safe_div(dot("diff", "u2"), nd).alias("cos2")))
     # weighted moments over the original (repeated) questions
     wsum = F.sum("w")
-    m1 = F.sum(F.col("w") * F.col("cos1")) / wsum
-    m2 = F.sum(F.col("w") * F.col("cos2")) / wsum
-
-    def std(c):
-        s1 = F.sum(F.col("w") * F.col(c))
-        s2 = F.sum(F.col("w") * F.col(c) * F.col(c))
-        var = (s2 - s1 * s1 / wsum) / (wsum - 1)
-        return F.when(wsum > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(F.lit(float("nan")))
-    agg = cos.groupBy("relation").agg(F.first("n_pairs").alias("n_pairs"), m1.alias("mean1"),
-                                      std("cos1").alias("std1"), m2.alias("mean2"),
-                                      std("cos2").alias("std2"))
+    means = cos.groupBy("relation").agg((F.sum(F.col("w") * F.col("cos1")) / wsum).alias("mean1"),
+                                        (F.sum(F.col("w") * F.col("cos2")) / wsum).alias("mean2"))
+
+    def std(c, mean):
+        # deviations from the mean, so that nearly equal cosines do not cancel
+        var = F.sum(F.col("w") * (F.col(c) - F.col(mean)) * (F.col(c) - F.col(mean))) / (wsum - 1)
+        return F.when(wsum > 1, F.sqrt(var)).otherwise(F.lit(float("nan")))
+    agg = (cos.join(means, "relation").groupBy("relation")
+           .agg(F.first("n_pairs").alias("n_pairs"), F.first("mean1").alias("mean1"),
+                std("cos1", "mean1").alias("std1"), F.first("mean2").alias("mean2"),
+                std("cos2", "mean2").alias("std2")))
     return agg.select("relation", F.col("n_pairs").cast("bigint").alias("n_pairs"),
                       F.abs("mean1").alias("mean1"), "std1", "mean2", "std2")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wordpair.operators.diagnostics import mean_norm
 from wordpair.operators.scoring import gumbel_argmax_kernel, run_grid, softmax_parts_kernel
+from wordpair.session import materialize
 
 
 def _scaled_contexts(vectors: DataFrame, contexts: DataFrame, t_col: str, c_col: str) -> DataFrame:
@@ -25,8 +26,9 @@ def emission_probs(vectors: DataFrame, contexts: DataFrame, k: int = 10,
     pairs -- the log-sum-exp merge -- and the global top-k from per-block
     top-k lists (at most k x blocks rows per context)."""
     q = _scaled_contexts(vectors, contexts, t_col, c_col)
-    parts = run_grid(vectors.select("id", "v"), q, softmax_parts_kernel(k),
-                     "qid long, vb int, id int, logit double, m double, se double")
+    # k rows per context and word block, stored: the product runs once for both uses
+    parts = materialize(run_grid(vectors.select("id", "v"), q, softmax_parts_kernel(k),
+                                 "qid long, vb int, id int, logit double, m double, se double"), "softmax")
     blocks = parts.select("qid", "vb", "m", "se").dropDuplicates(["qid", "vb"])
     norm = (blocks.groupBy("qid")
                   .agg(F.max("m").alias("M"),

@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordpair.operators.ordering import dense_index
 from wordpair.sources.corpus import Tokens
 
-# A vocabulary up to this many words is broadcast to the token scan (about
-# 100 MB of (word, id) at realistic word lengths).  Larger ones are joined by
-# shuffle, where AQE splits the partitions of very frequent words.
-BROADCAST_VOCAB_ROWS = 2_000_000
+# A vocabulary of up to this many bytes (measured, not estimated from its row
+# count: tokens have no length limit) is broadcast to the token scan.  Larger
+# ones are joined by shuffle, where AQE splits the partitions of very frequent
+# words.
+BROADCAST_VOCAB_BYTES = 128 << 20
+ROW_OVERHEAD = 40
 
 
-def vocab_is_broadcastable(vocab: DataFrame, max_size: int | None = None) -> bool:
-    if max_size is not None and max_size <= BROADCAST_VOCAB_ROWS:
-        return True
-    return vocab.count() <= BROADCAST_VOCAB_ROWS
+def vocab_bytes(vocab: DataFrame) -> int:
+    row = vocab.agg(F.sum(F.octet_length("word") + F.lit(ROW_OVERHEAD))).first()
+    return int(row[0] or 0)
 
 
-def encode(tokens: Tokens, vocab: DataFrame, broadcast: bool | None = None,
-           max_size: int | None = None) -> tuple[DataFrame, bool]:
+def vocab_is_broadcastable(vocab: DataFrame) -> bool:
+    return vocab_bytes(vocab) <= BROADCAST_VOCAB_BYTES
+
+
+def encode(tokens: Tokens, vocab: DataFrame,
+           broadcast: bool | None = None) -> tuple[DataFrame, bool]:
     """Inner join of tokens with the vocabulary: OOV tokens drop out.
 
     Returns ``(seq_id, *order, id)`` and whether the join was a broadcast.
     """
     if broadcast is None:
-        broadcast = vocab_is_broadcastable(vocab, max_size)
+        broadcast = vocab_is_broadcastable(vocab)
     v = vocab.select(F.col("word").alias("token"), F.col("id").cast("int").alias("id"))
     if broadcast:
         v = F.broadcast(v)
@@ -36,7 +43,7 @@ def encode(tokens: Tokens, vocab: DataFrame, broadcast: bool | None = None,
 
 
 def compact_positions(tokens: Tokens, vocab: DataFrame, boundary: str = "sequence",
-                      broadcast: bool | None = None, max_size: int | None = None) -> DataFrame:
+                      broadcast: bool | None = None) -> DataFrame:
     """``(seq_id, gp BIGINT, id INT)``: gp increases by one between consecutive
     in-vocabulary tokens of a sequence (and, for ``boundary='stream'``, across
     sequences in (seq_id, order) order).
@@ -50,17 +57,38 @@ def compact_positions(tokens: Tokens, vocab: DataFrame, boundary: str = "sequenc
     """
     if boundary not in ("sequence", "stream"):
         raise ValueError("boundary must be 'sequence' or 'stream'")
-    enc, was_broadcast = encode(tokens, vocab, broadcast, max_size)
+    enc, was_broadcast = encode(tokens, vocab, broadcast)
     if tokens.rowwise and was_broadcast and boundary == "sequence":
         return enc.select("seq_id", F.monotonically_increasing_id().alias("gp"), "id")
     idx = dense_index(enc, ["seq_id", *tokens.order], name="gp")
     return idx.select("seq_id", "gp", "id")
 
 
-def tokenize(tokens: Tokens, vocab: DataFrame, broadcast: bool | None = None,
-             max_size: int | None = None) -> DataFrame:
-    """``(seq_id, pos INT, id INT)`` with pos = 1..n_kept per sequence."""
-    pos = compact_positions(tokens, vocab, "sequence", broadcast, max_size)
+def _number_tokens(batches):
+    """(seq_id, id) rows, those of a sequence consecutive -> (seq_id, pos, id)."""
+    last, at = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        seq = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.concatenate([[last is None or seq[0] != last], seq[1:] != seq[:-1]])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(seq)), -1))
+        pos = np.arange(len(seq)) - start + 1
+        pos[start < 0] = at + 1 + np.arange(int((start < 0).sum()))
+        last, at = seq[-1], int(pos[-1])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(pos.astype(np.int32)), b.column(1)], names=["seq_id", "pos", "id"])
+
+
+def tokenize(tokens: Tokens, vocab: DataFrame, broadcast: bool | None = None) -> DataFrame:
+    """``(seq_id, pos INT, id INT)`` with pos = 1..n_kept per sequence.
+
+    Where each sequence is one input row and the vocabulary is broadcast, the
+    tokens are numbered in the scan task and nothing is shuffled."""
+    enc, was_broadcast = encode(tokens, vocab, broadcast)
+    if tokens.rowwise and was_broadcast:
+        return enc.select("seq_id", "id").mapInArrow(_number_tokens, "seq_id long, pos int, id int")
+    pos = dense_index(enc, ["seq_id", *tokens.order], name="gp").select("seq_id", "gp", "id")
     # per-sequence start is a partial aggregate (skew safe), joined back by key
     starts = pos.groupBy("seq_id").agg(F.min("gp").alias("g0"))
     return (pos.join(starts, "seq_id")

@@ -10,10 +10,11 @@ partition count -- are turned into offsets and broadcast back.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordpair.session import materialize
+
 LOW_BITS = 33
 LOW_MASK = (1 << LOW_BITS) - 1
 
@@ -27,8 +28,8 @@ def dense_index(df: DataFrame, order_cols, name: str = "idx", start: int = 0,
     else:
         s = df.orderBy(*order_cols)
     s = s.withColumn("_mid", F.monotonically_increasing_id())
-    # Both passes below must see the same partitioning: keep the numbered frame.
-    s = s.persist(StorageLevel.MEMORY_AND_DISK)
+    # Both passes below must see the same partitioning: store the numbered frame.
+    s = materialize(s, "sorted")
     pid = F.shiftright(F.col("_mid"), LOW_BITS)
     counts = s.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select(

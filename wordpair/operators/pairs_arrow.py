@@ -178,8 +178,9 @@ def sorted_partition_kernel(window: int, same_sequence: bool, window_pairs: bool
 
 
 def boundary_pairs_kernel(window: int, same_sequence: bool):
-    """applyInArrow over all boundary tokens ``(pid, gpos, seq_id, id)``:
-    pairs within ``window`` whose two tokens sit in different partitions."""
+    """applyInArrow over one block of boundary tokens ``(pid, gpos, seq_id, id,
+    own, block)`` with its right halo: pairs within ``window`` whose two tokens sit
+    in different partitions and whose left token the block owns."""
     out = pa.schema([("w1", pa.int32()), ("w2", pa.int32()), ("x", pa.int64())])
 
     def f(t: pa.Table) -> pa.Table:
@@ -191,10 +192,11 @@ def boundary_pairs_kernel(window: int, same_sequence: bool):
         p = t.column("pid").to_numpy()[o]
         s = t.column("seq_id").to_numpy()[o]
         ids = t.column("w1").to_numpy().astype(np.int64)[o]
+        mine = (t.column("own").to_numpy() == t.column("block").to_numpy())[o]
         n = len(g)
         keys = []
         for k in range(1, min(window, n - 1) + 1):
-            ok = (p[:n - k] != p[k:]) & (g[k:] - g[:n - k] <= window) & (ids[:n - k] != ids[k:])
+            ok = mine[:n - k] & (p[:n - k] != p[k:]) & (g[k:] - g[:n - k] <= window) & (ids[:n - k] != ids[k:])
             if same_sequence:
                 ok &= s[:n - k] == s[k:]
             a, z = ids[:n - k][ok], ids[k:][ok]

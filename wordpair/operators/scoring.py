@@ -18,13 +18,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 20_000   # word rows per task (memory bound of a cell)
 MIN_ROWS_PER_BLOCK = 2_048
 QUERY_CHUNK = 1_024       # queries per task
+CELL_SCORES = 2_000_000   # scores of a product held at once in a task
 
 
 def to_matrix(arr) -> np.ndarray:
@@ -46,9 +46,7 @@ def grid(vectors: DataFrame, queries: DataFrame, qid: str = "qid",
          rows_per_block: int = ROWS_PER_BLOCK, query_chunk: int = QUERY_CHUNK):
     """Assign (vb, qb) cells and replicate both sides over the grid."""
     spark = vectors.sparkSession
-    # both sides are read twice (count, then the grid): keep them
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
+    # counts prune every column but what the filters need
     n = vectors.count()
     s = queries.count()
     par = spark.sparkContext.defaultParallelism
@@ -72,6 +70,24 @@ def _empty(schema: pa.Schema) -> pa.Table:
     return schema.empty_table()
 
 
+def query_slices(n_words: int, n_queries: int) -> list[slice]:
+    """Slices of the queries whose scores against ``n_words`` fit CELL_SCORES."""
+    step = max(1, CELL_SCORES // max(1, n_words))
+    return [slice(a, min(a + step, n_queries)) for a in range(0, n_queries, step)]
+
+
+def top_rows(scores: np.ndarray, k: int) -> list[np.ndarray]:
+    """Rows of the k largest scores of each column, largest first, ties by row."""
+    n, s = scores.shape
+    k = min(k, n)
+    least = np.partition(scores, n - k, axis=0)[n - k]
+    out = []
+    for j in range(s):
+        rows = np.flatnonzero(scores[:, j] >= least[j])
+        out.append(rows[np.lexsort((rows, -scores[rows, j]))[:k]])
+    return out
+
+
 # ------------------------------------------------------------------ kernels
 def exp_sum_kernel(vcol: str = "v", qcol: str = "c", qid: str = "qid"):
     """Partial partition function sum_w exp(<v_w, c>) per query."""
@@ -83,7 +99,7 @@ def exp_sum_kernel(vcol: str = "v", qcol: str = "c", qid: str = "qid"):
         V = to_matrix(vt.column(vcol))
         Q = to_matrix(qt.column(qcol))
         with np.errstate(over="ignore"):
-            z = np.exp(V @ Q.T).sum(axis=0)
+            z = np.concatenate([np.exp(V @ Q[s].T).sum(axis=0) for s in query_slices(len(V), len(Q))])
         return pa.table({qid: col_np(qt, qid).astype(np.int64), "z": z})
     return k
 
@@ -119,6 +135,37 @@ def argmax_kernel(vcol: str = "vn", qcol: str = "qn", qid: str = "qid",
     return k
 
 
+def topk_kernel(k_top: int, vcol: str = "vn", qcol: str = "qn", qid: str = "qid",
+                exclude=("a_id", "b_id", "c_id")):
+    """The block's k best words per query (score desc, id asc), without excluded
+    ids and NaN scores."""
+    out = pa.schema([(qid, pa.int64()), ("id", pa.int32()), ("score", pa.float64())])
+
+    def k(vt: pa.Table, qt: pa.Table) -> pa.Table:
+        if vt.num_rows == 0 or qt.num_rows == 0:
+            return _empty(out)
+        ids = col_np(vt, "id").astype(np.int64)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        V = to_matrix(vt.column(vcol))[order]
+        Q = to_matrix(qt.column(qcol))
+        qids = col_np(qt, qid).astype(np.int64)
+        rows_q, rows_id, rows_s = [], [], []
+        for part in query_slices(len(V), len(Q)):
+            S = V @ Q[part].T
+            S[np.isnan(S)] = -np.inf
+            for e in exclude:
+                S[ids[:, None] == col_np(qt, e).astype(np.int64)[part][None, :]] = -np.inf
+            for j, top in enumerate(top_rows(S, k_top)):
+                top = top[S[top, j] > -np.inf]
+                rows_q.append(np.full(len(top), qids[part][j]))
+                rows_id.append(ids[top])
+                rows_s.append(S[top, j])
+        return pa.table({qid: np.concatenate(rows_q).astype(np.int64),
+                         "id": np.concatenate(rows_id).astype(np.int32), "score": np.concatenate(rows_s)})
+    return k
+
+
 def softmax_parts_kernel(k_top: int, vcol: str = "v", qcol: str = "c", qid: str = "qid"):
     """Per (query, word block): max logit, sum exp(logit - max) and the block's
     top-k (logit desc, id asc) candidates."""
@@ -134,24 +181,22 @@ def softmax_parts_kernel(k_top: int, vcol: str = "v", qcol: str = "c", qid: str
         vb = int(col_np(vt, "vb")[0])
         V = to_matrix(vt.column(vcol))[order]
         Q = to_matrix(qt.column(qcol))
-        S = V @ Q.T                      # (m words, s queries)
-        m = S.max(axis=0)
-        se = np.exp(S - m[None, :]).sum(axis=0)
-        kk = min(k_top, S.shape[0])
-        # lexsort: last key primary -> (-logit, id)
+        kk = min(k_top, len(V))
         q_out, id_out, l_out, m_out, se_out = [], [], [], [], []
         qids = col_np(qt, qid).astype(np.int64)
-        for j in range(S.shape[1]):
-            col = S[:, j]
-            top = np.lexsort((ids, -col))[:kk]
-            q_out.append(np.full(kk, qids[j]))
-            id_out.append(ids[top])
-            l_out.append(col[top])
-            m_out.append(np.full(kk, m[j]))
-            se_out.append(np.full(kk, se[j]))
+        for part in query_slices(len(V), len(Q)):
+            S = V @ Q[part].T            # (words, queries); words by id
+            m = S.max(axis=0)
+            se = np.exp(S - m[None, :]).sum(axis=0)
+            for j, top in enumerate(top_rows(S, kk)):
+                id_out.append(ids[top])
+                l_out.append(S[top, j])
+            q_out.append(np.repeat(qids[part], kk))
+            m_out.append(np.repeat(m, kk))
+            se_out.append(np.repeat(se, kk))
         cat = np.concatenate
         return pa.table({qid: cat(q_out).astype(np.int64),
-                         "vb": np.full(kk * S.shape[1], vb, dtype=np.int32),
+                         "vb": np.full(kk * len(Q), vb, dtype=np.int32),
                          "id": cat(id_out).astype(np.int32), "logit": cat(l_out),
                          "m": cat(m_out), "se": cat(se_out)})
     return k

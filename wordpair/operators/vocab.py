@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordpair.operators.ordering import dense_index
 from wordpair.sources.corpus import Tokens
 
-# Above this many words the top-k is not taken through one task; the ids then
-# come from a range-partitioned sort (dense_index) instead.
-TAKE_ORDERED_MAX = 1_000_000
-
-
 def token_counts(tokens: Tokens | DataFrame, token_col: str = "token") -> DataFrame:
     df = tokens.df if isinstance(tokens, Tokens) else tokens
     # partial (map-side) counts first, so a very frequent token costs one row per task
@@ -28,16 +23,11 @@ def build_vocabulary(tokens: Tokens | DataFrame, min_count: int = 5,
     """
     kept = token_counts(tokens, token_col).where(F.col("count") >= min_count)
     order = [F.col("count").desc(), F.col("word").asc()]
-    if max_size is not None and max_size <= TAKE_ORDERED_MAX:
-        # TakeOrderedAndProject: each task keeps its own top max_size, the
-        # merge holds at most max_size rows per task -- bounded by the argument.
-        top = kept.orderBy(*order).limit(int(max_size))
-        w = Window.orderBy(*order)
-        return top.select(F.row_number().over(w).cast("int").alias("id"), "word",
-                          F.col("count").cast("bigint").alias("count"))
-    if max_size is not None:
-        kept = kept.orderBy(*order).limit(int(max_size))
+    # numbered by a range sort and per-partition offsets, so that neither an
+    # unlimited nor a large vocabulary meets in one task
     idx = dense_index(kept, order, name="id", start=1)
+    if max_size is not None:
+        idx = idx.where(F.col("id") <= int(max_size))
     return idx.select(F.col("id").cast("int").alias("id"), "word",
                       F.col("count").cast("bigint").alias("count"))
 

@@ -16,11 +16,12 @@ from wordpair.operators import cooccur as co
 from wordpair.operators import encode as en
 from wordpair.operators import pmi as pm
 from wordpair.operators.vocab import build_vocabulary, vocab_stats
+from wordpair.session import materialize
 from wordpair.sources.corpus import (Tokens, conversation_tokens, document_tokens,
                                      event_tokens, read_table)
 
 MIN_COUNT = 5
-MAX_SIZE = 50_000
+TOP_WORDS = 1_000         # T2: a top-k vocabulary, the limit is the feature
 WINDOW = 10
 X_FLOOR = 10
 EVENT_MIN_COUNT = 1
@@ -47,17 +48,16 @@ def ev_tokens(spark: SparkSession, sf: str) -> Tokens:
 
 
 def doc_vocab(spark, sf):
-    return build_vocabulary(doc_tokens(spark, sf), MIN_COUNT, MAX_SIZE)
+    return build_vocabulary(doc_tokens(spark, sf), MIN_COUNT)
 
 
-def doc_pairs(spark, sf, boundary="sequence"):
-    """Pairs of the documents corpus; persisted because PMI reads them three
-    times (marginals, total, main join)."""
-    from pyspark import StorageLevel
+def doc_pairs(spark, sf, boundary="sequence", stored=True):
+    """Pairs of the documents corpus, ``stored`` where they are read several
+    times (PMI: marginals, total, main join)."""
     toks = doc_tokens(spark, sf)
-    vocab = build_vocabulary(toks, MIN_COUNT, MAX_SIZE)
-    pairs = co.cooccurrence(toks, vocab, WINDOW, boundary, max_size=MAX_SIZE)
-    return pairs.persist(StorageLevel.MEMORY_AND_DISK), vocab
+    vocab = build_vocabulary(toks, MIN_COUNT)
+    pairs = co.cooccurrence(toks, vocab, WINDOW, boundary)
+    return (materialize(pairs, "pairs") if stored else pairs), vocab
 
 
 # ---------------------------------------------------------------- queries
@@ -71,29 +71,32 @@ def q_vocab_stats_documents(spark, sf):
 
 def q_tokenize_documents(spark, sf):
     toks = doc_tokens(spark, sf)
-    vocab = build_vocabulary(toks, MIN_COUNT, MAX_SIZE)
-    return en.tokenize(toks, vocab, max_size=MAX_SIZE)
+    return en.tokenize(toks, build_vocabulary(toks, MIN_COUNT))
+
+
+def q_vocab_top_k_documents(spark, sf):
+    """Only the TOP_WORDS most frequent words get an id."""
+    return build_vocabulary(doc_tokens(spark, sf), MIN_COUNT, TOP_WORDS)
 
 
 def q_cooccurrence_documents(spark, sf):
-    return doc_pairs(spark, sf)[0]
+    return doc_pairs(spark, sf, stored=False)[0]
 
 
 def q_cooccurrence_documents_blocks(spark, sf):
     """The same counts through the pure DataFrame block/halo plan."""
     toks = doc_tokens(spark, sf)
-    vocab = build_vocabulary(toks, MIN_COUNT, MAX_SIZE)
-    return co.cooccurrence(toks, vocab, WINDOW, max_size=MAX_SIZE, method="blocks", engine="sql")
+    vocab = build_vocabulary(toks, MIN_COUNT)
+    return co.cooccurrence(toks, vocab, WINDOW, method="blocks", engine="sql")
 
 
 def q_cooccurrence_stream(spark, sf):
-    return doc_pairs(spark, sf, "stream")[0]
+    return doc_pairs(spark, sf, "stream", stored=False)[0]
 
 
 def q_cooccurrence_conversations(spark, sf):
     toks = conv_tokens(spark, sf)
-    vocab = build_vocabulary(toks, MIN_COUNT, MAX_SIZE)
-    return co.cooccurrence(toks, vocab, WINDOW, max_size=MAX_SIZE)
+    return co.cooccurrence(toks, build_vocabulary(toks, MIN_COUNT), WINDOW)
 
 
 def q_cooccurrence_events(spark, sf):
@@ -103,16 +106,16 @@ def q_cooccurrence_events(spark, sf):
 
 
 def q_matrix_facts_documents(spark, sf):
-    return co.matrix_facts(doc_pairs(spark, sf)[0])
+    return co.matrix_facts(doc_pairs(spark, sf, stored=False)[0])
 
 
 def q_pair_marginals_documents(spark, sf):
-    return co.pair_marginals(doc_pairs(spark, sf)[0])
+    return co.pair_marginals(doc_pairs(spark, sf, stored=False)[0])
 
 
 def q_symmetric_degree_documents(spark, sf):
     """U1 checked through its per-row shape: entries and sum per row."""
-    sym = co.symmetric(doc_pairs(spark, sf)[0])
+    sym = co.symmetric(doc_pairs(spark, sf, stored=False)[0])
     return sym.groupBy("w").agg(F.count(F.lit(1)).alias("nnz"),
                                 F.sum("x").cast("bigint").alias("row_sum"),
                                 F.sum((F.col("w") == F.col("c")).cast("int")).cast("bigint").alias("diag"))
@@ -132,6 +135,7 @@ def q_top_pmi_documents(spark, sf):
 _CORPUS_QUERIES: dict[str, Query] = {
         "vocab_documents": q_vocab_documents,
         "vocab_stats_documents": q_vocab_stats_documents,
+        "vocab_top_k_documents": q_vocab_top_k_documents,
         "tokenize_documents": q_tokenize_documents,
         "cooccurrence_documents": q_cooccurrence_documents,
         "cooccurrence_documents_blocks": q_cooccurrence_documents_blocks,
@@ -358,5 +362,117 @@ _VECTOR_QUERIES = {
 
 
 
+# ------------------------------------------- real counts, lookups, reports
+def _real(spark, sf):
+    pairs, vocab = doc_pairs(spark, sf)
+    return pairs, fx.document_vectors(spark, sf, vocab)
+
+
+def q_sn_loss_documents(spark, sf):
+    """A7 on the real document pairs with a vector for every document word."""
+    pairs, vec = _real(spark, sf)
+    s = md.sn_loss(pairs, vec, C0, X_MAX)
+    return s.select(_r("weight", 4).alias("weight"), _r("wmse", 6).alias("wmse"),
+                    (F.col("grad_c") / F.col("weight")).alias("g")).select(
+                        "weight", "wmse", _r("g", 6).alias("grad_c_mean"))
+
+
+def q_pmi_scatter_documents(spark, sf):
+    """D4 on the real document pairs (x >= X_FLOOR, no sampling)."""
+    pairs, vec = _real(spark, sf)
+    d, _ = pm.pmi_scatter(vec, pairs, None, X_FLOOR)
+    return d.select("w1", "w2", "x", _r("pmi_emp").alias("pmi_emp"), _r("pmi_pred").alias("pmi_pred"))
+
+
+def q_norm_vs_frequency_documents(spark, sf):
+    """D2 on the real document vocabulary."""
+    d, _ = dg.norm_vs_frequency(fx.document_vectors(spark, sf, doc_vocab(spark, sf)))
+    return d.select("id", _r("sq_norm").alias("sq_norm"), _r("log_freq").alias("log_freq"))
+
+
+def q_word_lookup(spark, sf):
+    """Ids of the questions' words, 0 where a word is in no vocabulary."""
+    w = fx.analogy_questions(spark, sf).select("qid", F.explode(F.array("a", "b", "c", "d")).alias("word"))
+    return en.word_ids(w, fx.vectors(spark, sf), lowercase=True).select("qid", "word", "id")
+
+
+def q_vector_lookup(spark, sf):
+    """Squared norms of the vectors of the questions' b words (null if unknown)."""
+    w = fx.analogy_questions(spark, sf).select("qid", F.col("b").alias("word"))
+    from wordpair.functions.vec import sqnorm
+    out = md.vector_lookup(w, fx.vectors(spark, sf).select("word", "v"))
+    return out.select("qid", "word", F.round(F.when(F.col("v").isNotNull(), sqnorm("v")), 6).alias("sq_norm"))
+
+
+def q_upper_triangle_documents(spark, sf):
+    """P5: the stored pairs come back from their symmetric view."""
+    return co.upper_triangle(co.symmetric(doc_pairs(spark, sf, stored=False)[0])) \
+        .select("w1", "w2", F.col("x"))
+
+
+def q_merged_pairs_documents(spark, sf):
+    """Pair counts of even and odd documents, added up."""
+    docs = read_table(spark, sf, "documents")
+    vocab = doc_vocab(spark, sf)
+    halves = [co.cooccurrence(document_tokens(docs.where(F.col("doc_id") % 2 == k)), vocab, WINDOW)
+              for k in (0, 1)]
+    return co.merge_counts(*halves)
+
+
+def q_gamma(spark, sf):
+    """F12 beside the fitted intercept of the document pairs' PMI scatter."""
+    from wordpair.operators.pmi import gamma
+    pairs, vec = _real(spark, sf)
+    _, s = pm.pmi_scatter(vec, pairs, None, X_FLOOR)
+    return s.select("n", F.round(F.lit(gamma(WINDOW)), 6).alias("gamma"), _r("intercept").alias("intercept"))
+
+
+def q_analogy_topk(spark, sf):
+    t = an.analogy_topk(fx.vectors(spark, sf), fx.analogy_questions(spark, sf), 3)
+    return t.select("qid", "rank", "id", _r("score").alias("score"))
+
+
+def q_analogy_report(spark, sf):
+    """The by-relation report in order."""
+    p = an.analogy_predictions(fx.vectors(spark, sf), fx.analogy_questions(spark, sf))
+    r = an.accuracy_report(an.accuracy_by_relation(p))
+    return r.select("relation", "correct", "total", _r("accuracy").alias("accuracy"))
+
+
+def q_singular_power_sums(spark, sf):
+    """D3 checked through the traces of the powers of V^T V."""
+    sv, _ = dg.singular_values(fx.vectors(spark, sf))
+    return dg.power_sums(sv).select("n_values", _r("p2", 3).alias("p2"),
+                                    *[F.round(F.log(F.col(c)), 8).alias(f"log_{c}") for c in ("p4", "p6")])
+
+
+def q_train_minibatch_losses(spark, sf):
+    """D7 as mini-batches of full gradients: two steps over the pairs of B7."""
+    from wordpair.operators.train import train_minibatch
+    vec = fx.vectors(spark, sf)
+    params = vec.select("id", F.transform("v", lambda x: x * F.lit(0.125)).alias("v"),
+                        F.transform("v", lambda x: F.lit(0.0)).alias("gacc"))
+    _, _, steps = train_minibatch(fx.synthetic_pairs(spark, sf), params, C0, n_batches=2, lr=LR, eps=EPS,
+                                  x_max=X_MAX, batch=lambda a, b: (a + b) % 2)
+    rows = [(e, k, round(w, 5), round(c, 6)) for e, k, w, c in steps]
+    return spark.createDataFrame(rows, "epoch int, batch int, wmse double, c double")
+
+
+_MORE_QUERIES = {
+    "sn_loss_documents": q_sn_loss_documents,
+    "pmi_scatter_documents": q_pmi_scatter_documents,
+    "norm_vs_frequency_documents": q_norm_vs_frequency_documents,
+    "word_lookup": q_word_lookup,
+    "vector_lookup": q_vector_lookup,
+    "upper_triangle_documents": q_upper_triangle_documents,
+    "merged_pairs_documents": q_merged_pairs_documents,
+    "pmi_intercept_documents": q_gamma,
+    "analogy_topk": q_analogy_topk,
+    "analogy_report": q_analogy_report,
+    "singular_power_sums": q_singular_power_sums,
+    "train_minibatch_losses": q_train_minibatch_losses,
+}
+
+
 def registry() -> dict[str, Query]:
-    return {**_CORPUS_QUERIES, **_VECTOR_QUERIES}
+    return {**_CORPUS_QUERIES, **_VECTOR_QUERIES, **_MORE_QUERIES}

@@ -6,8 +6,12 @@ events, embeddings, ...).  Shared pieces are composed as CTE text.
 
 from __future__ import annotations
 
-from wordpair.plans.catalog import (EVENT_MIN_COUNT, EVENT_WINDOW, MAX_SIZE, MIN_COUNT,
-                                    WINDOW, X_FLOOR)
+# Fixed values, written out here on their own so that a wrong constant in the
+# code under test does not pass on both sides.
+MIN_COUNT, WINDOW, X_FLOOR, TOP_WORDS = 5, 10, 10, 1000
+EVENT_MIN_COUNT, EVENT_WINDOW = 1, 3
+X_MAX, C0, LR, EPS = 100.0, 4.605170185988092, 0.05, 1e-8
+TOP_K, HIST_BINS, PAIR_OFFSETS, X_MODULUS = 10, 60, 5, 150
 
 DOC_TOKS = """doc_toks AS (
   SELECT doc_id AS seq_id, unnest(generate_series(1, len(t))) AS pos, unnest(t) AS token
@@ -57,7 +61,7 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
-DOC_VOCAB = vocab_cte("vocab", "doc_toks", MIN_COUNT, MAX_SIZE)
+DOC_VOCAB = vocab_cte("vocab", "doc_toks", MIN_COUNT, None)
 DOC_ENC = enc_cte("enc", "doc_toks", "vocab", "t.pos")
 DOC_PAIRS = pairs_cte("pairs", "enc", WINDOW)
 DOC_BASE = (DOC_TOKS, DOC_VOCAB, DOC_ENC, DOC_PAIRS)
@@ -78,6 +82,8 @@ def sql() -> dict[str, str]:
     base = with_(*DOC_BASE)
     out = {
         "vocab_documents": with_(DOC_TOKS, DOC_VOCAB) + "SELECT id, word, count FROM vocab",
+        "vocab_top_k_documents": with_(DOC_TOKS, vocab_cte("vocab", "doc_toks", MIN_COUNT, TOP_WORDS))
+        + "SELECT id, word, count FROM vocab",
         "vocab_stats_documents": with_(DOC_TOKS, DOC_VOCAB)
         + "SELECT count(*) AS n_words, CAST(coalesce(sum(count), 0) AS BIGINT) AS total_count FROM vocab",
         "tokenize_documents": with_(DOC_TOKS, DOC_VOCAB, DOC_ENC)
@@ -89,7 +95,7 @@ def sql() -> dict[str, str]:
                                      pairs_cte("pairs", "enc", WINDOW, stream=True))
         + "SELECT w1, w2, x FROM pairs",
         "cooccurrence_conversations": with_(
-            CONV_TOKS, vocab_cte("vocab", "conv_toks", MIN_COUNT, MAX_SIZE),
+            CONV_TOKS, vocab_cte("vocab", "conv_toks", MIN_COUNT, None),
             enc_cte("enc", "conv_toks", "vocab", "t.turn, t.pos"),
             pairs_cte("pairs", "enc", WINDOW)) + "SELECT w1, w2, x FROM pairs",
         "cooccurrence_events": with_(
@@ -115,9 +121,6 @@ JOIN vocab v1 ON v1.id = t.w1 JOIN vocab v2 ON v2.id = t.w2""",
 
 
 # ================================================================ vectors
-from wordpair.plans.catalog import C0, EPS, HIST_BINS, LR, TOP_K, X_MAX  # noqa: E402
-from wordpair.plans.fixtures import LINE_STRIDE, PAIR_OFFSETS, X_MODULUS  # noqa: E402
-
 VEC = """vec AS (
   SELECT CAST(vec_id + 1 AS INTEGER) AS id, 'w' || CAST(vec_id + 1 AS VARCHAR) AS word,
          CAST(100000 // (vec_id + 1) + 1 AS BIGINT) AS count,
@@ -135,14 +138,14 @@ CTX = """ctx AS (
   FROM embeddings)"""
 
 QUEST = """quest AS (
-  SELECT * FROM (
-    SELECT CAST(vec_id AS BIGINT) AS qid, CAST(label AS VARCHAR) AS relation,
-           'w' || CAST(vec_id + 1 AS VARCHAR) AS a,
-           'w' || CAST(lead(vec_id, 1) OVER w + 1 AS VARCHAR) AS b,
-           'w' || CAST(lead(vec_id, 2) OVER w + 1 AS VARCHAR) AS c,
-           'w' || CAST(lead(vec_id, 3) OVER w + 1 AS VARCHAR) AS d
-    FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))
-  WHERE d IS NOT NULL)"""
+  SELECT CAST(vec_id * 2 + copy AS BIGINT) AS qid,
+         CASE WHEN vec_id % 250 = 7 THEN 'rare' ELSE CAST(label AS VARCHAR) END AS relation,
+         'w' || CAST(vec_id + 1 AS VARCHAR) AS a,
+         CASE WHEN vec_id % 13 = 5 THEN 'nowhere' ELSE 'w' || CAST(vec_id + 2 AS VARCHAR) END AS b,
+         CASE WHEN vec_id % 11 = 3 THEN 'missing' ELSE 'w' || CAST(vec_id + 3 AS VARCHAR) END AS c,
+         CASE WHEN vec_id % 5 = 0 THEN 'W' ELSE 'w' END || CAST(vec_id + 4 AS VARCHAR) AS d
+  FROM (SELECT vec_id, label,
+               unnest(CASE WHEN vec_id % 50 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM embeddings))"""
 
 SQN = "list_sum(list_transform({v}, lambda e: e * e))"
 
@@ -212,12 +215,18 @@ pred AS (
          coalesce(best.pred, 0) = el.d_id AS correct
   FROM el LEFT JOIN best ON best.qid = el.qid)"""
 
-LINES = f"""lines AS (
-  SELECT DISTINCT 'analogies' AS file, CAST(relation AS BIGINT) * {LINE_STRIDE} AS line_no,
-         ': ' || relation AS value FROM quest
-  UNION ALL
-  SELECT 'analogies', CAST(relation AS BIGINT) * {LINE_STRIDE} + qid + 1,
-         concat_ws(' ', a, b, c, d) FROM quest),
+LINES = """lq AS (
+  SELECT CASE WHEN qid % 97 = 3 THEN '' ELSE relation END AS relation, qid, a, b, c, d FROM quest),
+unranked AS (
+  SELECT DISTINCT relation, 0 AS kind, CAST(-1 AS BIGINT) AS qid, ' :  ' || relation || ' ' AS value
+  FROM lq WHERE relation <> ''
+  UNION ALL SELECT relation, 1, qid, concat_ws('  ', a, b, c, d) FROM lq
+  UNION ALL SELECT relation, 2, qid, concat_ws(' ', a, b, c) FROM lq WHERE qid % 29 = 0
+  UNION ALL SELECT relation, 3, qid, concat_ws(' ', a, b, c, d, a) FROM lq WHERE qid % 31 = 0
+  UNION ALL SELECT relation, 4, qid, '   ' FROM lq WHERE qid % 37 = 0),
+lines AS (
+  SELECT 'analogies' AS file, value,
+         row_number() OVER (ORDER BY relation, kind, qid) AS line_no FROM unranked),
 stripped AS (
   SELECT file, line_no, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS s FROM lines),
 heads AS (
@@ -314,8 +323,84 @@ GROUP BY q.relation HAVING count(*) >= 5""",
     }
 
 
+DVEC = """dvec AS (
+  SELECT v.id, v.word, v.count, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)
+           * (CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + CAST(v.id % 5 AS DOUBLE)))) AS v
+  FROM vocab v JOIN embeddings e ON e.vec_id = (v.id - 1) % (SELECT count(*) FROM embeddings))"""
+
+
+def minibatch_ctes(steps: int) -> list[str]:
+    """Two AdaGrad steps by hand: vectors in long form, one gradient per batch."""
+    out = ["""s0 AS (
+  SELECT id, k, v * CAST(0.125 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS g
+  FROM (SELECT id, unnest(generate_series(1, len(v))) AS k, unnest(v) AS v FROM vec))""",
+           f"c0 AS (SELECT {_dbl(C0)} AS c, CAST(0 AS DOUBLE) AS g)"]
+    for i in range(steps):
+        out.append(f"""t{i} AS (
+  SELECT p.w1, p.w2, least(CAST(p.x AS DOUBLE), {_dbl(X_MAX)}) AS xbar,
+         ln(CAST(p.x AS DOUBLE)) - sum((a.v + b.v) * (a.v + b.v)) - (SELECT c FROM c{i}) AS r
+  FROM pairs p JOIN s{i} a ON a.id = p.w1 JOIN s{i} b ON b.id = p.w2 AND b.k = a.k
+  WHERE (p.w1 + p.w2) % 2 = {i} GROUP BY p.w1, p.w2, p.x),
+l{i} AS (SELECT sum(xbar * r * r) / sum(xbar) AS wmse, sum(CAST(-2 AS DOUBLE) * xbar * r) AS gc FROM t{i}),
+g{i} AS (
+  SELECT id, k, sum(coef * (va + vb)) AS g FROM (
+    SELECT unnest([t.w1, t.w2]) AS id, a.k, CAST(-4 AS DOUBLE) * t.xbar * t.r AS coef, a.v AS va, b.v AS vb
+    FROM t{i} t JOIN s{i} a ON a.id = t.w1 JOIN s{i} b ON b.id = t.w2 AND b.k = a.k)
+  GROUP BY id, k),
+s{i + 1} AS (
+  SELECT s.id, s.k, CASE WHEN g.g IS NULL THEN s.v
+           ELSE s.v - {_dbl(LR)} * g.g / (sqrt(s.g + g.g * g.g) + {_dbl(EPS)}) END AS v,
+         s.g + coalesce(g.g * g.g, CAST(0 AS DOUBLE)) AS g
+  FROM s{i} s LEFT JOIN g{i} g ON g.id = s.id AND g.k = s.k),
+c{i + 1} AS (
+  SELECT c.c - {_dbl(LR)} * l.gc / (sqrt(c.g + l.gc * l.gc) + {_dbl(EPS)}) AS c, c.g + l.gc * l.gc AS g
+  FROM c{i} c, l{i} l)""")
+    return out
+
+
+def more_sql() -> dict[str, str]:
+    real = (*DOC_BASE, DVEC)
+    scatter = SCATTER.replace("JOIN vec ", "JOIN dvec ")
+    terms = TERMS.replace("JOIN vec ", "JOIN dvec ")
+    return {
+        "sn_loss_documents": with_(*real, terms) + """SELECT round(sum(xbar), 4) AS weight,
+  round(sum(xbar * r * r) / sum(xbar), 6) AS wmse,
+  round(sum(CAST(-2 AS DOUBLE) * xbar * r) / sum(xbar), 6) AS grad_c_mean FROM terms""",
+        "pmi_scatter_documents": with_(*real, SMARG, scatter)
+        + "SELECT w1, w2, x, round(pmi_emp, 6) AS pmi_emp, round(pmi_pred, 6) AS pmi_pred FROM scatter",
+        "norm_vs_frequency_documents": with_(DOC_TOKS, DOC_VOCAB, DVEC)
+        + f"""SELECT id, round({SQN.format(v='v')}, 6) AS sq_norm,
+  round(ln(CAST(count AS DOUBLE) / (SELECT CAST(sum(count) AS DOUBLE) FROM dvec)), 6) AS log_freq FROM dvec""",
+        "word_lookup": with_(VEC, QUEST) + """SELECT q.qid, q.word, CAST(coalesce(v.id, 0) AS INTEGER) AS id
+FROM (SELECT qid, unnest([a, b, c, d]) AS word FROM quest) q LEFT JOIN vec v ON v.word = lower(q.word)""",
+        "vector_lookup": with_(VEC, QUEST) + f"""SELECT q.qid, q.b AS word,
+  round({SQN.format(v='v.v')}, 6) AS sq_norm FROM quest q LEFT JOIN vec v ON v.word = q.b""",
+        "upper_triangle_documents": with_(*DOC_BASE) + "SELECT w1, w2, x FROM pairs",
+        "merged_pairs_documents": with_(*DOC_BASE) + "SELECT w1, w2, x FROM pairs",
+        "pmi_intercept_documents": with_(*real, SMARG, scatter) + """SELECT count(*) AS n,
+  round(ln(CAST(45 AS DOUBLE)), 6) AS gamma,
+  round(regr_intercept(pmi_emp, pmi_pred), 6) AS intercept FROM scatter""",
+        "analogy_topk": with_(VEC, QUEST, NORMED) + """SELECT qid, CAST(rank AS INTEGER) AS rank, id,
+  round(s, 6) AS score
+FROM (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank
+      FROM sc WHERE NOT isnan(s)) WHERE rank <= 3""",
+        "analogy_report": vector_sql()["analogy_by_relation"] + " ORDER BY relation",
+        "singular_power_sums": with_(VEC) + """, long AS (
+  SELECT id, unnest(generate_series(1, len(v))) AS k, unnest(v) AS v FROM vec),
+gram AS (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS m FROM long a JOIN long b ON a.id = b.id GROUP BY a.k, b.k),
+square AS (SELECT a.i, b.j, sum(a.m * b.m) AS m FROM gram a JOIN gram b ON a.j = b.i GROUP BY a.i, b.j)
+SELECT (SELECT least(count(*), max(len(v))) FROM vec) AS n_values,
+       (SELECT round(sum(m), 3) FROM gram WHERE i = j) AS p2,
+       (SELECT round(ln(sum(m * m)), 8) FROM gram) AS log_p4,
+       (SELECT round(ln(sum(g.m * s.m)), 8) FROM gram g JOIN square s ON s.i = g.i AND s.j = g.j) AS log_p6""",
+        "train_minibatch_losses": with_(VEC, SPAIRS, *minibatch_ctes(2)) + """
+SELECT 1 AS epoch, 0 AS batch, round(l0.wmse, 5) AS wmse, round(c1.c, 6) AS c FROM l0, c1
+UNION ALL SELECT 1, 1, round(l1.wmse, 5), round(c2.c, 6) FROM l1, c2""",
+    }
+
+
 _corpus_sql = sql
 
 
 def sql() -> dict[str, str]:  # noqa: F811
-    return {**_corpus_sql(), **vector_sql()}
+    return {**_corpus_sql(), **vector_sql(), **more_sql()}

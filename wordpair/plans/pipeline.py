@@ -1,13 +1,18 @@
-"""The staged pipeline.  Each stage writes a parquet table; a stage
-whose ``_SUCCESS`` marker exists is skipped unless ``force``.
+"""The staged pipeline.
 
 corpus -> vocab + tokens -> pairs (+ window) -> vectors + model + losses
        -> diagnostics (D1-D4, D6) -> analogies (D5) -> path results (D8-D10)
+
+Each stage writes a parquet table.  A stage is skipped when its ``_SUCCESS``
+marker exists, the settings stored with it are those asked for, and no stage
+before it was built anew; ``force`` rebuilds all.
 """
 
 from __future__ import annotations
 
-import math
+import json
+import logging
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,94 +22,122 @@ from wordpair.operators import analogy as an
 from wordpair.operators import diagnostics as dg
 from wordpair.operators import emission as em
 from wordpair.operators import pmi as pm
-from wordpair.operators.cooccur import cooccurrence
-from wordpair.operators.encode import tokenize
+from wordpair.operators.cooccur import sorted_stream_pairs
+from wordpair.operators.encode import compact_positions, tokenize
+from wordpair.operators.pmi import gamma  # noqa: F401  (F12, part of the pipeline's surface)
 from wordpair.operators.train import TrainingConfig, losses_frame, train
 from wordpair.operators.vocab import build_vocabulary
 from wordpair.session import ensure_checkpoint_dir
 from wordpair.sources.corpus import Tokens
 from wordpair.sources.stages import load_stage, stage_exists, write_stage
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class PipelineConfig:
     min_count: int = 5
-    max_size: int | None = 50_000
+    max_size: int | None = None
     window: int = 10
     boundary: str = "sequence"
     training: TrainingConfig = TrainingConfig()
     z_samples: int = 1000
-    pmi_samples: int | None = 50_000
+    pmi_samples: int | None = None
     x_floor: float = 10
     seed: int = 0
     emission_k: int = 10
 
 
-def _stage(spark, out: str, name: str, force: bool, build) -> DataFrame:
-    path = f"{out.rstrip('/')}/{name}"
-    if force or not stage_exists(spark, path):
-        write_stage(build(), path)
-    return load_stage(spark, path)
+class _Run:
+    """The stage tables of one output folder."""
+
+    def __init__(self, spark: SparkSession, out: str, force: bool):
+        self.spark, self.out, self.force = spark, out.rstrip("/"), force
+        self.rebuilt: set[str] = set()
+        self.tables: dict[str, DataFrame] = {}
+
+    def stage(self, names: str | tuple[str, ...], settings: dict, after: tuple[str, ...],
+              build: Callable[[], DataFrame | tuple[DataFrame, ...]]) -> None:
+        """Tables that one computation gives.  Their settings are written last, so a
+        run that broke off between two of them builds all of them again."""
+        names = (names,) if isinstance(names, str) else names
+        mark = f"{self.out}/{names[0]}_settings"
+        want = json.dumps(settings, sort_keys=True)
+        done = (not self.force and not self.rebuilt & set(after)
+                and all(stage_exists(self.spark, f"{self.out}/{n}") for n in (*names, f"{names[0]}_settings"))
+                and load_stage(self.spark, mark, "settings string").first()[0] == want)
+        if not done:
+            built = build()
+            for n, df in zip(names, built if isinstance(built, tuple) else (built,), strict=True):
+                write_stage(df, f"{self.out}/{n}")
+            write_stage(self.spark.createDataFrame([(want,)], "settings string"), mark)
+            self.rebuilt |= set(names)
+        for n in names:
+            self.tables[n] = load_stage(self.spark, f"{self.out}/{n}")
 
 
 def run_pipeline(spark: SparkSession, tokens: Tokens, out: str, cfg: PipelineConfig = PipelineConfig(),
                  analogies: DataFrame | None = None, contexts: DataFrame | None = None,
-                 force: bool = False) -> dict[str, DataFrame]:
+                 force: bool = False, need_analogies: bool = False) -> dict[str, DataFrame]:
     """Run (or resume) every stage; returns the stage tables by name.
 
-    ``analogies`` (qid, relation, a, b, c, d) enables D5 and D6 (the
-    reference skips D6 with a warning and fails D5 without a file; here both
-    are simply left out).  ``contexts`` (t, c) enables D8-D10.
+    ``analogies`` (qid, relation, a, b, c, d) gives D5 and D6.  Without them D6 is
+    skipped with a warning, and D5 too unless ``need_analogies``, which makes it
+    an error.  ``contexts`` (t, c) gives D8-D10.
     """
     ensure_checkpoint_dir(spark)
-    res: dict[str, DataFrame] = {}
-    res["vocab"] = _stage(spark, out, "vocab", force,
-                          lambda: build_vocabulary(tokens, cfg.min_count, cfg.max_size))
-    vocab = res["vocab"]
-    res["tokens"] = _stage(spark, out, "tokens", force,
-                           lambda: tokenize(tokens, vocab, max_size=cfg.max_size))
-    res["pairs"] = _stage(spark, out, "pairs", force,
-                          lambda: cooccurrence(tokens, vocab, cfg.window, cfg.boundary,
-                                               max_size=cfg.max_size)
-                          .withColumn("window", F.lit(cfg.window)))
-    pairs = res["pairs"].select("w1", "w2", "x")
-
-    model_path = f"{out.rstrip('/')}/vectors"
-    if force or not stage_exists(spark, model_path):
-        vecs, C, losses = train(pairs, vocab, cfg.training)
-        write_stage(vecs, model_path)
-        write_stage(losses_frame(spark, losses), f"{out.rstrip('/')}/losses")
-        t = cfg.training
-        write_stage(spark.createDataFrame([(float(C), *[str(v) for v in asdict(t).values()])],
-                                          "c double, " + ", ".join(f"{k} string" for k in asdict(t))),
-                    f"{out.rstrip('/')}/model")
-    res["vectors"] = load_stage(spark, model_path)
-    res["losses"] = load_stage(spark, f"{out.rstrip('/')}/losses")
-    res["model"] = load_stage(spark, f"{out.rstrip('/')}/model")
-    vec = res["vectors"]
-
-    res["d1_partition"] = _stage(spark, out, "d1_partition", force,
-                                 lambda: dg.partition_function(vec, n_samples=cfg.z_samples, seed=cfg.seed)[0])
-    res["d2_norms"] = _stage(spark, out, "d2_norms", force, lambda: dg.norm_vs_frequency(vec)[0])
-    res["d3_singular"] = _stage(spark, out, "d3_singular", force, lambda: dg.singular_values(vec)[0])
-    res["d4_pmi"] = _stage(spark, out, "d4_pmi", force,
-                           lambda: pm.pmi_scatter(vec, pairs, cfg.pmi_samples, cfg.x_floor, cfg.seed + 1)[0])
-    if analogies is not None:
-        res["d5_predictions"] = _stage(spark, out, "d5_predictions", force,
-                                       lambda: an.analogy_predictions(vec, analogies))
-        res["d6_relations"] = _stage(spark, out, "d6_relations", force,
-                                     lambda: dg.relation_directions(vec, analogies))
+    if analogies is None and need_analogies:
+        raise FileNotFoundError("no analogy questions given")
+    run = _Run(spark, out, force)
+    t = run.tables
+    vocab_set = {"min_count": cfg.min_count, "max_size": cfg.max_size}
+    run.stage("vocab", vocab_set, (), lambda: build_vocabulary(tokens, cfg.min_count, cfg.max_size))
+    vocab = t["vocab"]
+
+    # one stream has its own positions; sequences are numbered from 1
+    def encoded() -> DataFrame:
+        if cfg.boundary == "stream":
+            return compact_positions(tokens, vocab, "stream").select("seq_id", F.col("gp").alias("pos"), "id")
+        return tokenize(tokens, vocab)
+    run.stage("tokens", vocab_set | {"boundary": cfg.boundary}, ("vocab",), encoded)
+
+    pair_set = vocab_set | {"window": cfg.window, "boundary": cfg.boundary}
+    run.stage("pairs", pair_set, ("tokens",),
+              lambda: sorted_stream_pairs(t["tokens"], ["seq_id", "pos"], cfg.window, cfg.boundary)
+              .withColumn("window", F.lit(cfg.window)))
+    pairs = t["pairs"].select("w1", "w2", "x")
+
+    fit = cfg.training
+
+    def fitted() -> tuple[DataFrame, ...]:
+        vecs, C, losses = train(pairs, vocab, fit)
+        row = {"c": float(C), **asdict(fit)}
+        types = {"float": "double", "int": "long", "bool": "boolean"}
+        ddl = ", ".join(f"{k} {types.get(type(v).__name__, 'long')}" for k, v in row.items())
+        return vecs, losses_frame(spark, losses), spark.createDataFrame([tuple(row.values())], ddl)
+    run.stage(("vectors", "losses", "model"), pair_set | {"training": asdict(fit)}, ("vocab", "pairs"), fitted)
+    vec = t["vectors"]
+    made = pair_set | {"training": asdict(fit), "seed": cfg.seed}
+
+    run.stage(("d1_partition", "d1_summary"), made | {"n": cfg.z_samples}, ("vectors",),
+              lambda: dg.partition_function(vec, n_samples=cfg.z_samples, seed=cfg.seed))
+    run.stage(("d2_norms", "d2_summary"), made, ("vectors",), lambda: dg.norm_vs_frequency(vec))
+    run.stage(("d3_singular", "d3_summary"), made, ("vectors",), lambda: dg.singular_values(vec))
+    run.stage(("d4_pmi", "d4_summary"), made | {"n": cfg.pmi_samples, "floor": cfg.x_floor}, ("vectors", "pairs"),
+              lambda: pm.pmi_scatter(vec, pairs, cfg.pmi_samples, cfg.x_floor, cfg.seed + 1))
+    if analogies is None:
+        log.warning("no analogy questions: analogy accuracy (D5) and relation directions (D6) are skipped")
+    else:
+        run.stage("d5_predictions", made, ("vectors",), lambda: an.analogy_predictions(vec, analogies))
+        pred = t["d5_predictions"]
+        run.stage("d5_by_relation", made, ("d5_predictions",),
+                  lambda: an.accuracy_report(an.accuracy_by_relation(pred)))
+        run.stage("d5_summary", made, ("d5_predictions",), lambda: an.accuracy_summary(pred, analogies))
+        run.stage("d6_relations", made, ("vectors",), lambda: dg.relation_directions(vec, analogies))
     if contexts is not None:
-        res["d8_path"] = _stage(spark, out, "d8_path", force,
-                                lambda: dg.partition_function(vec, contexts, renormalize=False,
-                                                              id_col="t", dir_col="c")[0])
-        res["d9_samples"] = _stage(spark, out, "d9_samples", force,
-                                   lambda: em.sample_emissions(vec, contexts, cfg.seed))
-        res["d10_probs"] = _stage(spark, out, "d10_probs", force,
-                                  lambda: em.emission_probs(vec, contexts, cfg.emission_k))
-    return res
-
-
-def gamma(window: int) -> float:
-    """ln(q (q - 1) / 2), the D4 intercept predicted for window q."""
-    return math.log(window * (window - 1) / 2)
+        run.stage(("d8_path", "d8_summary"), made, ("vectors",),
+                  lambda: dg.partition_function(vec, contexts, renormalize=False, id_col="t", dir_col="c"))
+        run.stage("d9_samples", made, ("vectors",), lambda: em.sample_emissions(vec, contexts, cfg.seed))
+        run.stage("d10_probs", made | {"k": cfg.emission_k}, ("vectors",),
+                  lambda: em.emission_probs(vec, contexts, cfg.emission_k))
+    return t

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -46,13 +46,35 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured ``spark.checkpoint.dir``; only when none is set
-    (local tests) fall back to a fresh scratch folder."""
+    """Use the configured ``spark.checkpoint.dir``.
+
+    Without one a local master gets a fresh scratch folder; any other master is
+    an error, since executors do not see the driver's local folders."""
     d = checkpoint_dir(spark)
     if d:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(d)
         return d
-    d = tempfile.mkdtemp(prefix="wordpair-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    d = tempfile.mkdtemp(prefix="wordpair-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name below the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wordpair-{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+    """``df`` written once to the checkpoint folder and read back.
+
+    Cuts the lineage like ``checkpoint()``, keeps statistics and column pruning,
+    and holds no executor memory or disk; every later read sees the same rows.
+    """
+    spark = df.sparkSession
+    path = scratch_folder(spark, label)
+    w = df.write.partitionBy(partition_by) if partition_by else df.write
+    w.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordpair.session import materialize
+
 # Whitespace as in the reference's strip/split: any Unicode space.
 _WS = r"(?U)\s+"
 _TRIM = r"(?U)^\s+|\s+$"
 
-# Header tables up to this many rows are broadcast to the question scan.
-BROADCAST_HEADER_ROWS = 1_000_000
-
-
 def read_analogy_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, value)``; line_no follows the scan order of each file."""
     return spark.read.text(path).select(F.input_file_name().alias("file"),
@@ -29,27 +27,28 @@ def parse_analogies(lines: DataFrame, file_col: str = "file", line_col: str = "l
     lines are kept only with exactly four whitespace-separated fields.
     Questions before any header get relation ''.
 
-    The carry-forward is an interval join: the (small) header table gets
-    [line, next header line) per file and is broadcast to the questions, so
-    one long file is still read by many tasks.
+    Lines are range partitioned and sorted once, so a long file is read by many
+    tasks.  A header is carried forward inside each partition; the last header of
+    every partition (one row each) is carried to the partitions after it.
     """
     s = F.regexp_replace(F.col(value_col), _TRIM, "")
-    base = lines.select(F.col(file_col).alias("file"), F.col(line_col).alias("line_no"),
-                        s.alias("s")).where(F.col("s") != "")
-    headers = (base.where(F.col("s").startswith(":"))
-                   .select("file", F.col("line_no").alias("h_line"),
-                           F.regexp_replace(F.substring("s", 2, 1 << 30), _TRIM, "").alias("relation")))
-    w = Window.partitionBy("file").orderBy("h_line")
-    spans = headers.withColumn("h_next", F.lead("h_line").over(w))
-    qs = (base.where(~F.col("s").startswith(":"))
-              .withColumn("f", F.split("s", _WS))
-              .where(F.size("f") == 4))
-    if spans.count() <= BROADCAST_HEADER_ROWS:
-        spans = F.broadcast(spans)
-    cond = ((qs["file"] == spans["file"]) & (spans["h_line"] < qs["line_no"])
-            & (spans["h_next"].isNull() | (qs["line_no"] < spans["h_next"])))
-    j = qs.join(spans, cond, "left")
-    return j.select(qs["file"], qs["line_no"],
-                    F.coalesce(spans["relation"], F.lit("")).alias("relation"),
+    is_head = F.col("s").startswith(":")
+    base = (lines.select(F.col(file_col).alias("file"), F.col(line_col).alias("line_no"), s.alias("s"))
+            .where(F.col("s") != ""))
+    head = F.when(is_head, F.regexp_replace(F.substring("s", 2, 1 << 30), _TRIM, ""))
+    rows = materialize(base.repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no")
+                       .select("file", "line_no", "s", head.alias("head"),
+                               F.spark_partition_id().alias("pid")), "analogy-lines")
+    last = rows.groupBy("pid").agg(
+        F.max(F.when(F.col("head").isNotNull(), F.struct("file", "line_no", "head"))).alias("last"))
+    # one row a partition
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    came = last.select("pid", F.last("last", ignorenulls=True).over(before).alias("came"))
+    inside = Window.partitionBy("pid", "file").orderBy("line_no")
+    q = (rows.withColumn("own", F.last("head", ignorenulls=True).over(inside))
+         .where(F.col("head").isNull()).withColumn("f", F.split("s", _WS)).where(F.size("f") == 4)
+         .join(F.broadcast(came), "pid"))
+    carried = F.when(F.col("came.file") == F.col("file"), F.col("came.head"))
+    return q.select("file", "line_no", F.coalesce("own", carried, F.lit("")).alias("relation"),
                     F.col("f")[0].alias("a"), F.col("f")[1].alias("b"),
                     F.col("f")[2].alias("c"), F.col("f")[3].alias("d"))
