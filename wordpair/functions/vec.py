@@ -1,8 +1,10 @@
 """Dense-vector expressions on ARRAY<FLOAT|DOUBLE> columns.
 
 All of these are built-in higher-order functions (``aggregate``, ``zip_with``,
-``transform``), so they stay inside whole-stage codegen on the JVM.  Sums are
-accumulated in DOUBLE whatever the element type.
+``transform``): they run on the JVM, but a lambda is interpreted and splits
+whole-stage codegen.  Where every row of a large table meets a vector, the
+operators use Arrow blocks instead.  Sums are accumulated in DOUBLE whatever the
+element type.
 """
 
 from __future__ import annotations

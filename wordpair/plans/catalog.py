@@ -327,7 +327,7 @@ def q_pmi_extent(spark, sf):
 
 
 def q_embedding_summary(spark, sf):
-    return md.embedding_summary(fx.vectors(spark, sf))
+    return md.embedding_summary(fx.vectors(spark, sf), C0)
 
 
 _VECTOR_QUERIES = {
@@ -458,7 +458,14 @@ def q_train_minibatch_losses(spark, sf):
     return spark.createDataFrame(rows, "epoch int, batch int, wmse double, c double")
 
 
+def q_relation_first_direction(spark, sf):
+    """D6 without the second direction, whose sign and basis are arbitrary."""
+    r = dg.relation_directions(fx.vectors(spark, sf), fx.analogy_questions(spark, sf))
+    return r.select("relation", "n_pairs", _r("mean1", 5).alias("mean1"), _r("std1", 5).alias("std1"))
+
+
 _MORE_QUERIES = {
+    "relation_first_direction": q_relation_first_direction,
     "sn_loss_documents": q_sn_loss_documents,
     "pmi_scatter_documents": q_pmi_scatter_documents,
     "norm_vs_frequency_documents": q_norm_vs_frequency_documents,

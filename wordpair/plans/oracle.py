@@ -319,7 +319,7 @@ GROUP BY q.relation HAVING count(*) >= 5""",
         "pmi_extent": with_(VEC, SPAIRS, SMARG, SCATTER)
         + "SELECT round(min(pmi_pred), 6) AS lo, round(max(pmi_pred), 6) AS hi FROM scatter",
         "embedding_summary": with_(VEC)
-        + "SELECT CAST(max(len(v)) AS INTEGER) AS d, count(*) AS n, CAST(NULL AS DOUBLE) AS c FROM vec",
+        + "SELECT CAST(max(len(v)) AS INTEGER) AS d, count(*) AS n, " + _dbl(C0) + " AS c FROM vec",
     }
 
 
@@ -358,6 +358,39 @@ c{i + 1} AS (
     return out
 
 
+def first_direction_ctes(squarings: int) -> list[str]:
+    """The leading eigenvector of every relation's moment matrix by repeated squaring."""
+    out = ["""rp AS (
+  SELECT q.relation, a.id AS a_id, b.id AS b_id, count(*) AS w, any_value(a.v) AS va, any_value(b.v) AS vb
+  FROM quest q JOIN vec a ON a.word = lower(q.a) JOIN vec b ON b.word = lower(q.b)
+  GROUP BY q.relation, a.id, b.id),
+sz AS (SELECT relation, CAST(sum(w) AS BIGINT) AS n_pairs FROM rp GROUP BY relation HAVING sum(w) >= 5),
+df AS MATERIALIZED (
+  SELECT rp.relation, a_id, b_id, w, unnest(generate_series(1, len(va))) AS k,
+         unnest(list_transform(list_zip(va, vb), lambda e: e[1] - e[2])) AS d
+  FROM rp JOIN sz ON sz.relation = rp.relation),
+m0 AS MATERIALIZED (
+  SELECT x.relation, x.k AS i, y.k AS j, sum(x.w * x.d * y.d) AS m
+  FROM df x JOIN df y ON x.relation = y.relation AND x.a_id = y.a_id AND x.b_id = y.b_id
+  GROUP BY x.relation, x.k, y.k)"""]
+    for i in range(squarings):
+        out.append(f"""m{i + 1} AS MATERIALIZED (
+  SELECT a.relation, a.i, b.j, sum(a.m * b.m / (t.t * t.t)) AS m
+  FROM m{i} a JOIN m{i} b ON a.relation = b.relation AND a.j = b.i
+  JOIN (SELECT relation, sum(m) AS t FROM m{i} WHERE i = j GROUP BY relation) t ON t.relation = a.relation
+  GROUP BY a.relation, a.i, b.j)""")
+    last = f"m{squarings}"
+    out.append(f"""u AS (
+  SELECT m.relation, m.i AS k, m.m / sqrt(sum(m.m * m.m) OVER (PARTITION BY m.relation)) AS u
+  FROM {last} m JOIN (SELECT relation, arg_max(j, m) AS j FROM {last} WHERE i = j GROUP BY relation) c
+    ON c.relation = m.relation AND c.j = m.j),
+cs1 AS (
+  SELECT df.relation, df.a_id, df.b_id, any_value(df.w) AS w, sum(df.d * u.u) / sqrt(sum(df.d * df.d)) AS c
+  FROM df JOIN u ON u.relation = df.relation AND u.k = df.k GROUP BY df.relation, df.a_id, df.b_id),
+mean1 AS (SELECT relation, sum(w * c) / sum(w) AS m FROM cs1 GROUP BY relation)""")
+    return out
+
+
 def more_sql() -> dict[str, str]:
     real = (*DOC_BASE, DVEC)
     scatter = SCATTER.replace("JOIN vec ", "JOIN dvec ")
@@ -385,6 +418,11 @@ FROM (SELECT qid, unnest([a, b, c, d]) AS word FROM quest) q LEFT JOIN vec v ON
 FROM (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank
       FROM sc WHERE NOT isnan(s)) WHERE rank <= 3""",
         "analogy_report": vector_sql()["analogy_by_relation"] + " ORDER BY relation",
+        "relation_first_direction": with_(VEC, QUEST, *first_direction_ctes(12)) + """SELECT cs1.relation,
+  any_value(sz.n_pairs) AS n_pairs, round(abs(any_value(mean1.m)), 5) AS mean1,
+  round(sqrt(sum(w * (c - mean1.m) * (c - mean1.m)) / (sum(w) - 1)), 5) AS std1
+FROM cs1 JOIN mean1 ON mean1.relation = cs1.relation JOIN sz ON sz.relation = cs1.relation
+GROUP BY cs1.relation""",
         "singular_power_sums": with_(VEC) + """, long AS (
   SELECT id, unnest(generate_series(1, len(v))) AS k, unnest(v) AS v FROM vec),
 gram AS (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS m FROM long a JOIN long b ON a.id = b.id GROUP BY a.k, b.k),
