@@ -53,7 +53,7 @@ def test_no_labels(spark, odd_docs):
 def test_gradient(spark, monkeypatch):
     monkeypatch.setattr(tx, "BITS", 6)
     rng = np.random.default_rng(0)
-    rows = [(str(i % 2), bytearray(np.sort(rng.choice(64, 9, replace=False)).astype(np.int32).tobytes()))
+    rows = [(str(i % 2), bytearray(tx.pack_buckets(np.sort(rng.choice(64, 9, replace=False)))))
             for i in range(10)]
     sample = spark.createDataFrame(rows, "label string, counts binary").repartition(3)
     f = tx._loss_grad(sample, rng.standard_normal(64), {0: 5, 1: 5}, 0.01)
@@ -65,6 +65,11 @@ def test_gradient(spark, monkeypatch):
         assert abs((f(x + e)[0] - f(x - e)[0]) / 2e-3 - grad[j]) < 1e-3
 
 
+def test_buckets_are_packed_and_unpacked():
+    for found in ([], [0], [5, 6, 70_000], [0, 200_000], [3, 65_538, 65_539]):
+        assert tx.unpack_buckets(tx.pack_buckets(np.array(found, np.int64))).tolist() == found
+
+
 def test_lbfgs_finds_the_minimum():
     a = np.diag([1.0, 10.0, 100.0])
     b = np.array([1.0, -2.0, 3.0])

@@ -30,6 +30,18 @@ PER_CLASS = 4096
 FIT_TASKS = 8
 
 
+def pack_buckets(found: np.ndarray) -> bytes:
+    """Ascending buckets as gaps, two bytes each where they fit."""
+    gaps = np.diff(found, prepend=0)
+    small = not len(gaps) or gaps.max() < 1 << 16
+    return (b"\0" + gaps.astype("<u2").tobytes()) if small else (b"\1" + gaps.astype("<i4").tobytes())
+
+
+def unpack_buckets(blob) -> np.ndarray:
+    data = memoryview(blob)
+    return np.cumsum(np.frombuffer(data[1:], "<i4" if data[0] else "<u2"), dtype=np.int64)
+
+
 def _observe(rows: DataFrame) -> DataFrame:
     """``(label, sampled, text)`` -> per task and class one array of presence
     counts (``kind`` 0), and the features of sampled rows (``kind`` 1)."""
@@ -53,7 +65,7 @@ def _observe(rows: DataFrame) -> DataFrame:
                 mine[1][found] += 1
                 if sampled:
                     labels.append(str(y))
-                    blobs.append(found.tobytes())
+                    blobs.append(pack_buckets(found))
             if blobs:
                 yield out(1, labels, [1] * len(blobs), blobs)
         for y, (n, counts) in totals.items():
@@ -115,7 +127,7 @@ def _loss_grad(sample: DataFrame, ratios: np.ndarray, n_by_class: dict[int, int]
             loss, grad, bias = 0.0, np.zeros(len(w)), 0.0
             for batch in batches:
                 for label, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    found = np.frombuffer(blob.as_buffer(), np.int32)
+                    found = unpack_buckets(blob.as_buffer())
                     y = int(label)
                     m = (1 if y else -1) * (float(w[found].sum(dtype=np.float64)) + b)
                     loss += share[y] * float(np.logaddexp(0.0, -m))
@@ -160,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not counts:
         return x[:-1], 0.0
     ratios = log_ratios(counts)
-    sample = written(seen.where("kind = 1").select("label", "counts").repartition(FIT_TASKS), "sample")
+    sample = seen.where("kind = 1").select("label", "counts").coalesce(FIT_TASKS)
     n = {int(row["label"]): row["count"] for row in sample.groupBy("label").count().collect()}
     x = lbfgs(_loss_grad(sample, ratios, n, l2), x)
     return x[:-1] * ratios, float(x[-1])
