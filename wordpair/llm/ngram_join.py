@@ -84,8 +84,8 @@ def _sketch(rows: DataFrame, words: int) -> DataFrame:
 
 
 def _prefix_postings(rows: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
-    """(text) -> packed postings by bucket (``bucket, keys, texts, hashes``) and, with
-    a null bucket, ``key64, shared`` counts that are already known in the task."""
+    """(text) -> packed postings by bucket (``bucket, keys, texts, hashes``) and, in
+    buckets below 0, ``key64, shared`` counts that are already known in the task."""
     schema = "bucket long, keys binary, texts binary, hashes binary, key64 long, shared long"
 
     def send(block: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,7 @@ def _prefix_postings(rows: DataFrame, words: int, percent: int, bits: int) -> Da
         some = np.flatnonzero(shared)
         none = pa.nulls(len(some), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(some), pa.int64()), none, none, none, pa.array(keys[some]),
+            [pa.array(-1 - (keys[some] & ((1 << bits) - 1))), none, none, none, pa.array(keys[some]),
              pa.array(shared[some].astype(np.int64))],
             names=["bucket", "keys", "texts", "hashes", "key64", "shared"])
         keep = first
@@ -149,6 +149,9 @@ def _prefix_postings(rows: DataFrame, words: int, percent: int, bits: int) -> Da
 
 def _count_shared(table: pa.Table) -> pa.Table:
     """One bucket's postings -> ``key64, shared``: shingles that another text has too."""
+    if table.column("bucket")[0].as_py() < 0:
+        return table.select(["key64", "shared"]).group_by("key64").aggregate([("shared", "sum")]) \
+            .rename_columns(["key64", "shared"])
     hashes, keys = [], []
     for k, t, h in zip(*(table.column(c) for c in ("keys", "texts", "hashes")), strict=True):
         k, h = np.frombuffer(k.as_buffer(), "<i8"), np.frombuffer(h.as_buffer(), "<u4")
@@ -294,26 +297,33 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     labelled = (sets.select("k").join(roots.withColumnRenamed("node", "k"), "k", "left")
                 .select("k", F.coalesce("root", "k").alias("label")))
     sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    labelled = labelled.join(sizes, "label")
-    # a class is indexed in blocks of at most about INDEX_TEXTS texts
-    parts = F.ceil(F.col("members") / F.lit(float(INDEX_TEXTS)))
-    labelled = written(labelled.withColumn("part", F.pmod(F.xxhash64("k"), parts.cast("long"))), "classes")
+    labelled = written(labelled.join(sizes, "label"), "classes")
     mixed = short.select("h", "k").join(labelled, "k")
     several = (mixed.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"))
                .where("x <> y").select("h"))
     mixed = written(mixed.join(several, "h"), "mixed-lists")
-    blocks = max(1, -(-mixed.select("k").distinct().count() // INDEX_TEXTS))
-    block = F.pmod(F.xxhash64("label", "part"), F.lit(blocks))
-    hosts = mixed.select("h", "label", "members", block.alias("block")).distinct().alias("i")
+    # Classes that share lists mostly share their smallest one too, so they are indexed
+    # together; of those with the same smallest list a block holds about INDEX_TEXTS texts.
+    place = mixed.groupBy("label").agg(F.min("h").alias("place"))
+    texts = mixed.select("k", "label").distinct().join(place, "label")
+    crowd = texts.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / F.lit(float(INDEX_TEXTS))).cast("long")
+    texts = written(texts.join(crowd, "place").withColumn("part", F.pmod(F.xxhash64("k"), parts))
+                    .select("k", "place", "part"), "places")
+    blocks = max(1, -(-texts.count() // INDEX_TEXTS))
+    block = F.pmod(F.xxhash64("place", "part"), F.lit(blocks))
+    mixed = mixed.join(texts, "k").select("h", "k", "label", block.alias("block"),
+                                          F.struct("members", "label").alias("rank"))
+    # a text asks the blocks where a list of its has a text of a larger class
+    hosts = mixed.groupBy("h", "block").agg(F.max("rank").alias("top")).alias("i")
     q = mixed.alias("q")
-    larger = F.struct("i.members", "i.label") > F.struct("q.members", "q.label")
-    asks = (q.join(hosts, (F.col("q.h") == F.col("i.h")) & larger)
+    asks = (q.join(hosts, (F.col("q.h") == F.col("i.h")) & (F.col("i.top") > F.col("q.rank")))
             .select(F.col("q.k").alias("k"), F.col("q.label").alias("label"),
                     F.col("i.block").alias("block")).distinct())
     asks = written(asks, "queries")
     turns = asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(QUERY_TEXTS))).alias("turns"))
     turns = written(turns, "turns")
-    index = (mixed.select("k", "label", block.alias("block")).distinct().join(turns, "block")
+    index = (mixed.select("k", "label", "block").distinct().join(turns, "block")
              .withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))))
     rows = (asks.join(turns, "block").withColumn("turn", F.pmod(F.xxhash64("k"), F.col("turns")))
             .select("block", "turn", "k", "label", F.lit(True).alias("query"))
@@ -343,17 +353,16 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     total = texts.agg(F.sum("n")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, total / 2 / BUCKET_POSTINGS))))
-    sent = written(_prefix_postings(rows.select("text"), words, percent, bits), "postings")
-    counted = (sent.where("bucket is not null").groupBy("bucket")
-               .applyInArrow(_count_shared, "key64 long, shared long"))
-    known = sent.where("bucket is null").select("key64", "shared")
-    shared = counted.unionByName(known).groupBy("key64").agg(F.sum("shared").alias("shared"))
+    sent = _prefix_postings(rows.select("text"), words, percent, bits)
+    counted = sent.groupBy("bucket").applyInArrow(_count_shared, "key64 long, shared long")
+    shared = counted.groupBy("key64").agg(F.sum("shared").alias("shared"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 4))
     live = (texts.where("rep is not null").join(shared, "key64").where(F.col("shared") >= least)
             .select("key", "rep"))
     live = written(live, "live")
 
-    chosen = (rows.where("doc_id is not null").join(live, F.col("doc_id") == F.col("rep"))
+    # the same join at every size; near-duplicates grow with the input
+    chosen = (rows.where("doc_id is not null").join(live.hint("merge"), F.col("doc_id") == F.col("rep"))
               .select("rep", "key", "text"))
     sets = _sets(chosen, words).dropDuplicates(["key"])
     sets = written(sets, "sets").withColumn("k", F.monotonically_increasing_id())
