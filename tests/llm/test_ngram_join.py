@@ -78,7 +78,7 @@ def test_against_all_pairs(spark, seed):
 
 def test_small_blocks(spark, monkeypatch):
     """Chunks, buckets, index blocks and query turns of a few rows change nothing."""
-    for name, value in (("CHUNK_POSTINGS", 300), ("BUCKET_POSTINGS", 200), ("INDEX_TEXTS", 3),
+    for name, value in (("CHUNK_POSTINGS", 300), ("BUCKET_POSTINGS", 200), ("BUCKET_BITS", 0), ("INDEX_TEXTS", 3),
                         ("QUERY_TEXTS", 2)):
         monkeypatch.setattr(nj, name, value)
     rows = families(2)

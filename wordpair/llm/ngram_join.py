@@ -41,8 +41,9 @@ from wordpair.llm.store import written
 
 #: Postings a task collects before it sends them off.
 CHUNK_POSTINGS = 2_000_000
-#: Postings a bucket of the hash range holds on average.
-BUCKET_POSTINGS = 1_000_000
+#: Postings a bucket of the hash range holds on average, and how many buckets there
+#: are at least (powers of two).
+BUCKET_POSTINGS, BUCKET_BITS = 1_000_000, 10
 #: Texts a block of the final search indexes, and queries it answers in one task.
 INDEX_TEXTS, QUERY_TEXTS = 2000, 4000
 #: Weight of binary search against merging (DivideSkip).
@@ -352,7 +353,7 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(texts.select("key", "rep", "n", _key64("key").alias("key64")), "texts")
 
     total = texts.agg(F.sum("n")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, total / 2 / BUCKET_POSTINGS))))
+    bits = max(BUCKET_BITS, math.ceil(math.log2(max(1, total / 2 / BUCKET_POSTINGS))))
     sent = _prefix_postings(rows.select("text"), words, percent, bits)
     counted = sent.groupBy("bucket").applyInArrow(_count_shared, "key64 long, shared long")
     shared = counted.groupBy("key64").agg(F.sum("shared").alias("shared"))
