@@ -11,7 +11,7 @@ from wordpair.operators.train import TrainingConfig
 from wordpair.operators.vocab import build_vocabulary
 from wordpair.plans.pipeline import PipelineConfig, run_pipeline
 from wordpair.sources.corpus import document_tokens
-from wordpair.streaming import latest_pairs, start_incremental_pairs
+from wordpair.streaming import compact, latest_pairs, start_incremental_pairs
 
 from conftest import SF0001
 
@@ -74,6 +74,7 @@ def test_incremental_pairs_equal_batch(spark, tmp_path):
     q = start_incremental_pairs(spark, str(src / "*"), "doc_id long, text string", vocab,
                                 str(tmp_path / "pairs"), str(tmp_path / "ck"), window=10)
     q.awaitTermination()
+    compact(spark, str(tmp_path / "pairs"))
     docs.where("doc_id % 2 = 1").write.parquet(str(src / "b"))
     q = start_incremental_pairs(spark, str(src / "*"), "doc_id long, text string", vocab,
                                 str(tmp_path / "pairs"), str(tmp_path / "ck"), window=10)
@@ -81,3 +82,5 @@ def test_incremental_pairs_equal_batch(spark, tmp_path):
     got = latest_pairs(spark, str(tmp_path / "pairs"))
     full = cooccurrence(document_tokens(docs), vocab, 10)
     assert got.exceptAll(full).count() == 0 and full.exceptAll(got).count() == 0
+    folders = sorted(f.name for f in (tmp_path / "pairs").iterdir())
+    assert folders == ["batch=0", "batch=1", "upto=0"]

@@ -1,48 +1,36 @@
 """Incremental pair counts over a stream of new sequences.
 
 New documents arrive as files in a folder; each micro-batch is split,
-encoded against a fixed vocabulary, counted with the same window pairs
-operator, and merged (+) into the pair table kept under ``table_path``.
-With ``boundary='sequence'`` documents are independent, so counts of a
-batch add exactly to the counts of all earlier batches.
-
-Each batch writes a new version folder ``<table>/v=<batch_id>`` holding the
-merged counts, and a batch is only applied once (its id is in the folder
-name), so a retried batch after a failure rewrites the same version.
+encoded against a fixed vocabulary and counted with the same window pairs
+operator.  With ``boundary='sequence'`` documents are independent, so counts
+of batches add up exactly.
+
+A batch appends its own counts as ``<table>/batch=<id>``: nothing that was
+written before is read or rewritten, and a batch retried after a failure writes
+the same folder again.  ``latest_pairs`` adds up what is there; ``compact`` stores
+that sum as ``<table>/upto=<id>``, which then stands for the batches before it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wordpair.operators.cooccur import cooccurrence, merge_counts
 from wordpair.sources.corpus import document_tokens
 from wordpair.sources.stages import stage_exists
 
 
-def _latest(spark: SparkSession, table_path: str, before: int) -> DataFrame | None:
-    for b in range(before - 1, -1, -1):
-        p = f"{table_path}/v={b}"
-        if stage_exists(spark, p):
-            return spark.read.parquet(p)
-    return None
-
-
 def update_pairs(batch: DataFrame, batch_id: int, vocab: DataFrame, table_path: str,
                  window: int = 10) -> None:
-    spark = batch.sparkSession
-    new = cooccurrence(document_tokens(batch), vocab, window)
-    old = _latest(spark, table_path, batch_id)
-    merged = new if old is None else merge_counts(old.select("w1", "w2", "x"), new)
-    merged.write.mode("overwrite").parquet(f"{table_path}/v={batch_id}")
+    counts = cooccurrence(document_tokens(batch), vocab, window)
+    counts.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
 
 def start_incremental_pairs(spark: SparkSession, source_dir: str, schema: str, vocab: DataFrame,
                             table_path: str, checkpoint: str, window: int = 10,
                             once: bool = True):
     """Structured Streaming query: parquet files in ``source_dir`` with
-    ``(doc_id, text)`` -> merged pair table versions under ``table_path``."""
+    ``(doc_id, text)`` -> one folder of pair counts per batch under ``table_path``."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
     w = (stream.select("doc_id", "text").writeStream
          .foreachBatch(lambda df, bid: update_pairs(df, bid, vocab, table_path, window))
@@ -51,14 +39,34 @@ def start_incremental_pairs(spark: SparkSession, source_dir: str, schema: str, v
     return w.start()
 
 
-def latest_pairs(spark: SparkSession, table_path: str) -> DataFrame:
-    """The newest merged version."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(table_path)
+def _complete(spark: SparkSession, table_path: str, kind: str) -> list[int]:
+    """Ids of the folders ``<kind>=<id>`` that were written in full."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    vs = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
-                if s.getPath().getName().startswith("v="))
-    for v in reversed(vs):
-        if stage_exists(spark, f"{table_path}/v={v}"):
-            return spark.read.parquet(f"{table_path}/v={v}").select("w1", "w2", F.col("x"))
-    raise FileNotFoundError(table_path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    ids = [int(n.split("=")[1]) for n in names if n.startswith(f"{kind}=")]
+    return sorted(i for i in ids if stage_exists(spark, f"{table_path}/{kind}={i}"))
+
+
+def _folders(spark: SparkSession, table_path: str) -> tuple[list[str], int]:
+    upto = max(_complete(spark, table_path, "upto"), default=-1)
+    batches = [b for b in _complete(spark, table_path, "batch") if b > upto]
+    folders = [f"{table_path}/upto={upto}"] * (upto >= 0) + [f"{table_path}/batch={b}" for b in batches]
+    return folders, max([upto, *batches])
+
+
+def latest_pairs(spark: SparkSession, table_path: str) -> DataFrame:
+    """``(w1, w2, x)`` over all batches so far."""
+    folders, _ = _folders(spark, table_path)
+    if not folders:
+        raise FileNotFoundError(table_path)
+    return merge_counts(*(spark.read.parquet(f).select("w1", "w2", "x") for f in folders))
+
+
+def compact(spark: SparkSession, table_path: str) -> str:
+    """Store the counts of all batches so far as one table."""
+    _, upto = _folders(spark, table_path)
+    path = f"{table_path}/upto={upto}"
+    if not stage_exists(spark, path):
+        latest_pairs(spark, table_path).write.mode("overwrite").parquet(path)
+    return path
