@@ -1,7 +1,7 @@
 """Language identification as a mixture: which languages a text is written in,
 and in what proportions.
 
-Each language has a smoothed distribution over hashed n-grams (1 to 4 bytes),
+Each language has a smoothed distribution over hashed n-grams (1 to 3 bytes),
 counted over all training rows.  A text's n-grams come from a mixture of those
 distributions; expectation-maximisation estimates the proportions.  Of the sets
 made of the k largest languages (k = 1, 2, ...), the one with the highest
@@ -19,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordpair.llm.ngrams import add_up, bucket_counts, hashed, plain, slices
+from wordpair.llm.ngrams import add_up, bucket_counts
 
-ORDERS = (1, 2, 3, 4)
-BITS = 15
+ORDERS = (1, 2, 3)
+BITS = 14
 ALPHA = 0.5
-EM_STEPS = 12
+EM_STEPS = 8
 SET_STEPS = 8
 #: Penalty a language of the chosen set, in units of ln(n-grams).
 PENALTY = 8.0
-#: The model holds languages x 2**BITS floats (128 KB a language) and goes to every
+#: The model holds languages x 2**BITS floats (64 KB a language) and goes to every
 #: task; beyond this many languages fitting is an error, nothing is dropped.
 MAX_LANGUAGES = 1000
 #: n-gram entries that run through EM at once.
@@ -68,17 +68,40 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
 
 def _counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their occurrences."""
-    dense = None
-    data = plain(text)
-    if len(data) < 4000:
-        return np.unique(hashed(data, ORDERS, BITS), return_counts=True)
-    for piece in slices(data, max(ORDERS)):
-        c = np.bincount(hashed(piece, ORDERS, BITS), minlength=1 << BITS)
-        dense = c if dense is None else dense + c
+    dense = bucket_counts(text, ORDERS, BITS)
     found = np.flatnonzero(dense)
     return found, dense[found]
 
 
+class Entries:
+    """The n-grams of a block of texts as one sparse matrix."""
+
+    def __init__(self, doc: np.ndarray, count: np.ndarray, logp: np.ndarray):
+        self.count, self.logp = count, logp
+        self.first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        self.doc = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(doc))))
+        self.total = np.add.reduceat(count, self.first, dtype=np.float64)
+        # relative to the best language of each n-gram, so that exp() keeps its range
+        peak = logp.max(axis=1)
+        self.like = np.exp(logp - peak[:, None])
+        self.base = np.add.reduceat((count * peak).astype(np.float64), self.first)
+
+    def em(self, pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions after ``steps`` and their log-likelihood, per text."""
+        for _ in range(steps):
+            joint = self.like * pi[self.doc]
+            joint *= (self.count / joint.sum(axis=1))[:, None]
+            pi = (np.add.reduceat(joint, self.first, axis=0) / self.total[:, None]).astype(np.float32)
+        mixed = np.einsum("ij,ij->i", self.like, pi[self.doc])
+        return pi, self.base + np.add.reduceat((self.count * np.log(np.maximum(mixed, 1e-30)))
+                                               .astype(np.float64), self.first)
+
+    def of(self, docs: np.ndarray) -> Entries:
+        """The same for some of the texts (ascending)."""
+        keep = np.isin(self.doc, docs)
+        return Entries(self.doc[keep], self.count[keep], self.logp[keep])
+
+
 class Mixture:
     """EM over a block of texts at once."""
 
@@ -102,46 +125,31 @@ class Mixture:
 
     def _block(self, block) -> list[dict[str, float]]:
         n_docs, n_langs = len(block), len(self.langs)
-        sizes = np.array([len(f) for f, _ in block])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         found = np.concatenate([f for f, _ in block])
         count = np.concatenate([c for _, c in block]).astype(np.float32)
-        doc = np.repeat(np.arange(n_docs), sizes)
-        total = np.add.reduceat(count, first, dtype=np.float64)
-        logp = self.logp[found]
-        # relative to the best language of each n-gram, so that exp() keeps its range
-        peak = logp.max(axis=1)
-        like = np.exp(logp - peak[:, None])
-        base = np.add.reduceat((count * peak).astype(np.float64), first)
-
-        def em(pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-            for _ in range(steps):
-                joint = like * pi[doc]
-                joint *= (count / joint.sum(axis=1))[:, None]
-                pi = (np.add.reduceat(joint, first, axis=0) / total[:, None]).astype(np.float32)
-            mixed = np.einsum("ij,ij->i", like, pi[doc])
-            return pi, base + np.add.reduceat((count * np.log(np.maximum(mixed, 1e-30)))
-                                              .astype(np.float64), first)
-
-        pi, _ = em(np.full((n_docs, n_langs), 1.0 / n_langs, np.float32), EM_STEPS)
+        doc = np.repeat(np.arange(n_docs), [len(f) for f, _ in block])
+        texts = Entries(doc, count, self.logp[found])
+
+        pi, most = texts.em(np.full((n_docs, n_langs), 1.0 / n_langs, np.float32), EM_STEPS)
         order = np.argsort(-pi, axis=1, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(n_langs)[None, :], axis=1)
-        single = np.add.reduceat((count[:, None] * logp).astype(np.float64), first, axis=0)
-        best = single.argmax(axis=1)
+        single = np.add.reduceat((texts.count[:, None] * texts.logp).astype(np.float64), texts.first, axis=0)
         chosen = np.zeros((n_docs, n_langs), np.float32)
-        chosen[np.arange(n_docs), best] = 1.0
-        cost = PENALTY * np.log(np.maximum(total, 2.0))
+        chosen[np.arange(n_docs), single.argmax(axis=1)] = 1.0
+        cost = PENALTY * np.log(np.maximum(texts.total, 2.0))
         value = single.max(axis=1) - cost
         for k in range(2, n_langs + 1):
-            start = np.where(rank < k, np.maximum(pi, 1e-4), 0.0).astype(np.float32)
-            start /= start.sum(axis=1, keepdims=True)
-            got, ll = em(start, SET_STEPS)
-            better = ll - k * cost > value
-            chosen[better], value = got[better], np.where(better, ll - k * cost, value)
-            if not better.any():
-                # a larger set costs more and its likelihood is at most that of all languages
+            # no set is likelier than all languages together, so most texts end here
+            open_ = np.flatnonzero(most + cost / 4 - k * cost > value)
+            if not len(open_):
                 break
+            start = np.where(rank[open_] < k, np.maximum(pi[open_], 1e-4), 0.0).astype(np.float32)
+            start /= start.sum(axis=1, keepdims=True)
+            got, ll = texts.of(open_).em(start, SET_STEPS)
+            better = ll - k * cost[open_] > value[open_]
+            chosen[open_[better]] = got[better]
+            value[open_[better]] = (ll - k * cost[open_])[better]
         return [{self.langs[j]: float(row[j]) for j in np.flatnonzero(row > 0)} for row in chosen]
 
 
