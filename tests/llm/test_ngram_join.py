@@ -85,6 +85,29 @@ def test_small_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_numbers_do_not_follow_the_splits(spark, monkeypatch):
+    """A text keeps its number when a later job cuts the scan of the sets in another way."""
+    seen = {}
+
+    def links(sets, percent):
+        for n in ("1g", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", n)
+            seen[n] = {bytes(r.key): r.k for r in sets.select("key", "k").collect()}
+        return spark.createDataFrame([], "a long, b long")
+
+    monkeypatch.setattr(nj, "_links", links)
+    names = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    old = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[1], "1")
+    try:
+        run(spark, families(0))
+    finally:
+        for n, v in zip(names, old, strict=True):
+            spark.conf.set(n, v)
+    assert len(set(seen["1g"].values())) == len(seen["1g"]) > 50
+    assert seen["1g"] == seen["1k"]
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = sorted(map(tuple, nj.shingle_classes(odd_docs).collect()), key=str)

@@ -366,7 +366,8 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = (rows.where("doc_id is not null").join(live.hint("merge"), F.col("doc_id") == F.col("rep"))
               .select("rep", "key", "text"))
     sets = _sets(chosen, words).dropDuplicates(["key"])
-    sets = written(sets, "sets").withColumn("k", F.monotonically_increasing_id())
+    # numbered before the write: a number made in each scan would follow the scan's splits
+    sets = written(sets.withColumn("k", F.monotonically_increasing_id()), "sets")
     roots = components(_links(sets, percent))
     classes = (sets.select("k", "key", "rep").join(roots.withColumnRenamed("node", "k"), "k")
                .select("key", "rep", "root"))
