@@ -108,6 +108,19 @@ def test_numbers_do_not_follow_the_splits(spark, monkeypatch):
     assert seen["1g"] == seen["1k"]
 
 
+def test_null_ids_pass_links_on(spark):
+    """A(1) ~ N(null) ~ B(2), where A and B are not linked; copies of N; a pair without ids."""
+    w = [f"v{i}" for i in range(100)]
+    a, n, b = (w + ["x"] * 4, w[10:] + [f"y{i}" for i in range(10)], w[20:] + [f"y{i}" for i in range(20)])
+    pair = [f"z{i}" for i in range(60)]
+    rows = [(2, " ".join(b)), (1, " ".join(a)), (None, " ".join(n)), (None, " ".join(n)),
+            (None, " ".join(pair)), (None, " ".join(pair + ["end"])), (9, "alone")]
+    assert brute(rows[:2]) == [(1, 100, 1), (2, 96, 2)]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert Counter(c for d, _, c in got if d is None) == {1: 2, None: 2}
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = sorted(map(tuple, nj.shingle_classes(odd_docs).collect()), key=str)

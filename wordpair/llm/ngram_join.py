@@ -67,6 +67,14 @@ def _text_key(text: bytes | None) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split()))
 
 
+def _key_of(text_col: str):
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([_text_key(t.as_py()) for t in texts], pa.binary())
+
+    # not evaluated again in filters
+    return F.arrow_udf(run, "binary").asNondeterministic()(F.col(text_col).cast("binary"))
+
+
 def _sketch(rows: DataFrame, words: int) -> DataFrame:
     """(doc_id, text) -> doc_id, key, n (shingles)."""
 
@@ -358,14 +366,17 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = sent.groupBy("bucket").applyInArrow(_count_shared, "key64 long, shared long")
     shared = counted.groupBy("key64").agg(F.sum("shared").alias("shared"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 4))
-    live = (texts.where("rep is not null").join(shared, "key64").where(F.col("shared") >= least)
-            .select("key", "rep"))
+    live = texts.join(shared, "key64").where(F.col("shared") >= least).select("key", "rep")
     live = written(live, "live")
 
     # the same join at every size; near-duplicates grow with the input
     chosen = (rows.where("doc_id is not null").join(live.hint("merge"), F.col("doc_id") == F.col("rep"))
               .select("rep", "key", "text"))
     sets = _sets(chosen, words).dropDuplicates(["key"])
+    # a text that only has null ids is found by its key
+    unnamed = rows.where("doc_id is null").select(_key_of("text").alias("key"), "text").dropDuplicates(["key"])
+    unnamed = unnamed.join(live.where("rep is null"), "key").select("rep", "key", "text")
+    sets = sets.unionByName(_sets(unnamed, words))
     # numbered before the write: a number made in each scan would follow the scan's splits
     sets = written(sets.withColumn("k", F.monotonically_increasing_id()), "sets")
     roots = components(_links(sets, percent))
