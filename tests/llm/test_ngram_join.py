@@ -137,6 +137,18 @@ def test_odd_rows(odd_docs, no_docs):
     assert nj.one_of_each(no_docs).count() == 0
 
 
+def test_one_of_each_decides_by_text(spark):
+    """Rows that repeat an id: other texts stay, copies and near copies go."""
+    t = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(5, t[0]), (5, t[1]), (5, t[1]), (5, ""), (5, None), (3, t[0] + " end"), (7, t[1] + " end"),
+            (8, t[2]), (8, t[2] + " end"), (None, t[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, nj.one_of_each(docs).collect()), key=str)
+    assert [r for r in got if r[0] == 8] in ([(8, t[2])], [(8, t[2] + " end")])
+    got = [(d, x or "") for d, x in got if d != 8]
+    assert got == sorted([(3, t[0] + " end"), (5, t[1]), (5, ""), (None, t[0])], key=str)
+
+
 def test_search_finds_what_all_pairs_find():
     rng = np.random.default_rng(0)
     base = np.arange(0, 400, 2)

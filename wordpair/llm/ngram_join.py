@@ -342,18 +342,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return near.unionByName(written(found, "search-links"))
 
 
-def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    words: int = 5, percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, component_id``, one row a document.
-
-    Words are runs of other than ASCII white space, A-Z in lower case; a text with
-    fewer than ``words`` words is one shingle.  Texts link when their shingle sets'
-    Jaccard similarity is at least ``percent`` %.  ``component_id`` is the smallest
-    id reachable by links.  Null or empty texts have no shingles and link with
-    nothing.  A row with a null id passes links on; its component is that of its
-    text (null if no row of the component has an id).  Repeated rows are copies.
-    Extra columns are ignored.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = 5, percent: int = 75) -> DataFrame:
+    """``shingle_classes`` with the text's ``key`` and the ``root`` of its class (null
+    where no other text is linked)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("binary").alias("text"))
     sketch = written(_sketch(rows, words), "sketch")
@@ -380,18 +371,34 @@ def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # numbered before the write: a number made in each scan would follow the scan's splits
     sets = written(sets.withColumn("k", F.monotonically_increasing_id()), "sets")
     roots = components(_links(sets, percent))
-    classes = (sets.select("k", "key", "rep").join(roots.withColumnRenamed("node", "k"), "k")
-               .select("key", "rep", "root"))
-    least_id = classes.groupBy("root").agg(F.min("rep").alias("component"))
-    by_key = classes.join(least_id, "root").select("key", "component")
+    linked = (sets.select("k", "key", "rep").join(roots.withColumnRenamed("node", "k"), "k")
+              .select("key", "rep", "root"))
+    least_id = linked.groupBy("root").agg(F.min("rep").alias("component"))
+    by_key = linked.join(least_id, "root").select("key", "component", "root")
     found = texts.select("key", "rep").join(by_key, "key", "left") \
-        .select("key", F.coalesce("component", "rep").alias("component_id"))
-    a = sketch.where("n > 0").join(found, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    b = sketch.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"),
-                                     F.col("doc_id").alias("component_id"))
+        .select("key", F.coalesce("component", "rep").alias("component_id"), "root")
+    a = sketch.where("n > 0").join(found, "key") \
+        .select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "root")
+    b = sketch.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"),
+                                     F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
     return a.unionByName(b)
 
 
+def shingle_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    words: int = 5, percent: int = 75) -> DataFrame:
+    """``doc_id, n_shingles, component_id``, one row a document.
+
+    Words are runs of other than ASCII white space, A-Z in lower case; a text with
+    fewer than ``words`` words is one shingle.  Texts link when their shingle sets'
+    Jaccard similarity is at least ``percent`` %.  ``component_id`` is the smallest
+    id reachable by links.  Null or empty texts have no shingles and link with
+    nothing.  A row with a null id passes links on; its component is that of its
+    text (null if no row of the component has an id).  Repeated rows are copies.
+    Extra columns are ignored.
+    """
+    return _classes(docs, id_col, text_col, words, percent).drop("key", "root")
+
+
 def _key64(key: str):
     """The first 8 bytes of a key, as a little-endian signed number."""
     turned = F.concat(*[F.substring(key, i, 1) for i in range(8, 0, -1)])
@@ -402,8 +409,14 @@ def _key64(key: str):
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest id; its columns
-    untouched.  Of rows that repeat that id one is kept; rows with a null id stay."""
-    classes = shingle_classes(docs, id_col, text_col, **options)
-    keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("__keep")).drop("__keep")
-    return named.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    untouched.  A row goes only if its own text is a copy or near copy: rows that
+    repeat an id with texts of several classes stay, one a class.  Rows with a null
+    id stay."""
+    classes = _classes(docs, id_col, text_col, **options).where("doc_id = component_id")
+    near = F.coalesce(F.col("root").cast("string").cast("binary"), F.col("key"))
+    keep = (classes.groupBy("doc_id", near, F.col("root").isNull()).agg(F.min("key").alias("__key"))
+            .select(F.col("doc_id").alias("__keep"), "__key"))
+    keyed = docs.where(F.col(id_col).isNotNull()).withColumn("__own", _key_of(text_col))
+    named = keyed.join(keep, (F.col(id_col) == F.col("__keep")) & (F.col("__own") == F.col("__key")))
+    return (named.dropDuplicates([id_col, "__own"]).drop("__keep", "__key", "__own")
+            .unionByName(docs.where(F.col(id_col).isNull())))
