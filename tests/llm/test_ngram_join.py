@@ -2,6 +2,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from wordpair.llm import ngram_join as nj
@@ -166,6 +168,32 @@ def test_search_finds_what_all_pairs_find():
     assert index.search(np.array([-1, -2])) == []
 
 
+@pytest.mark.parametrize("bits", [3, 8])
+def test_a_bucket_sends_a_row_a_range(bits):
+    """Rows of a bucket are bounded by the ranges, whatever texts it holds; sums stay."""
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-2 ** 63, 2 ** 63, 5000)
+    none = [None, None]
+    tables = [pa.table({"bucket": pa.array([b, b]), "keys": [keys[:3000].tobytes(), keys[2000:].tobytes()],
+                        "texts": [np.arange(3000, dtype="<u2").tobytes()] * 2,
+                        "hashes": [np.arange(3000, dtype="<u4").tobytes()] * 2,
+                        "key64": pa.array(none, pa.int64()), "shared": pa.array(none, pa.int64())})
+              for b in (0, 1)]
+    known = pa.table({"bucket": pa.array([-1, -1]), "key64": pa.array(keys[[7, 7]]), "shared": pa.array([4, 5])})
+    sent = [nj._count_shared(bits)(t) for t in (*tables, known)]
+    assert [t.num_rows for t in sent] == [2 ** bits, 2 ** bits, 1]
+    got = Counter()
+    for part in {r for t in sent for r in t.column("range").to_pylist()}:
+        t = nj._add_shared(pa.concat_tables([x.filter(pc.equal(x["range"], part)) for x in sent]))
+        got.update(dict(zip(*(t.column(c).to_pylist() for c in ("key64", "shared")), strict=True)))
+    want = Counter()
+    for a, b in zip(keys[:3000].tolist(), keys[2000:].tolist(), strict=True):
+        if a != b:
+            want.update({a: 2, b: 2})
+    want[int(keys[7])] += 9
+    assert got == want
+
+
 def test_the_prefix_keeps_the_overlap():
     """What step 2 asks of a text is met by every text that has a partner."""
     rng = np.random.default_rng(1)

@@ -43,7 +43,9 @@ from wordpair.llm.store import written
 CHUNK_POSTINGS = 2_000_000
 #: Postings a bucket of the hash range holds on average, and how many buckets there
 #: are at least (powers of two).
-BUCKET_POSTINGS, BUCKET_BITS = 1_000_000, 10
+BUCKET_POSTINGS, BUCKET_BITS = 1_000_000, 0
+#: Ranges of text keys (a power of two): a bucket sends one packed row to each.
+RANGE_BITS = 8
 #: Texts a block of the final search indexes, and queries it answers in one task.
 INDEX_TEXTS, QUERY_TEXTS = 2000, 4000
 #: Weight of binary search against merging (DivideSkip).
@@ -156,11 +158,10 @@ def _prefix_postings(rows: DataFrame, words: int, percent: int, bits: int) -> Da
     return rows.mapInArrow(run, schema)
 
 
-def _count_shared(table: pa.Table) -> pa.Table:
-    """One bucket's postings -> ``key64, shared``: shingles that another text has too."""
+def _shared_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """One bucket's postings -> texts and how many shingles another text has too."""
     if table.column("bucket")[0].as_py() < 0:
-        return table.select(["key64", "shared"]).group_by("key64").aggregate([("shared", "sum")]) \
-            .rename_columns(["key64", "shared"])
+        return _added(table.column("key64").to_numpy(), table.column("shared").to_numpy())
     hashes, keys = [], []
     for k, t, h in zip(*(table.column(c) for c in ("keys", "texts", "hashes")), strict=True):
         k, h = np.frombuffer(k.as_buffer(), "<i8"), np.frombuffer(h.as_buffer(), "<u4")
@@ -178,8 +179,40 @@ def _count_shared(table: pa.Table) -> pa.Table:
     # copies of a text in other tasks must not count a shingle twice
     pairs = np.unique(np.stack([key[row], h[row].astype(np.int64)]), axis=1)[0] if row.any() \
         else np.zeros(0, np.int64)
-    got, count = np.unique(pairs, return_counts=True)
-    return pa.table({"key64": pa.array(got, pa.int64()), "shared": pa.array(count, pa.int64())})
+    return np.unique(pairs, return_counts=True)
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (ascending) and their sums."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+def _count_shared(range_bits: int):
+    """One bucket's postings -> counts packed by range of the text keys
+    (``range, keys, counts``), so a bucket sends at most 2**range_bits rows."""
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, counts = _shared_of(table)
+        range_ = keys >> np.int64(64 - range_bits)
+        cut = np.flatnonzero(np.concatenate([[True], range_[1:] != range_[:-1]])) if len(keys) else []
+        ends = np.append(cut[1:], len(keys)) if len(keys) else []
+        parts = list(zip(cut, ends, strict=True))
+        return pa.table({"range": pa.array([int(range_[a]) for a, _ in parts], pa.int64()),
+                         "keys": pa.array([keys[a:b].astype("<i8").tobytes() for a, b in parts], pa.binary()),
+                         "counts": pa.array([counts[a:b].astype("<i4").tobytes() for a, b in parts], pa.binary())})
+
+    return count
+
+
+def _add_shared(table: pa.Table) -> pa.Table:
+    """The packed counts of one range of text keys -> ``key64, shared``."""
+    keys = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in table.column("keys")])
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), "<i4") for x in table.column("counts")])
+    keys, counts = _added(keys, counts.astype(np.int64))
+    return pa.table({"key64": pa.array(keys, pa.int64()), "shared": pa.array(counts, pa.int64())})
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
@@ -354,8 +387,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = 5, percen
     total = texts.agg(F.sum("n")).first()[0] or 0
     bits = max(BUCKET_BITS, math.ceil(math.log2(max(1, total / 2 / BUCKET_POSTINGS))))
     sent = _prefix_postings(rows.select("text"), words, percent, bits)
-    counted = sent.groupBy("bucket").applyInArrow(_count_shared, "key64 long, shared long")
-    shared = counted.groupBy("key64").agg(F.sum("shared").alias("shared"))
+    # far more buckets than ranges would make the ranges too large for a task
+    packed = _count_shared(max(RANGE_BITS, bits - 4))
+    counted = sent.groupBy("bucket").applyInArrow(packed, "range long, keys binary, counts binary")
+    shared = counted.groupBy("range").applyInArrow(_add_shared, "key64 long, shared long")
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 4))
     live = texts.join(shared, "key64").where(F.col("shared") >= least).select("key", "rep")
     live = written(live, "live")
