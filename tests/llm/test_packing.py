@@ -84,6 +84,17 @@ def test_groups_and_sequences(spark):
             assert str(r.ids[a:b])[1:-1] in str(ids[d])
 
 
+def test_short_pieces_fill_sequences(spark):
+    """Groups are sized by tokens: 60,000 pieces of 8 to 12 ids leave few ids unused."""
+    df = spark.range(60_000).select((F.abs(F.xxhash64("id")) % 5 + 8).alias("length"))
+    out = pk.assign(df)
+    total, used = out.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    print("sequences", used, "of at least", -(-total // 4096))
+    assert used <= 1 + -(-total // 4096)
+    assert pk.pieces_a_group(10 ** 9, 4 * 10 ** 11, 4096) == 10240
+    assert pk.pieces_a_group(10 ** 9, 10 ** 9, 4096) == pk.MOST_PIECES
+
+
 def test_other_columns_go_along(spark):
     df = spark.range(50).select((F.col("id") % 9 + 1).alias("length"), F.col("id").alias("group"),
                                 F.lit("x").alias("bin"))

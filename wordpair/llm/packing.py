@@ -5,8 +5,9 @@ length are sequences of their own; the others are dealt evenly into packing
 groups of a bounded number of pieces, and each group is packed by best-fit
 decreasing in one task.  The open sequences are kept by remaining capacity in a
 segment tree, so the tightest one that holds a piece is found in
-O(log capacity).  A group leaves at most about one sequence badly filled, so a
-group of thousands of pieces packs as well as all pieces together.
+O(log capacity).  A group leaves at most about one sequence badly filled, so groups
+are sized by tokens: one that fills a thousand sequences packs about as well as all
+pieces together.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from wordpair.llm.store import written
 from wordpair.llm.word_bpe import encoder
 
 CAPACITY = 4096
-#: Pieces a packing group: bounds the rows of a task.
-GROUP_PIECES = 8192
+#: Pieces a packing group at least and at most (bounds the rows of a task), and the
+#: sequences its tokens fill: of short pieces a group takes more.
+GROUP_PIECES, MOST_PIECES = 8192, 1 << 19
+GROUP_SEQUENCES = 1000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -125,7 +128,12 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     return rows.mapInArrow(run, schema)
 
 
-def assign(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pieces_a_group(n: int, tokens: int, capacity: int) -> int:
+    """So many of ``n`` pieces as fill GROUP_SEQUENCES sequences, within the bounds."""
+    return min(MOST_PIECES, max(GROUP_PIECES, -(-GROUP_SEQUENCES * capacity * n // max(1, tokens))))
+
+
+def assign(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of at most
     ``capacity``; other columns (an ``ids`` array, say) go along unchanged.
 
@@ -136,8 +144,8 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROU
     pieces = written(pieces, "pieces").withColumn("__place", F.monotonically_increasing_id())
     full = pieces.where(F.col("length") >= capacity)
     part = pieces.where("length < " + str(capacity))
-    n = part.count()
-    groups = max(1, -(-n // group_pieces))
+    n, tokens = part.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    groups = max(1, -(-n // (group_pieces or pieces_a_group(n, tokens, capacity))))
     # a partition's rows go round all groups, and partitions start at different ones
     turn = F.shiftright("__place", 33) * 7919 + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
     part = part.withColumn("__group", F.pmod(turn, F.lit(groups)))
