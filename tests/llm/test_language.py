@@ -41,6 +41,34 @@ def test_em_reaches_the_best_proportion(model):
     assert abs(mix["aa"] - best) < 0.03
 
 
+@pytest.mark.parametrize("langs, grams, share, sim", [(10, 10 ** 6, .06, .3), (40, 3 * 10 ** 6, .08, .15)])
+def test_long_text_of_similar_languages(langs, grams, share, sim):
+    """A small second language is found where 8 steps are far from the maximum."""
+    rng = np.random.default_rng(0)
+    base = rng.normal(0, 1, 1 << lg.BITS)
+    model = {}
+    for i in range(langs):
+        x = base + rng.normal(0, sim, 1 << lg.BITS)
+        model[f"l{i:02d}"] = (x - np.log(np.exp(x).sum())).astype(np.float32)
+    p = sum(w * np.exp(model[k].astype(float)) for k, w in (("l00", 1 - share), ("l01", share)))
+    count = rng.multinomial(grams, p / p.sum())
+    found = np.flatnonzero(count)
+    mix = lg.Mixture(model)._block([(found, count[found])])[0]
+    assert set(mix) == {"l00", "l01"} and mix["l00"] > 0.8
+
+
+def test_slack_bounds_the_maximum(model):
+    rng = np.random.default_rng(5)
+    found, count = lg._counts((text(rng, "aa", 300) + " " + text(rng, "bb", 20)).encode())
+    mixture = lg.Mixture(model)
+    e = lg.Entries(np.zeros(len(found), int), count.astype(np.float32), mixture.logp[found])
+    start = np.full((1, 3), 1 / 3, np.float32)
+    best = e.em(start, 3000)[1]
+    for steps in (1, 2, 4, 8, 16):
+        pi, ll = e.em(start, steps)
+        assert ll + e.slack(pi) >= best - 1e-3
+
+
 def test_blocks_do_not_matter(model, monkeypatch):
     rng = np.random.default_rng(3)
     texts = [text(rng, k, n).encode() for k in SYLLABLES for n in (1, 30, 2000)]

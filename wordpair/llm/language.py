@@ -26,6 +26,9 @@ BITS = 14
 ALPHA = 0.5
 EM_STEPS = 8
 SET_STEPS = 8
+#: Rounds of EM_STEPS more for texts whose bound leaves the number of languages open; a
+#: text still open then is searched.
+MORE_ROUNDS = 12
 #: Penalty a language of the chosen set, in units of ln(n-grams).
 PENALTY = 8.0
 #: The model holds languages x 2**BITS floats (64 KB a language) and goes to every
@@ -96,6 +99,20 @@ class Entries:
         return pi, self.base + np.add.reduceat((self.count * np.log(np.maximum(mixed, 1e-30)))
                                                .astype(np.float64), self.first)
 
+    def slack(self, pi: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
+        """How much the log-likelihood at ``pi`` may be below the maximum (over the
+        languages ``within``, if given), at most.
+
+        It is concave, and by Jensen's inequality no proportions are likelier by more
+        than n ln(max_k g_k / n), g the gradient at ``pi``.
+        """
+        mixed = np.maximum(np.einsum("ij,ij->i", self.like, pi[self.doc]), 1e-30)
+        g = np.add.reduceat((self.like * (self.count / mixed)[:, None]).astype(np.float64), self.first, axis=0)
+        if within is not None:
+            g = np.where(within, g, 0.0)
+        # and the rounding of single precision
+        return self.total * (np.log(np.maximum(g.max(axis=1) / self.total, 1.0)) + 2e-6)
+
     def of(self, docs: np.ndarray) -> Entries:
         """The same for some of the texts (ascending)."""
         keep = np.isin(self.doc, docs)
@@ -131,22 +148,39 @@ class Mixture:
         texts = Entries(doc, count, self.logp[found])
 
         pi, most = texts.em(np.full((n_docs, n_langs), 1.0 / n_langs, np.float32), EM_STEPS)
-        order = np.argsort(-pi, axis=1, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(n_langs)[None, :], axis=1)
         single = np.add.reduceat((texts.count[:, None] * texts.logp).astype(np.float64), texts.first, axis=0)
         chosen = np.zeros((n_docs, n_langs), np.float32)
         chosen[np.arange(n_docs), single.argmax(axis=1)] = 1.0
         cost = PENALTY * np.log(np.maximum(texts.total, 2.0))
         value = single.max(axis=1) - cost
+        slack = texts.slack(pi)
+        for _ in range(MORE_ROUNDS):
+            open_ = np.flatnonzero((most + slack - 2 * cost > value) & (slack > cost / 4))
+            if not len(open_):
+                break
+            some = texts.of(open_)
+            pi[open_], most[open_] = some.em(pi[open_], EM_STEPS)
+            slack[open_] = some.slack(pi[open_])
+        order = np.argsort(-pi, axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(n_langs)[None, :], axis=1)
         for k in range(2, n_langs + 1):
             # no set is likelier than all languages together, so most texts end here
-            open_ = np.flatnonzero(most + cost / 4 - k * cost > value)
+            open_ = np.flatnonzero(most + slack - k * cost > value)
             if not len(open_):
                 break
             start = np.where(rank[open_] < k, np.maximum(pi[open_], 1e-4), 0.0).astype(np.float32)
             start /= start.sum(axis=1, keepdims=True)
-            got, ll = texts.of(open_).em(start, SET_STEPS)
+            some, within = texts.of(open_), start > 0
+            got, ll = some.em(start, SET_STEPS)
+            short = some.slack(got, within)
+            for _ in range(MORE_ROUNDS):
+                again = np.flatnonzero((ll + short - k * cost[open_] > value[open_]) & (short > 1))
+                if not len(again):
+                    break
+                part = some.of(again)
+                got[again], ll[again] = part.em(got[again], SET_STEPS)
+                short[again] = part.slack(got[again], within[again])
             better = ll - k * cost[open_] > value[open_]
             chosen[open_[better]] = got[better]
             value[open_[better]] = (ll - k * cost[open_])[better]
