@@ -89,3 +89,21 @@ def test_recall_at_the_threshold(dim):
     b = 0.98 * a + np.sqrt(1 - 0.98 ** 2) * b
     pairs = zip(code.decode(a, vd.MARGIN), code.decode(b, vd.MARGIN), strict=True)
     assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in pairs]) >= 0.99
+
+
+@pytest.mark.parametrize("dim", [16, 64, 256])
+@pytest.mark.parametrize("threshold", [0.95, 0.9, 0.8])
+def test_recall_at_lower_thresholds(dim, threshold):
+    rng = np.random.default_rng(3)
+    code = vd.ProductCode(dim, vd.BLOCKS, vd.CODE, 7)
+    a = rng.standard_normal((300, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = threshold * a + np.sqrt(1 - threshold ** 2) * b
+    margin = vd.margin_for(threshold, dim)
+    pairs = zip(code.decode(a, margin), code.decode(b, margin), strict=True)
+    recall = np.mean([len(np.intersect1d(x, y)) > 0 for x, y in pairs])
+    print("RECALL", threshold, dim, round(margin, 3), round(recall, 4))
+    assert recall >= 0.99

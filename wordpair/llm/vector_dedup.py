@@ -31,11 +31,22 @@ from wordpair.llm.components import components
 from wordpair.llm.store import written
 
 BLOCKS, CODE, MARGIN = 3, 64, 0.06
+#: The cosine that MARGIN was measured at.
+MARGIN_AT = 0.98
 GROUP_ROWS = 4096
 #: Vectors of one filter that one task compares with each other.
 BLOCK = 2048
 
 
+def margin_for(threshold: float, dim: int) -> float:
+    """The cap margin.  Inner products of vectors at ``threshold`` differ as the vectors
+    do, by sqrt(2 - 2 threshold), and more in few dimensions; the power of the
+    dimension is fitted to the recall at 16, 64 and 256 (tests/llm)."""
+    if threshold >= MARGIN_AT:
+        return MARGIN
+    return max(MARGIN, MARGIN * ((1 - threshold) / (1 - MARGIN_AT)) ** 0.5 * (64 / dim) ** 0.25)
+
+
 class ProductCode:
     def __init__(self, dim: int, blocks: int, code: int, seed: int):
         rng = np.random.default_rng([seed, dim])
@@ -114,7 +125,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 
 def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                    label_col: str = "label", threshold: float = 0.98, blocks: int = BLOCKS,
-                   code: int = CODE, margin: float = MARGIN, seed: int = 7) -> DataFrame:
+                   code: int = CODE, margin: float | None = None, seed: int = 7) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, one row a vector.
 
     Vectors link when their labels are equal and not null, their lengths are
@@ -149,7 +160,8 @@ def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
                 at = [i for i, x in enumerate(xs) if len(x) == dim]
                 if dim not in codes:
                     codes[dim] = ProductCode(dim, blocks, code, seed)
-                for i, f in zip(at, codes[dim].decode(unit_rows([xs[i] for i in at]), margin), strict=True):
+                wide = margin_for(threshold, dim) if margin is None else margin
+                for i, f in zip(at, codes[dim].decode(unit_rows([xs[i] for i in at]), wide), strict=True):
                     lists[i] = f
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["key", "filters"])
