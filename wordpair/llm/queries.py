@@ -12,8 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordpair.llm import (exact_dedup, language, mixing, ngram_join, packing, token_counts,
-                          token_files, toxicity, vector_dedup, warc)
+from wordpair.llm import (collocations, conversation_repair, exact_dedup, language, mixing, ngram_join,
+                          oracles, packing, secret_scan, token_counts, token_files, toxicity,
+                          vector_dedup, warc)
 from wordpair.llm.store import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,9 +85,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation_repair.audit_conversations(conversation_repair.damage(rows), rows)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases, words = collocations.phrase_counts(_table(spark, sf_dir, "documents"), longest=3, least=10)
+    return collocations.collocations(phrases, words, top=2000, shortest=2, inside_percent=50)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mixing, op2_exact_dedup, op3_vector_dedup, op4_toxicity, op5_warc, op6_token_counts,
-    op7_packing, op8_ngram_join, op9_token_files, op10_language)}
+    op7_packing, op8_ngram_join, op9_token_files, op10_language,
+    op11_conversation_repair, op12_collocations, op13_secret_scan)}
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": r"""
@@ -152,6 +168,9 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
         JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id""",
+    "op11_conversation_repair": oracles.conversation_repair(),
+    "op12_collocations": oracles.collocations(),
+    "op13_secret_scan": oracles.secret_scan_sql(),
 }
 
 
