@@ -21,7 +21,3 @@ def spark():
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wordpair-test-ckpt-"))
     yield s
-
-
-SF0001 = "/root/testdata/sf0.001"
-SF001 = "/root/testdata/sf0.01"

@@ -13,7 +13,7 @@ from wordpair.plans.pipeline import PipelineConfig, run_pipeline
 from wordpair.sources.corpus import document_tokens
 from wordpair.streaming import compact, latest_pairs, start_incremental_pairs
 
-from conftest import SF0001
+from paths import SF0001
 
 
 CFG = PipelineConfig(training=TrainingConfig(d=8, epochs=1, blocks=2), z_samples=20, pmi_samples=100)

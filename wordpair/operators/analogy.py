@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordpair.functions.vec import normalize, vadd, vsub
-from wordpair.operators.scoring import argmax_kernel, run_grid, topk_kernel
+from wordpair.operators.scoring import TopK, one_sided
 
 
 def eligible_questions(vectors: DataFrame, questions: DataFrame, lowercase: bool = True) -> DataFrame:
@@ -21,23 +21,32 @@ def eligible_questions(vectors: DataFrame, questions: DataFrame, lowercase: bool
     return q
 
 
+#: Ids that a question's answer cannot be.
+ASKED = ("a_id", "b_id", "c_id")
+
+
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    return vectors.select("id", normalize("v").alias("vn"))
+
+
+def targets(vectors: DataFrame, eligible: DataFrame) -> DataFrame:
+    """``(qid, a_id, b_id, c_id, qn)``: the direction v_b - v_a + v_c of each question."""
+    v = vectors.select("id", "v")
+    va, vb, vc = (v.select(F.col("id").alias(f"{c}_id"), F.col("v").alias(f"v{c}")) for c in "abc")
+    return (eligible.join(va, "a_id").join(vb, "b_id").join(vc, "c_id")
+            .select("qid", *ASKED, normalize(vadd(vsub("vb", "va"), "vc")).alias("qn")))
+
+
 def analogy_predictions(vectors: DataFrame, questions: DataFrame, lowercase: bool = True) -> DataFrame:
     """``(qid, relation, a_id, b_id, c_id, d_id, pred, score, correct)`` per
     eligible question.  pred = argmax over words other than a, b, c of
     cos(v_w, v_b - v_a + v_c); NaN never wins, ties go to the lowest id, and
     a question with no candidate gets pred 0 (counted wrong)."""
     el = eligible_questions(vectors, questions, lowercase)
-    v = vectors.select("id", "v")
-    va = v.select(F.col("id").alias("a_id"), F.col("v").alias("va"))
-    vb = v.select(F.col("id").alias("b_id"), F.col("v").alias("vb"))
-    vc = v.select(F.col("id").alias("c_id"), F.col("v").alias("vc"))
-    qv = (el.join(va, "a_id").join(vb, "b_id").join(vc, "c_id")
-            .select("qid", "a_id", "b_id", "c_id",
-                    normalize(vadd(vsub("vb", "va"), "vc")).alias("qn")))
-    vn = vectors.select("id", normalize("v").alias("vn"))
-    best = run_grid(vn, qv, argmax_kernel(), "qid long, pred int, score double")
+    best = one_sided(unit_vectors(vectors), targets(vectors, el), lambda block: TopK(block, 1, ASKED), TopK.schema,
+                     "analogies", vcol="vn", qcol="qn")
     top = (best.groupBy("qid")
-               .agg(F.max(F.struct(F.col("score"), (-F.col("pred")).alias("neg"))).alias("b"))
+               .agg(F.max(F.struct(F.col("score"), (-F.col("id")).alias("neg"))).alias("b"))
                .select("qid", (-F.col("b.neg")).cast("int").alias("pred"), F.col("b.score").alias("score")))
     out = el.join(top, "qid", "left")
     return out.select("qid", "relation", "a_id", "b_id", "c_id", "d_id",
@@ -49,18 +58,15 @@ def analogy_topk(vectors: DataFrame, questions: DataFrame, k: int = 5,
                  lowercase: bool = True) -> DataFrame:
     """T3 in general form: ``(qid, rank, id, score)``, the k words of highest cosine
     per eligible question, the question's own a, b, c excluded; NaN never ranks,
-    ties go to the lowest id.  At most k rows per question and word block are
-    shuffled."""
+    ties go to the lowest id.  At most k rows per question and task are shuffled."""
     el = eligible_questions(vectors, questions, lowercase)
-    v = vectors.select("id", "v")
-    va = v.select(F.col("id").alias("a_id"), F.col("v").alias("va"))
-    vb = v.select(F.col("id").alias("b_id"), F.col("v").alias("vb"))
-    vc = v.select(F.col("id").alias("c_id"), F.col("v").alias("vc"))
-    qv = (el.join(va, "a_id").join(vb, "b_id").join(vc, "c_id")
-            .select("qid", "a_id", "b_id", "c_id",
-                    normalize(vadd(vsub("vb", "va"), "vc")).alias("qn")))
-    vn = vectors.select("id", normalize("v").alias("vn"))
-    best = run_grid(vn, qv, topk_kernel(k), "qid long, id int, score double")
+    best = one_sided(unit_vectors(vectors), targets(vectors, el), lambda block: TopK(block, k, ASKED), TopK.schema,
+                     "analogies", vcol="vn", qcol="qn")
+    return ranked(best, k)
+
+
+def ranked(best: DataFrame, k: int) -> DataFrame:
+    """The k best of each query's candidates (at most k a task)."""
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id").asc())
     return (best.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
                 .select("qid", "rank", "id", "score"))

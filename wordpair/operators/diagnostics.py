@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordpair.functions.vec import dot, norm, safe_div, sqnorm, vsub
-from wordpair.operators.scoring import exp_sum_kernel, run_grid, to_matrix
+from wordpair.operators.fanin import FAN_IN, merge_tree
+from wordpair.operators.sampling import uniform
+from wordpair.operators.scoring import ExpSum, one_sided, to_matrix
 from wordpair.session import materialize
 
 
@@ -25,16 +27,15 @@ def mean_norm(vectors: DataFrame) -> float:
 def random_directions(spark: SparkSession, n_samples: int, d: int, seed: int = 0) -> DataFrame:
     """``(s BIGINT, c ARRAY<DOUBLE>)``: standard normal vectors from hashes.
 
-    Box-Muller on two uniforms from xxhash64(seed, s, k, j): the values do
+    Box-Muller on two uniforms from hashes of (seed, s, k, j): the values do
     not depend on partitioning and are generated inside the JVM.
     """
     def unif(k, j):
-        h = F.xxhash64(F.lit(seed), F.col("s"), k, F.lit(j))
-        return (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)
+        return uniform(F.lit(seed), "s", k, F.lit(j))
     c = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
                     lambda k: F.sqrt(F.lit(-2.0) * F.log(unif(k, 0)))
                     * F.cos(F.lit(2 * math.pi) * unif(k, 1)))
-    return spark.range(n_samples).select(F.col("id").alias("s"), c.alias("c"))
+    return spark.range(n_samples).select(F.col("id").alias("s")).select("s", c.alias("c"))
 
 
 def partition_function(vectors: DataFrame, directions: DataFrame | None = None,
@@ -62,7 +63,7 @@ def partition_function(vectors: DataFrame, directions: DataFrame | None = None,
     else:
         scaled = F.transform(c, lambda x: x.cast("double") * F.lit(scale))
     q = directions.select(F.col(id_col).cast("bigint").alias("qid"), scaled.alias("c"))
-    parts = run_grid(vectors.select("id", "v"), q, exp_sum_kernel(), "qid long, z double")
+    parts = one_sided(vectors, q, ExpSum, ExpSum.schema, "z-parts")
     # one row a direction, stored: the product runs once for detail, summary and bins
     z = materialize(parts.groupBy(F.col("qid").alias("s")).agg(F.sum("z").alias("z")), "z")
     mean_z = z.agg(F.avg("z")).scalar()
@@ -116,8 +117,8 @@ def _qr_r(A: np.ndarray) -> np.ndarray:
     return np.linalg.qr(A, mode="r")
 
 
-def _r_rows(R: np.ndarray, g: int) -> pa.Table:
-    return pa.table({"g": pa.array([g], pa.int64()), "r": pa.array([R.ravel().tolist()]),
+def _r_rows(R: np.ndarray) -> pa.Table:
+    return pa.table({"g": pa.array([0], pa.int64()), "r": pa.array([R.ravel().tolist()]),
                      "rows": pa.array([R.shape[0]], pa.int32()),
                      "cols": pa.array([R.shape[1]], pa.int32())})
 
@@ -134,18 +135,14 @@ def _partition_qr(it):
         A = to_matrix(batch.column("v"))
         R = _qr_r(A if R is None else np.vstack([R, A]))
     if R is not None:
-        yield pa.RecordBatch.from_pydict({
-            "g": pa.array([TaskContext.get().partitionId()], pa.int64()),
-            "r": pa.array([R.ravel().tolist()]),
-            "rows": pa.array([R.shape[0]], pa.int32()),
-            "cols": pa.array([R.shape[1]], pa.int32())})
+        yield (_r_rows(R).append_column("part", pa.array([TaskContext.get().partitionId()], pa.int64()))
+               .to_batches()[0])
 
 
 def _stack_qr(t: pa.Table) -> pa.Table:
     mats = [np.asarray(r, dtype=np.float64).reshape(nr, nc) for r, nr, nc in
             zip(t.column("r").to_pylist(), t.column("rows").to_pylist(), t.column("cols").to_pylist())]
-    R = _qr_r(np.vstack(mats))
-    return _r_rows(R, int(t.column("g")[0].as_py()))
+    return _r_rows(_qr_r(np.vstack(mats)))
 
 
 def _svd_rows(t: pa.Table) -> pa.Table:
@@ -166,15 +163,9 @@ def singular_values(vectors: DataFrame, fanout: int = 16) -> tuple[DataFrame, Da
     sigma), summary (n_values, rms, min_nonzero, ratio, energy))``; energy
     = sum sigma^2 = sum ||v_w||^2.
     """
-    parts = vectors.select("v").mapInArrow(_partition_qr, _R_SCHEMA)
-    groups = max(vectors.rdd.getNumPartitions(), 1)
-    level = parts
-    while groups > 1:
-        groups = math.ceil(groups / fanout)
-        level = (level.withColumn("g", F.floor(F.col("g") / fanout).cast("long"))
-                 .groupBy("g").applyInArrow(_stack_qr, _R_SCHEMA))
-    level = level.withColumn("g", F.lit(0).cast("long"))
-    sv = level.groupBy("g").applyInArrow(_svd_rows, "k int, sigma double")
+    parts = materialize(vectors.select("v").mapInArrow(_partition_qr, _R_SCHEMA + ", part long"), "qr")
+    whole = merge_tree(parts, ["g"], _stack_qr, _R_SCHEMA, fanout)
+    sv = whole.groupBy("g").applyInArrow(_svd_rows, "k int, sigma double")
     rms = sv.agg(F.sqrt(F.avg(F.col("sigma") * F.col("sigma")))).scalar()
     summary = sv.agg(F.count(F.lit(1)).alias("n_values"),
                      F.min(F.when(F.col("sigma") > rms * 1e-10, F.col("sigma"))).alias("min_nonzero"),
@@ -224,7 +215,8 @@ def _partial_moments(batches):
     if total:
         yield pa.RecordBatch.from_pydict({
             "relation": pa.array(list(total)), "m": pa.array([M.ravel().tolist() for M in total.values()]),
-            "d": pa.array([M.shape[0] for M in total.values()], pa.int32())})
+            "d": pa.array([M.shape[0] for M in total.values()], pa.int32()),
+            "part": pa.array([TaskContext.get().partitionId()] * len(total), pa.int64())})
 
 
 def _add_moments(t: pa.Table) -> pa.Table:
@@ -235,7 +227,7 @@ def _add_moments(t: pa.Table) -> pa.Table:
 
 def _top2_kernel(t: pa.Table) -> pa.Table:
     d = int(t.column("d")[0].as_py())
-    M = np.sum([np.asarray(m) for m in t.column("m").to_pylist()], axis=0).reshape(d, d)
+    M = np.asarray(t.column("m")[0].as_py()).reshape(d, d)
     vals, vecs = np.linalg.eigh(M)
     order = np.argsort(vals)[::-1]
     u1 = vecs[:, order[0]]
@@ -246,14 +238,14 @@ def _top2_kernel(t: pa.Table) -> pa.Table:
 
 
 def relation_directions(vectors: DataFrame, questions: DataFrame, lowercase: bool = True,
-                        min_pairs: int = 5, spread: int = 64) -> DataFrame:
+                        min_pairs: int = 5, fan: int = FAN_IN) -> DataFrame:
     """Per relation, the top-2 left singular vectors u1, u2 of
     M = [v_a - v_b] and mean/std of cos(v_a - v_b, u_k) over its pairs.
 
     Repeated pairs are merged with a weight first; every task adds up its own
     d x d moments M M^T per relation, so a relation with a third of all pairs
-    costs one row a task.  Those rows are added in ``spread`` groups, then in one,
-    and ``eigh`` gives u1, u2.
+    costs one row a task.  Those rows are added ``fan`` at a time, and ``eigh`` gives
+    u1, u2.
     u1 is oriented so the mean cosine is non-negative; u2's sign is
     arbitrary (as in the reference).  ``(relation, n_pairs, mean1, std1,
     mean2, std2)``.
@@ -265,9 +257,9 @@ def relation_directions(vectors: DataFrame, questions: DataFrame, lowercase: boo
         "relation", "a_id", "b_id", "w", "n_pairs", vsub("va", "vb").alias("diff"))
     diffs = materialize(diffs, "relation-diffs")
     moments = "relation string, m array<double>, d int"
-    parts = (diffs.select("relation", "w", "diff").mapInArrow(_partial_moments, moments)
-             .withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(spread)))
-             .groupBy("relation", "_salt").applyInArrow(_add_moments, moments))
+    parts = materialize(diffs.select("relation", "w", "diff")
+                        .mapInArrow(_partial_moments, moments + ", part long"), "moments")
+    parts = merge_tree(parts, ["relation"], _add_moments, moments, fan)
     uniq = diffs.groupBy("relation").agg(F.count(F.lit(1)).alias("n_unique"))
     dirs = (parts.join(uniq, "relation").groupBy("relation")
             .applyInArrow(_top2_kernel, "relation string, u1 array<double>, u2 array<double>"))

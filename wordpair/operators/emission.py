@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordpair.operators.diagnostics import mean_norm
-from wordpair.operators.scoring import gumbel_argmax_kernel, run_grid, softmax_parts_kernel
-from wordpair.session import materialize
+from wordpair.operators.scoring import GumbelMax, SoftmaxParts, one_sided
 
 
 def _scaled_contexts(vectors: DataFrame, contexts: DataFrame, t_col: str, c_col: str) -> DataFrame:
@@ -22,18 +21,17 @@ def emission_probs(vectors: DataFrame, contexts: DataFrame, k: int = 10,
                    t_col: str = "t", c_col: str = "c") -> DataFrame:
     """``(t, rank, id, p)``: the k most probable words per context.
 
-    The softmax normaliser is merged from per-block (max, sum exp(l - max))
-    pairs -- the log-sum-exp merge -- and the global top-k from per-block
-    top-k lists (at most k x blocks rows per context)."""
+    The softmax normaliser is merged from per-task (max, sum exp(l - max))
+    pairs -- the log-sum-exp merge -- and the global top-k from per-task
+    top-k lists (at most k x tasks rows per context)."""
     q = _scaled_contexts(vectors, contexts, t_col, c_col)
-    # k rows per context and word block, stored: the product runs once for both uses
-    parts = materialize(run_grid(vectors.select("id", "v"), q, softmax_parts_kernel(k),
-                                 "qid long, vb int, id int, logit double, m double, se double"), "softmax")
+    # k rows per context and task, stored: the product runs once for both uses
+    parts = one_sided(vectors, q, lambda block: SoftmaxParts(block, k), SoftmaxParts.schema, "softmax")
     blocks = parts.select("qid", "vb", "m", "se").dropDuplicates(["qid", "vb"])
     norm = (blocks.groupBy("qid")
                   .agg(F.max("m").alias("M"),
                        F.collect_list(F.struct("m", "se")).alias("ms")))
-    # Z = sum_b se_b * exp(m_b - M); lists hold one entry per word block
+    # Z = sum_b se_b * exp(m_b - M); lists hold one entry per task
     norm = norm.select("qid", "M", F.aggregate("ms", F.lit(0.0),
                        lambda acc, e: acc + e["se"] * F.exp(e["m"] - F.col("M"))).alias("Z"))
     w = Window.partitionBy("qid").orderBy(F.col("logit").desc(), F.col("id").asc())
@@ -51,7 +49,6 @@ def sample_emissions(vectors: DataFrame, contexts: DataFrame, seed: int = 0,
     the noise is a hash of (seed, t, w), so the draw does not depend on how
     words are blocked, and per-block winners merge by a plain max."""
     q = _scaled_contexts(vectors, contexts, t_col, c_col)
-    best = run_grid(vectors.select("id", "v"), q, gumbel_argmax_kernel(seed),
-                    "qid long, id int, g double")
-    top = best.groupBy("qid").agg(F.max(F.struct(F.col("g"), (-F.col("id")).alias("neg"))).alias("b"))
+    best = one_sided(vectors, q, lambda block: GumbelMax(block, seed), GumbelMax.schema, "draws")
+    top = best.groupBy("qid").agg(F.max(F.struct(F.col("score"), (-F.col("id")).alias("neg"))).alias("b"))
     return top.select(F.col("qid").alias("t"), (-F.col("b.neg")).cast("int").alias("id"))

@@ -1,29 +1,29 @@
-"""Blocked dense products between word vectors and a set of query vectors.
-
-Scoring every word against every query (analogy search, partition
-functions, emission probabilities) is a dense matrix product.  It is laid
-out as a block grid: word vectors are cut into L blocks (``pmod(id, L)``),
-queries into R blocks (``pmod(hash(qid), R)``); each word row is copied to
-the R query blocks and each query to the L word blocks, and one task per
-(word block, query block) cell runs the product in numpy through
-``cogroup(...).applyInArrow``.  Each side is a bounded block, only reduced
-results (one or a few rows per query and cell) leave a task, and neither
-side passes through the driver.  L and R follow from the row counts, so the
-replication stays at L copies of the queries and R copies of the vectors.
+"""Dense products between word vectors and query vectors.
+
+Scoring every word against every query (analogy search, partition functions,
+emission probabilities) is a dense matrix product.  It is one-sided: vectors stay
+where they are stored and are never exchanged or copied.  Queries are cut into
+blocks of at most ``QUERY_BYTES``; a block is broadcast, one job runs over the
+vectors with it, and it is destroyed before the next one.  A task multiplies batch
+by batch and keeps only reduced numbers for each query of the block (a partial sum,
+a best candidate, the top k), which it gives out once, at its end.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_BLOCK = 20_000   # word rows per task (memory bound of a cell)
-MIN_ROWS_PER_BLOCK = 2_048
-QUERY_CHUNK = 1_024       # queries per task
+from wordpair.session import materialize, scratch_folder
+
+#: Bytes of query vectors (double precision) that go to every task at once: the bound
+#: of a broadcast and of what passes through the driver.
+QUERY_BYTES = 32 << 20
 CELL_SCORES = 2_000_000   # scores of a product held at once in a task
 
 
@@ -42,32 +42,25 @@ def col_np(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
 
-def grid(vectors: DataFrame, queries: DataFrame, qid: str = "qid",
-         rows_per_block: int = ROWS_PER_BLOCK, query_chunk: int = QUERY_CHUNK):
-    """Assign (vb, qb) cells and replicate both sides over the grid."""
-    spark = vectors.sparkSession
-    # counts prune every column but what the filters need
-    n = vectors.count()
-    s = queries.count()
-    par = spark.sparkContext.defaultParallelism
-    L = max(math.ceil(n / rows_per_block), min(par, math.ceil(n / MIN_ROWS_PER_BLOCK)), 1)
-    R = max(math.ceil(s / query_chunk), 1)
-    v = vectors.select(F.pmod(F.col("id"), F.lit(L)).cast("int").alias("vb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(R - 1))).alias("qb"), "*")
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(L - 1))).alias("vb"),
-                       F.pmod(F.xxhash64(F.col(qid)), F.lit(R)).cast("int").alias("qb"), "*")
-    return v, q
+_M1 = np.uint64(0xBF58476D1CE4E5B9)
+_M2 = np.uint64(0x94D049BB133111EB)
+_G = np.uint64(0x9E3779B97F4A7C15)
 
 
-def run_grid(vectors: DataFrame, queries: DataFrame, kernel, schema: str, qid: str = "qid",
-             **kw) -> DataFrame:
-    v, q = grid(vectors, queries, qid, **kw)
-    return (v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb"))
-             .applyInArrow(kernel, schema))
+def mix64(x: np.ndarray) -> np.ndarray:
+    """splitmix64 finaliser (vectorised, wraps mod 2^64)."""
+    with np.errstate(over="ignore"):
+        x = x.astype(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * _M1
+        x = (x ^ (x >> np.uint64(27))) * _M2
+        return x ^ (x >> np.uint64(31))
 
 
-def _empty(schema: pa.Schema) -> pa.Table:
-    return schema.empty_table()
+def uniform01(seed: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A uniform in (0, 1) from (seed, a, b) -- independent of blocking."""
+    with np.errstate(over="ignore"):
+        h = mix64(np.uint64(seed) * _G + mix64(a.astype(np.uint64) * _G + b.astype(np.uint64)))
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
 def query_slices(n_words: int, n_queries: int) -> list[slice]:
@@ -88,156 +81,164 @@ def top_rows(scores: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-# ------------------------------------------------------------------ kernels
-def exp_sum_kernel(vcol: str = "v", qcol: str = "c", qid: str = "qid"):
-    """Partial partition function sum_w exp(<v_w, c>) per query."""
-    out = pa.schema([(qid, pa.int64()), ("z", pa.float64())])
+# ------------------------------------------------------------------ one-sided runs
+class Block:
+    """A block of queries: ids, vectors, and further columns by name."""
 
-    def k(vt: pa.Table, qt: pa.Table) -> pa.Table:
-        if vt.num_rows == 0 or qt.num_rows == 0:
-            return _empty(out)
-        V = to_matrix(vt.column(vcol))
-        Q = to_matrix(qt.column(qcol))
-        with np.errstate(over="ignore"):
-            z = np.concatenate([np.exp(V @ Q[s].T).sum(axis=0) for s in query_slices(len(V), len(Q))])
-        return pa.table({qid: col_np(qt, qid).astype(np.int64), "z": z})
-    return k
-
-
-def argmax_kernel(vcol: str = "vn", qcol: str = "qn", qid: str = "qid",
-                  exclude=("a_id", "b_id", "c_id")):
-    """Best word per query by score, excluding some ids per query.
-
-    NaN scores never win (as with a strict '>' scan); ties go to the lowest
-    id; a query whose every candidate is excluded or NaN emits nothing.
-    """
-    out = pa.schema([(qid, pa.int64()), ("pred", pa.int32()), ("score", pa.float64())])
-
-    def k(vt: pa.Table, qt: pa.Table) -> pa.Table:
-        if vt.num_rows == 0 or qt.num_rows == 0:
-            return _empty(out)
-        ids = col_np(vt, "id").astype(np.int64)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        V = to_matrix(vt.column(vcol))[order]
-        Q = to_matrix(qt.column(qcol))
-        S = V @ Q.T
-        S[np.isnan(S)] = -np.inf
-        for e in exclude:
-            S[ids[:, None] == col_np(qt, e).astype(np.int64)[None, :]] = -np.inf
-        best = np.argmax(S, axis=0)
-        score = S[best, np.arange(S.shape[1])]
-        keep = np.isfinite(score) | (score == np.inf)
-        keep &= score != -np.inf
-        return pa.table({qid: col_np(qt, qid).astype(np.int64)[keep],
-                         "pred": ids[best][keep].astype(np.int32),
-                         "score": score[keep]})
-    return k
-
-
-def topk_kernel(k_top: int, vcol: str = "vn", qcol: str = "qn", qid: str = "qid",
-                exclude=("a_id", "b_id", "c_id")):
-    """The block's k best words per query (score desc, id asc), without excluded
-    ids and NaN scores."""
-    out = pa.schema([(qid, pa.int64()), ("id", pa.int32()), ("score", pa.float64())])
-
-    def k(vt: pa.Table, qt: pa.Table) -> pa.Table:
-        if vt.num_rows == 0 or qt.num_rows == 0:
-            return _empty(out)
-        ids = col_np(vt, "id").astype(np.int64)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        V = to_matrix(vt.column(vcol))[order]
-        Q = to_matrix(qt.column(qcol))
-        qids = col_np(qt, qid).astype(np.int64)
-        rows_q, rows_id, rows_s = [], [], []
-        for part in query_slices(len(V), len(Q)):
-            S = V @ Q[part].T
-            S[np.isnan(S)] = -np.inf
-            for e in exclude:
-                S[ids[:, None] == col_np(qt, e).astype(np.int64)[part][None, :]] = -np.inf
-            for j, top in enumerate(top_rows(S, k_top)):
-                top = top[S[top, j] > -np.inf]
-                rows_q.append(np.full(len(top), qids[part][j]))
-                rows_id.append(ids[top])
-                rows_s.append(S[top, j])
-        return pa.table({qid: np.concatenate(rows_q).astype(np.int64),
-                         "id": np.concatenate(rows_id).astype(np.int32), "score": np.concatenate(rows_s)})
-    return k
-
-
-def softmax_parts_kernel(k_top: int, vcol: str = "v", qcol: str = "c", qid: str = "qid"):
-    """Per (query, word block): max logit, sum exp(logit - max) and the block's
-    top-k (logit desc, id asc) candidates."""
-    out = pa.schema([(qid, pa.int64()), ("vb", pa.int32()), ("id", pa.int32()),
-                     ("logit", pa.float64()), ("m", pa.float64()), ("se", pa.float64())])
-
-    def k(vt: pa.Table, qt: pa.Table) -> pa.Table:
-        if vt.num_rows == 0 or qt.num_rows == 0:
-            return _empty(out)
-        ids = col_np(vt, "id").astype(np.int64)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        vb = int(col_np(vt, "vb")[0])
-        V = to_matrix(vt.column(vcol))[order]
-        Q = to_matrix(qt.column(qcol))
-        kk = min(k_top, len(V))
-        q_out, id_out, l_out, m_out, se_out = [], [], [], [], []
-        qids = col_np(qt, qid).astype(np.int64)
-        for part in query_slices(len(V), len(Q)):
-            S = V @ Q[part].T            # (words, queries); words by id
-            m = S.max(axis=0)
-            se = np.exp(S - m[None, :]).sum(axis=0)
-            for j, top in enumerate(top_rows(S, kk)):
-                id_out.append(ids[top])
-                l_out.append(S[top, j])
-            q_out.append(np.repeat(qids[part], kk))
-            m_out.append(np.repeat(m, kk))
-            se_out.append(np.repeat(se, kk))
-        cat = np.concatenate
-        return pa.table({qid: cat(q_out).astype(np.int64),
-                         "vb": np.full(kk * len(Q), vb, dtype=np.int32),
-                         "id": cat(id_out).astype(np.int32), "logit": cat(l_out),
-                         "m": cat(m_out), "se": cat(se_out)})
-    return k
+    def __init__(self, table: pa.Table, qid: str, qcol: str):
+        table = table.sort_by(qid)
+        self.qid = table.column(qid).to_numpy().astype(np.int64)
+        self.Q = to_matrix(table.column(qcol))
+        self.more = {c: table.column(c).to_numpy() for c in table.column_names if c not in (qid, qcol)}
 
+    def part(self, some: slice) -> Block:
+        """The same for some of the queries."""
+        out = object.__new__(Block)
+        out.qid, out.Q = self.qid[some], self.Q[some]
+        out.more = {c: v[some] for c, v in self.more.items()}
+        return out
 
-_M1 = np.uint64(0xBF58476D1CE4E5B9)
-_M2 = np.uint64(0x94D049BB133111EB)
-_G = np.uint64(0x9E3779B97F4A7C15)
 
+def query_blocks(queries: DataFrame, qid: str, qcol: str) -> Iterator[Block]:
+    """Blocks of stored queries, each at most about QUERY_BYTES."""
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qcol)).alias("d")).first()
+    n = math.ceil(size["n"] * max(1, size["d"] or 1) * 8 / QUERY_BYTES)
+    for i in range(n):
+        mine = queries if n == 1 else queries.where(F.pmod(F.xxhash64(qid), F.lit(n)) == i)
+        block = Block(mine.toArrow(), qid, qcol)
+        if len(block.qid):
+            yield block
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """splitmix64 finaliser (vectorised, wraps mod 2^64)."""
-    with np.errstate(over="ignore"):
-        x = x.astype(np.uint64)
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-        return x ^ (x >> np.uint64(31))
 
+def one_sided(vectors: DataFrame, queries: DataFrame, reducer: Callable, schema: str, label: str,
+              vcol: str = "v", qid: str = "qid", qcol: str = "c") -> DataFrame:
+    """Stored rows of ``reducer`` over all (vector, query) products.
 
-def uniform01(seed: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A uniform in (0, 1) from (seed, a, b) -- independent of blocking."""
-    with np.errstate(over="ignore"):
-        h = mix64(np.uint64(seed) * _G + mix64(a.astype(np.uint64) * _G + b.astype(np.uint64)))
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    ``reducer(block)`` is made once a task and block; ``add(ids, V)`` takes batches of
+    vectors with ascending ids inside, ``table()`` gives the rows of ``schema``.  Vectors with
+    ids in any order; a query without a vector, or no query, gives no rows."""
+    spark = vectors.sparkSession
+    v = vectors.select(F.col("id").cast("long").alias("id"), F.col(vcol).alias("v"))
+    q = materialize(queries, "queries")
+    folder = scratch_folder(spark, label)
+    spark.createDataFrame([], schema).write.parquet(folder)
+    for block in query_blocks(q, qid, qcol):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            reduced = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                reduced = reduced or reducer(sent.value)
+                ids = batch.column(0).to_numpy()
+                order = np.argsort(ids, kind="stable")
+                reduced.add(ids[order], to_matrix(batch.column(1))[order])
+            if reduced:
+                yield from reduced.table().to_batches()
+
+        v.mapInArrow(run, schema).write.mode("append").parquet(folder)
+        sent.destroy()
+    return spark.read.schema(schema).parquet(folder)
+
+
+class ExpSum:
+    """Partial partition functions sum_w exp(<v_w, c>)."""
+
+    schema = "qid long, z double"
+
+    def __init__(self, block: Block):
+        self.block, self.z = block, np.zeros(len(block.qid))
+
+    def add(self, ids: np.ndarray, V: np.ndarray) -> None:
+        with np.errstate(over="ignore"):
+            for s in query_slices(len(V), len(self.z)):
+                self.z[s] += np.exp(V @ self.block.Q[s].T).sum(axis=0)
+
+    def table(self) -> pa.Table:
+        return pa.table({"qid": self.block.qid, "z": self.z})
+
+
+class TopK:
+    """The k best words of each query (score descending, id ascending).
+
+    NaN scores never rank (as with a strict '>' scan), nor do the ids in the columns
+    ``exclude`` of the query."""
+
+    schema = "qid long, id int, score double"
+
+    def __init__(self, block: Block, k: int, exclude: tuple[str, ...] = ()):
+        self.block, self.k = block, k
+        self.out = [block.more[c].astype(np.int64) for c in exclude]
+        self.ids = np.zeros((k, len(block.qid)), np.int64)
+        self.scores = np.full((k, len(block.qid)), -np.inf)
+
+    def add(self, ids: np.ndarray, V: np.ndarray) -> None:
+        for part in query_slices(len(V), len(self.block.qid)):
+            self.take(ids, V @ self.block.Q[part].T, np.arange(part.start, part.stop))
+
+    def take(self, ids: np.ndarray, scores: np.ndarray, which: np.ndarray) -> None:
+        """Put ``scores`` (words x queries ``which``) into what is held."""
+        scores[np.isnan(scores)] = -np.inf
+        for out in self.out:
+            at = np.searchsorted(ids, out[which])
+            hit = np.flatnonzero((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == out[which]))
+            # a word may be there more than once
+            for j in hit.tolist():
+                a, b = np.searchsorted(ids, out[which[j]]), np.searchsorted(ids, out[which[j]], side="right")
+                scores[a:b, j] = -np.inf
+        # only queries whose best new word may enter are looked at
+        enters = np.flatnonzero((scores.max(axis=0) >= self.scores[-1, which]) & (scores.max(axis=0) > -np.inf))
+        for j, top in zip(enters.tolist(), top_rows(scores[:, enters], self.k), strict=True):
+            q = which[j]
+            s = np.concatenate([self.scores[:, q], scores[top, j]])
+            i = np.concatenate([self.ids[:, q], ids[top]])
+            best = np.lexsort((i, -s))[:self.k]
+            self.scores[:, q], self.ids[:, q] = s[best], i[best]
+
+    def table(self) -> pa.Table:
+        rank, q = np.nonzero(self.scores > -np.inf)
+        return pa.table({"qid": self.block.qid[q], "id": self.ids[rank, q].astype(np.int32),
+                         "score": self.scores[rank, q]})
+
+
+class SoftmaxParts(TopK):
+    """Per query and task (``vb``): the largest logit ``m``, sum exp(logit - m) and the
+    top k candidates."""
+
+    schema = "qid long, vb int, id int, logit double, m double, se double"
+
+    def __init__(self, block: Block, k: int):
+        super().__init__(block, k)
+        self.m = np.full(len(block.qid), -np.inf)
+        self.se = np.zeros(len(block.qid))
+
+    def add(self, ids: np.ndarray, V: np.ndarray) -> None:
+        for part in query_slices(len(V), len(self.block.qid)):
+            S = V @ self.block.Q[part].T
+            m = np.maximum(self.m[part], S.max(axis=0))
+            self.se[part] = self.se[part] * np.exp(self.m[part] - m) + np.exp(S - m).sum(axis=0)
+            self.m[part] = m
+            self.take(ids, S, np.arange(part.start, part.stop))
+
+    def table(self) -> pa.Table:
+        from pyspark import TaskContext
+        rank, q = np.nonzero(self.scores > -np.inf)
+        return pa.table({"qid": self.block.qid[q],
+                         "vb": pa.array(np.full(len(q), TaskContext.get().partitionId(), np.int32)),
+                         "id": self.ids[rank, q].astype(np.int32), "logit": self.scores[rank, q],
+                         "m": self.m[q], "se": self.se[q]})
+
+
+class GumbelMax(TopK):
+    """One draw per query from softmax(<v_w, c>) by the Gumbel-max trick."""
 
+    def __init__(self, block: Block, seed: int):
+        super().__init__(block, 1)
+        self.seed = seed
 
-def gumbel_argmax_kernel(seed: int, vcol: str = "v", qcol: str = "c", qid: str = "qid"):
-    """One draw per query from softmax(<v_w, c>) by the Gumbel-max trick."""
-    out = pa.schema([(qid, pa.int64()), ("id", pa.int32()), ("g", pa.float64())])
-
-    def k(vt: pa.Table, qt: pa.Table) -> pa.Table:
-        if vt.num_rows == 0 or qt.num_rows == 0:
-            return _empty(out)
-        ids = col_np(vt, "id").astype(np.int64)
-        V = to_matrix(vt.column(vcol))
-        Q = to_matrix(qt.column(qcol))
-        qids = col_np(qt, qid).astype(np.int64)
-        S = V @ Q.T
-        u = uniform01(seed, qids[None, :].repeat(len(ids), 0), ids[:, None].repeat(len(qids), 1))
-        S = S - np.log(-np.log(u))
-        best = np.argmax(S, axis=0)
-        return pa.table({qid: qids, "id": ids[best].astype(np.int32),
-                         "g": S[best, np.arange(S.shape[1])]})
-    return k
+    def add(self, ids: np.ndarray, V: np.ndarray) -> None:
+        for part in query_slices(len(V), len(self.block.qid)):
+            qids = self.block.qid[part]
+            u = uniform01(self.seed, qids[None, :].repeat(len(ids), 0), ids[:, None].repeat(len(qids), 1))
+            self.take(ids, V @ self.block.Q[part].T - np.log(-np.log(u)), np.arange(part.start, part.stop))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -78,3 +79,47 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     w = df.write.partitionBy(partition_by) if partition_by else df.write
     w.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hadoop_fs(spark: SparkSession, path: str):
+    """``(file system, path)`` of the JVM for a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    fs, p = hadoop_fs(spark, path)
+    fs.delete(p, True)
+
+
+class Bucketed:
+    """A table stored by buckets of a key, so that grouping by it needs no exchange.
+
+    A task of the writing job leaves one file for each bucket it has rows of; readers
+    take a bucket's files in one task.  The key must be an int of ``bucket_keys``."""
+
+    def __init__(self, df: DataFrame, path: str, key: str, buckets: int, partition_by: str | None = None):
+        self.spark, self.path = df.sparkSession, path
+        self.name = "wordpair_" + uuid.uuid4().hex
+        w = df.write.format("parquet").option("path", path).bucketBy(buckets, key)
+        (w.partitionBy(partition_by) if partition_by else w).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        discard(self.spark, self.path)
+
+
+def bucket_keys(spark: SparkSession, buckets: int) -> list[int]:
+    """For each bucket the least int that falls in it, so that a group has a bucket of
+    its own (``buckets`` numbers come to the driver)."""
+    tried = spark.range(64 * buckets + 256).select(F.col("id").cast("int").alias("key"))
+    of = F.pmod(F.hash("key"), F.lit(buckets)).alias("bucket")
+    rows = tried.groupBy(of).agg(F.min("key").alias("key")).collect()
+    keys = {r["bucket"]: r["key"] for r in rows}
+    if len(keys) != buckets:   # 64 a bucket leave none empty, but for a chance below e**-64 each
+        raise RuntimeError("a bucket has no key")
+    return [keys[b] for b in range(buckets)]
