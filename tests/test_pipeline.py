@@ -1,7 +1,5 @@
 """Staged pipeline resume and incremental (streaming) pair counts."""
 
-import os
-import shutil
 from dataclasses import replace
 
 import pytest
@@ -9,9 +7,11 @@ import pytest
 from wordpair.operators.cooccur import cooccurrence
 from wordpair.operators.train import TrainingConfig
 from wordpair.operators.vocab import build_vocabulary
-from wordpair.plans.pipeline import PipelineConfig, run_pipeline
+from wordpair.plans.pipeline import PipelineConfig, corpus_stages, open_run, run_pipeline
+from wordpair.sources import stages
 from wordpair.sources.corpus import document_tokens
-from wordpair.streaming import compact, latest_pairs, start_incremental_pairs
+from wordpair.sources.stages import StageStore
+from wordpair.streaming import compact, incremental as inc, latest_pairs, start_incremental_pairs
 
 from paths import SF0001
 
@@ -19,15 +19,16 @@ from paths import SF0001
 CFG = PipelineConfig(training=TrainingConfig(d=8, epochs=1, blocks=2), z_samples=20, pmi_samples=100)
 
 
-def times(out):
-    return {d: os.path.getmtime(f"{out}/{d}/_SUCCESS") for d in os.listdir(out)}
+def versions(spark, out, names=("vocab", "tokens", "pairs", "vectors", "d1_partition", "d2_norms")):
+    store = StageStore(spark, out)
+    return {n: store.current(n)["version"] for n in names}
 
 
 def test_pipeline_runs_skips_and_rebuilds(spark, tmp_path):
     docs = spark.read.parquet(f"{SF0001}/documents.parquet").limit(40)
     toks = document_tokens(docs)
     vocab = {r.word for r in build_vocabulary(toks, 5).collect()}
-    w = sorted(vocab)[:8]
+    w = sorted(v for v in vocab if v == v.lower())[:8]   # questions are asked in lower case
     q = spark.createDataFrame([(i, "r", w[i % 8], w[(i + 1) % 8], w[(i + 2) % 8], w[(i + 3) % 8]) for i in range(8)],
                               "qid long, relation string, a string, b string, c string, d string")
     ctx = spark.createDataFrame([(0, [1.0] + [0.0] * 7), (1, [0.0] * 7 + [1.0])], "t long, c array<double>")
@@ -43,19 +44,62 @@ def test_pipeline_runs_skips_and_rebuilds(spark, tmp_path):
     assert res["d9_samples"].count() == 2 and res["d10_probs"].count() == 20
     assert res["model"].first().d == 8 and res["model"].schema["lr"].dataType.simpleString() == "double"
 
-    before = times(out)
+    before = versions(spark, out)
     run_pipeline(spark, toks, out, CFG, q, ctx)
-    assert times(out) == before                                   # all skipped
-    # broken off between vectors and losses: the three of one fit come again, and what follows
-    shutil.rmtree(f"{out}/losses")
-    run_pipeline(spark, toks, out, CFG, q, ctx)
-    after = times(out)
-    assert after["pairs"] == before["pairs"] and after["vectors"] > before["vectors"]
-    assert after["d1_partition"] > before["d1_partition"]
+    assert versions(spark, out) == before                          # all skipped
     # another window: pairs and all after them, not the vocabulary
     run_pipeline(spark, toks, out, replace(CFG, window=3), q, ctx)
-    last = times(out)
-    assert last["vocab"] == before["vocab"] and last["pairs"] > after["pairs"] and last["d2_norms"] > after["d2_norms"]
+    last = versions(spark, out)
+    assert all(last[n] == before[n] for n in ("vocab", "tokens"))
+    assert all(last[n] > before[n] for n in ("pairs", "vectors", "d1_partition", "d2_norms"))
+    # other questions: the stages that ask them
+    d5 = StageStore(spark, out).current("d5_predictions")["version"]
+    res = run_pipeline(spark, toks, out, replace(CFG, window=3), q.where("qid < 5"), ctx)
+    assert versions(spark, out) == last and res["d5_predictions"].count() == 5
+    assert StageStore(spark, out).current("d5_predictions")["version"] > d5
+
+
+@pytest.mark.parametrize("breaks", ["a", "b", "manifest"])
+def test_a_forced_run_that_breaks_off_leaves_the_old_version(spark, tmp_path, monkeypatch, breaks):
+    """Killed while it stores the second of two tables, or before the manifest."""
+    out = str(tmp_path)
+
+    def build(k):
+        return lambda: (spark.range(k).toDF("a"), spark.range(2 * k).toDF("b"))
+
+    def go(k, force):
+        run = open_run(spark, out, force)
+        run.stage(("a", "b"), {"same": 1}, (), build(k))
+        run.stage("c", {}, ("a",), lambda: run.tables["a"].union(run.tables["b"]))
+        return [run.tables[n].count() for n in "abc"]
+
+    assert go(3, False) == [3, 6, 9]
+    write = stages.write_stage
+
+    def killed(df, path, *mode):
+        if f"/{breaks}/" in path or (breaks == "manifest" and "_manifests/a" in path):
+            df.write.parquet(path + "/_half")
+            raise RuntimeError("killed")
+        return write(df, path, *mode)
+
+    monkeypatch.setattr(stages, "write_stage", killed)
+    with pytest.raises(RuntimeError, match="killed"):
+        go(5, True)
+    monkeypatch.setattr(stages, "write_stage", write)
+    assert go(7, False) == [3, 6, 9]                 # what was published is still whole
+    assert go(4, True) == [4, 8, 12]
+    assert go(9, False) == [4, 8, 12]
+
+
+def test_other_input_is_seen(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").limit(30)
+    cfg = PipelineConfig(min_count=1, window=2)
+    got = []
+    for some in (docs.where("doc_id < 10"), docs, docs):
+        run = open_run(spark, str(tmp_path))
+        corpus_stages(run, document_tokens(spark.createDataFrame(some.collect(), some.schema)), cfg)
+        got.append((run.tables["vocab"].count(), run.versions["pairs"]))
+    assert got[0][0] < got[1][0] and got[0][1] < got[1][1] and got[1] == got[2]
 
 
 def test_missing_analogies(spark, tmp_path, caplog):
@@ -83,4 +127,26 @@ def test_incremental_pairs_equal_batch(spark, tmp_path):
     full = cooccurrence(document_tokens(docs), vocab, 10)
     assert got.exceptAll(full).count() == 0 and full.exceptAll(got).count() == 0
     folders = sorted(f.name for f in (tmp_path / "pairs").iterdir())
-    assert folders == ["batch=0", "batch=1", "upto=0"]
+    assert folders == ["run=0-0", "run=1-1"]
+
+
+def test_runs_are_merged_by_levels(spark, tmp_path):
+    """30 batches, four a level: few runs are left, and their sum is that of all."""
+    folder = str(tmp_path / "pairs")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for b in range(30):
+            inc._write_run(spark.createDataFrame([(1, 2, 1), (1, b + 3, b + 1)], "w1 int, w2 int, x long"),
+                           inc._run(folder, b, b))
+            inc.merge_levels(spark, folder, fan=4)
+            if b == 20:   # a merge that was broken off before it deleted what it had merged
+                inc._write_run(spark.createDataFrame([(1, 2, 1)], "w1 int, w2 int, x long"), inc._run(folder, 5, 5))
+        runs = inc._covering(inc._listed(spark, folder))
+        assert runs == [(0, 15), (16, 19), (20, 23), (24, 27), (28, 28), (29, 29)]
+        assert {(r.w1, r.w2): r.x for r in latest_pairs(spark, folder).collect()} == {
+            (1, 2): 30, **{(1, b + 3): b + 1 for b in range(30)}}
+        compact(spark, folder)
+        assert inc._listed(spark, folder) == [(0, 29)]
+        assert latest_pairs(spark, folder).count() == 31
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordpair.operators.ordering import dense_index
+from wordpair.session import materialize
 from wordpair.sources.corpus import Tokens
 
 # A vocabulary of up to this many bytes (measured, not estimated from its row
@@ -80,19 +82,63 @@ def _number_tokens(batches):
             [b.column(0), pa.array(pos.astype(np.int32)), b.column(1)], names=["seq_id", "pos", "id"])
 
 
+RUNS = "part int, seq_id long, pos long, id int, head boolean, last boolean"
+
+
+def _number_runs(batches):
+    """Sorted (seq_id, id) rows of a partition, numbered from 1 in each sequence.
+    ``head`` marks the rows of the partition's first sequence, ``last`` its last row."""
+    part = TaskContext.get().partitionId()
+    first, held = None, None   # the batch before, whose last row may be the partition's
+
+    def out(b, end):
+        seq = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        last = np.zeros(len(seq), bool)
+        last[-1] = end
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(seq), part, np.int32)), b.column(0), b.column(1).cast(pa.int64()), b.column(2),
+             pa.array(seq == first), pa.array(last)], names=["part", "seq_id", "pos", "id", "head", "last"])
+
+    for b in _number_tokens(batches):
+        first = b.column(0)[0].as_py() if held is None else first
+        if held is not None:
+            yield out(held, False)
+        held = b
+    if held is not None:
+        yield out(held, True)
+
+
+def _carried(runs: DataFrame) -> DataFrame:
+    """``(part, carry)``: how many rows of a partition's first sequence lie in the
+    partitions before it (one row a partition, on the driver)."""
+    ends = runs.where("last").select("part", "seq_id", "pos", "head")
+    heads = runs.where("head").groupBy("part").agg(F.min("seq_id").alias("first"))
+    carry, before, rows = 0, None, []
+    for r in sorted(ends.join(heads, "part").collect(), key=lambda r: r["part"]):
+        carry = carry if before is not None and before == r["first"] else 0
+        rows.append((r["part"], carry))
+        # rows so far of the sequence that the next partition may go on with
+        carry, before = r["pos"] + (carry if r["head"] else 0), r["seq_id"]
+    return runs.sparkSession.createDataFrame(rows, "part int, carry long")
+
+
 def tokenize(tokens: Tokens, vocab: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """``(seq_id, pos INT, id INT)`` with pos = 1..n_kept per sequence.
 
     Where each sequence is one input row and the vocabulary is broadcast, the
-    tokens are numbered in the scan task and nothing is shuffled."""
+    tokens are numbered in the scan task and nothing is shuffled.  Else tokens are
+    range sorted once and numbered in their partition; only a sequence that began in
+    an earlier partition adds what lies there, so no token meets its start by a join."""
     enc, was_broadcast = encode(tokens, vocab, broadcast)
     if tokens.rowwise and was_broadcast:
         return enc.select("seq_id", "id").mapInArrow(_number_tokens, "seq_id long, pos int, id int")
-    pos = dense_index(enc, ["seq_id", *tokens.order], name="gp").select("seq_id", "gp", "id")
-    # per-sequence start is a partial aggregate (skew safe), joined back by key
-    starts = pos.groupBy("seq_id").agg(F.min("gp").alias("g0"))
-    return (pos.join(starts, "seq_id")
-               .select("seq_id", (F.col("gp") - F.col("g0") + 1).cast("int").alias("pos"), "id"))
+    order = ["seq_id", *tokens.order]
+    runs = (enc.repartitionByRange(*order).sortWithinPartitions(*order).select("seq_id", "id")
+            .mapInArrow(_number_runs, RUNS))
+    runs = materialize(runs, "runs")
+    return (runs.join(F.broadcast(_carried(runs)), "part", "left")
+            .select("seq_id", (F.col("pos") + F.when(F.col("head"), F.coalesce("carry", F.lit(0))).otherwise(0))
+                    .cast("int").alias("pos"), "id"))
 
 
 def decode(ids: DataFrame, vocab: DataFrame, id_col: str = "id", word_col: str = "word") -> DataFrame:

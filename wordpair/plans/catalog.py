@@ -414,7 +414,7 @@ def q_merged_pairs_documents(spark, sf):
     """Pair counts of even and odd documents, added up."""
     docs = read_table(spark, sf, "documents")
     vocab = doc_vocab(spark, sf)
-    halves = [co.cooccurrence(document_tokens(docs.where(F.col("doc_id") % 2 == k)), vocab, WINDOW)
+    halves = [co.cooccurrence(document_tokens(docs.where(F.pmod(F.col("doc_id"), F.lit(2)) == k)), vocab, WINDOW)
               for k in (0, 1)]
     return co.merge_counts(*halves)
 
@@ -464,6 +464,74 @@ def q_relation_first_direction(spark, sf):
     return r.select("relation", "n_pairs", _r("mean1", 5).alias("mean1"), _r("std1", 5).alias("std1"))
 
 
+# ------------------------------------------- streams, stages, samples, searches
+PMI_SAMPLE = 5_000        # T4: the sample is the feature
+FIT_DIMS = 8
+
+
+def q_tokenize_conversations(spark, sf):
+    """D0b over sequences of several rows."""
+    toks = conv_tokens(spark, sf)
+    return en.tokenize(toks, build_vocabulary(toks, MIN_COUNT))
+
+
+def q_cooccurrence_files(spark, sf):
+    """The documents as raw text files of unequal size, read back as one stream."""
+    from wordpair.session import scratch_folder
+    from wordpair.sources.corpus import read_corpus, write_corpus
+    folder = scratch_folder(spark, "corpus")
+    write_corpus(read_table(spark, sf, "documents"), folder,
+                 F.format_string("%02d", F.length(F.bin("doc_id"))))
+    toks = read_corpus(spark, f"{folder}/part=*")
+    return co.cooccurrence(toks, build_vocabulary(toks, MIN_COUNT), WINDOW, "stream")
+
+
+def q_stage_pairs_documents(spark, sf):
+    """The pairs of a run that finds every stage published by the run before."""
+    from wordpair.plans.pipeline import PipelineConfig, corpus_stages, open_run
+    from wordpair.session import scratch_folder
+    out, cfg = scratch_folder(spark, "stages"), PipelineConfig(min_count=MIN_COUNT, window=WINDOW)
+    versions = []
+    for _ in range(2):
+        run = open_run(spark, out)
+        corpus_stages(run, doc_tokens(spark, sf), cfg)
+        versions.append(run.versions)
+    if versions[0] != versions[1]:
+        raise RuntimeError("a published stage was built again")
+    return run.tables["pairs"].select("w1", "w2", "x", F.col("window").cast("int").alias("window"))
+
+
+def q_pmi_sample_documents(spark, sf):
+    """T4: a seeded sample of the document pairs with their PMI."""
+    t = pm.sample_pairs(pm.pmi_table(doc_pairs(spark, sf)[0], X_FLOOR), PMI_SAMPLE, seed=1)
+    return t.select("w1", "w2", "x", _r("pmi").alias("pmi"))
+
+
+def q_analogy_topk_pruned(spark, sf):
+    """T3 by the search that skips cells."""
+    from wordpair.operators.nearest import pruned_analogies
+    t, _ = pruned_analogies(fx.vectors(spark, sf), fx.analogy_questions(spark, sf), 3)
+    return t.select("qid", "rank", "id", _r("score").alias("score"))
+
+
+def q_fit_documents(spark, sf):
+    """Two mini-batch steps on the real document pairs, and D2 and D4 of the vectors
+    they give: one row."""
+    from wordpair.operators.train import train_minibatch
+    pairs, vec = _real(spark, sf)
+    vec = vec.withColumn("v", F.slice("v", 1, FIT_DIMS))
+    params = vec.select("id", "v", F.transform("v", lambda x: F.lit(0.0)).alias("gacc"))
+    params, c, steps = train_minibatch(pairs, params, C0, n_batches=2, lr=LR, eps=EPS, x_max=X_MAX,
+                                       batch=lambda a, b: (a + b) % 2)
+    fitted = vec.select("id", "word", "count").join(params.select("id", "v"), "id")
+    _, d2 = dg.norm_vs_frequency(fitted)
+    _, d4 = pm.pmi_scatter(fitted, pairs, None, X_FLOOR)
+    d2 = d2.select(_r("correlation", 5).alias("d2_correlation"))
+    d4 = d4.select(F.col("n").alias("d4_n"), *[_r(k, 4).alias(f"d4_{k}") for k in ("correlation", "slope", "intercept")])
+    return d2.join(d4).select(F.lit(round(steps[0][2], 5)).alias("wmse0"), F.lit(round(steps[1][2], 5)).alias("wmse1"),
+                              F.lit(round(c, 6)).alias("c"), "*")
+
+
 _MORE_QUERIES = {
     "relation_first_direction": q_relation_first_direction,
     "sn_loss_documents": q_sn_loss_documents,
@@ -478,6 +546,12 @@ _MORE_QUERIES = {
     "analogy_report": q_analogy_report,
     "singular_power_sums": q_singular_power_sums,
     "train_minibatch_losses": q_train_minibatch_losses,
+    "tokenize_conversations": q_tokenize_conversations,
+    "cooccurrence_files": q_cooccurrence_files,
+    "stage_pairs_documents": q_stage_pairs_documents,
+    "pmi_sample_documents": q_pmi_sample_documents,
+    "analogy_topk_pruned": q_analogy_topk_pruned,
+    "fit_documents": q_fit_documents,
 }
 
 

@@ -48,7 +48,7 @@ def enc_cte(name: str, toks: str, vocab: str, order: str, stream: bool = False)
 
 def pairs_cte(name: str, enc: str, window: int, stream: bool = False) -> str:
     same = "" if stream else "a.seq_id = b.seq_id AND"
-    return f"""{name} AS (
+    return f"""{name} AS MATERIALIZED (
   SELECT CAST(least(a.id, b.id) AS INTEGER) AS w1, CAST(greatest(a.id, b.id) AS INTEGER) AS w2,
          CAST(count(*) AS BIGINT) AS x
   FROM (SELECT seq_id, p, id, unnest(range(1, {window + 1})) AS k FROM {enc}) a
@@ -173,14 +173,15 @@ SMARG = """marg AS (
   SELECT id, CAST(sum(x) AS BIGINT) AS row_sum
   FROM (SELECT w1 AS id, x FROM pairs UNION ALL SELECT w2 AS id, x FROM pairs) GROUP BY id)"""
 
-SCATTER = f"""scatter AS (
+SCATTER = f"""often AS MATERIALIZED (
   SELECT p.w1, p.w2, p.x,
          ln(CAST(p.x AS DOUBLE)) + ln((SELECT CAST(2 * sum(x) AS DOUBLE) FROM pairs))
-           - ln(CAST(m1.row_sum AS DOUBLE)) - ln(CAST(m2.row_sum AS DOUBLE)) AS pmi_emp,
-         list_dot_product(a.v, b.v) AS pmi_pred
-  FROM pairs p JOIN marg m1 ON m1.id = p.w1 JOIN marg m2 ON m2.id = p.w2
-       JOIN vec a ON a.id = p.w1 JOIN vec b ON b.id = p.w2
-  WHERE p.x >= {X_FLOOR})"""
+           - ln(CAST(m1.row_sum AS DOUBLE)) - ln(CAST(m2.row_sum AS DOUBLE)) AS pmi_emp
+  FROM (SELECT * FROM pairs WHERE x >= {X_FLOOR}) p
+       JOIN marg m1 ON m1.id = p.w1 JOIN marg m2 ON m2.id = p.w2),
+scatter AS (
+  SELECT p.w1, p.w2, p.x, p.pmi_emp, list_dot_product(a.v, b.v) AS pmi_pred
+  FROM often p JOIN vec a ON a.id = p.w1 JOIN vec b ON b.id = p.w2)"""
 
 
 def pf_cte(renormalize: bool) -> str:
@@ -329,14 +330,22 @@ DVEC = """dvec AS (
   FROM vocab v JOIN embeddings e ON e.vec_id = (v.id - 1) % (SELECT count(*) FROM embeddings))"""
 
 
-def minibatch_ctes(steps: int) -> list[str]:
+def hash52(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13) AS BIGINT)"
+
+
+def uniform(*parts: str) -> str:
+    return f"((CAST({hash52(*parts)} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"
+
+
+def minibatch_ctes(steps: int, scale: str = "0.125", vec: str = "vec") -> list[str]:
     """Two AdaGrad steps by hand: vectors in long form, one gradient per batch."""
-    out = ["""s0 AS (
-  SELECT id, k, v * CAST(0.125 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS g
-  FROM (SELECT id, unnest(generate_series(1, len(v))) AS k, unnest(v) AS v FROM vec))""",
+    out = [f"""s0 AS (
+  SELECT id, k, v * CAST({scale} AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS g
+  FROM (SELECT id, unnest(generate_series(1, len(v))) AS k, unnest(v) AS v FROM {vec}))""",
            f"c0 AS (SELECT {_dbl(C0)} AS c, CAST(0 AS DOUBLE) AS g)"]
     for i in range(steps):
-        out.append(f"""t{i} AS (
+        out.append(f"""t{i} AS MATERIALIZED (
   SELECT p.w1, p.w2, least(CAST(p.x AS DOUBLE), {_dbl(X_MAX)}) AS xbar,
          ln(CAST(p.x AS DOUBLE)) - sum((a.v + b.v) * (a.v + b.v)) - (SELECT c FROM c{i}) AS r
   FROM pairs p JOIN s{i} a ON a.id = p.w1 JOIN s{i} b ON b.id = p.w2 AND b.k = a.k
@@ -347,7 +356,7 @@ g{i} AS (
     SELECT unnest([t.w1, t.w2]) AS id, a.k, CAST(-4 AS DOUBLE) * t.xbar * t.r AS coef, a.v AS va, b.v AS vb
     FROM t{i} t JOIN s{i} a ON a.id = t.w1 JOIN s{i} b ON b.id = t.w2 AND b.k = a.k)
   GROUP BY id, k),
-s{i + 1} AS (
+s{i + 1} AS MATERIALIZED (
   SELECT s.id, s.k, CASE WHEN g.g IS NULL THEN s.v
            ELSE s.v - {_dbl(LR)} * g.g / (sqrt(s.g + g.g * g.g) + {_dbl(EPS)}) END AS v,
          s.g + coalesce(g.g * g.g, CAST(0 AS DOUBLE)) AS g
@@ -434,6 +443,34 @@ SELECT (SELECT least(count(*), max(len(v))) FROM vec) AS n_values,
         "train_minibatch_losses": with_(VEC, SPAIRS, *minibatch_ctes(2)) + """
 SELECT 1 AS epoch, 0 AS batch, round(l0.wmse, 5) AS wmse, round(c1.c, 6) AS c FROM l0, c1
 UNION ALL SELECT 1, 1, round(l1.wmse, 5), round(c2.c, 6) FROM l1, c2""",
+        "tokenize_conversations": with_(
+            CONV_TOKS, vocab_cte("vocab", "conv_toks", MIN_COUNT, None),
+            enc_cte("enc", "conv_toks", "vocab", "t.turn, t.pos")) + "SELECT seq_id, CAST(p AS INTEGER) AS pos, id FROM enc",
+        "cooccurrence_files": _corpus_sql()["cooccurrence_stream"],
+        "stage_pairs_documents": with_(*DOC_BASE) + f"SELECT w1, w2, x, CAST({WINDOW} AS INTEGER) AS \"window\" FROM pairs",
+        "pmi_sample_documents": with_(*DOC_BASE, MARG, PMI) + f"""SELECT w1, w2, x, round(pmi, 6) AS pmi
+FROM pmi ORDER BY {hash52('1', 'w1', 'w2')}, w1, w2 LIMIT 5000""",
+        "analogy_topk_pruned": with_(VEC, QUEST, NORMED) + """SELECT qid, CAST(rank AS INTEGER) AS rank, id,
+  round(s, 6) AS score
+FROM (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank
+      FROM sc WHERE NOT isnan(s)) WHERE rank <= 3""",
+        "partition_function_random": with_(VEC, f"""ctx AS (
+  SELECT s AS t, list(g ORDER BY k) AS c FROM (
+    SELECT s, k, sqrt(CAST(-2 AS DOUBLE) * ln({uniform('0', 's', 'k', '0')}))
+                 * cos(2 * pi() * {uniform('0', 's', 'k', '1')}) AS g
+    FROM range(1000) a(s), (SELECT unnest(range(max(len(v)))) AS k FROM vec)) GROUP BY s)""", pf_cte(True))
+        + "SELECT s, round(z, 5) AS z, round(normalised, 6) AS normalised FROM pf",
+        "fit_documents": with_(*DOC_BASE, DVEC, "short AS (SELECT id, v[1:8] AS v FROM dvec)",
+                               *minibatch_ctes(2, "1", "short"), """fitted AS MATERIALIZED (
+  SELECT s.id, list(s.v ORDER BY s.k) AS v, any_value(w.count) AS count
+  FROM s2 s JOIN vocab w ON w.id = s.id GROUP BY s.id)""", SMARG, SCATTER.replace("JOIN vec ", "JOIN fitted "))
+        + f"""SELECT (SELECT round(wmse, 5) FROM l0) AS wmse0, (SELECT round(wmse, 5) FROM l1) AS wmse1,
+  (SELECT round(c, 6) FROM c2) AS c,
+  (SELECT round(corr({SQN.format(v='v')}, ln(CAST(count AS DOUBLE) / (SELECT sum(count) FROM fitted))), 5)
+   FROM fitted) AS d2_correlation,
+  count(*) AS d4_n, round(corr(pmi_emp, pmi_pred), 4) AS d4_correlation,
+  round(regr_slope(pmi_emp, pmi_pred), 4) AS d4_slope, round(regr_intercept(pmi_emp, pmi_pred), 4) AS d4_intercept
+FROM scatter""",
     }
 
 

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordpair.session import hadoop_fs
+
 
 @dataclass(frozen=True)
 class Tokens:
@@ -86,16 +88,35 @@ def sequence_tokens(df: DataFrame, seq_col: str, order: tuple[str, ...], token_c
     return Tokens(out, tuple(order))
 
 
-def read_corpus(spark: SparkSession, path: str) -> Tokens:
-    """A raw corpus file read as one stream of space-separated tokens.
+def read_corpus(spark: SparkSession, path: str | list[str]) -> Tokens:
+    """Raw corpus files read as one stream of space-separated tokens.
 
     The text reader splits on the space character (``lineSep=' '``), so one
     multi-gigabyte line is still read in parallel file splits; each row is one
-    token and the scan order (file split, then row) is the stream order.
+    token.  Spark packs splits of all files by size, so the stream's order is not
+    that of the scan: it is file path, place of the split in the file, row of the
+    split.  Paths become numbers (one row a file), so that three numbers order a token.
     """
     raw = spark.read.option("lineSep", " ").text(path)
-    df = (raw.where(F.col("value") != "")
-             .select(F.lit(0).cast("bigint").alias("seq_id"),
-                     F.monotonically_increasing_id().alias("pos"),
-                     F.col("value").alias("token")))
-    return Tokens(df, ("pos",))
+    rows = raw.select("value", F.col("_metadata.file_path").alias("file"),
+                      F.col("_metadata.file_block_start").alias("block"),
+                      F.monotonically_increasing_id().alias("pos")).where(F.col("value") != "")
+    # one row a file, which the driver has listed anyway: the bound of the broadcast.  The
+    # spelling is that of _metadata; a file that is not found would be an error
+    names = sorted({hadoop_fs(spark, f)[1].toString() for f in raw.inputFiles()})
+    files = spark.createDataFrame(list(zip(names, range(len(names)))), "file string, file_no int")
+    df = (rows.join(F.broadcast(files), "file", "left")
+              .select(F.lit(0).cast("bigint").alias("seq_id"),
+                      F.coalesce("file_no", F.raise_error(F.concat(F.lit("unknown file "), "file")).cast("int"))
+                      .alias("file_no"), "block", "pos", F.col("value").alias("token")))
+    return Tokens(df, ("file_no", "block", "pos"))
+
+
+def write_corpus(docs: DataFrame, folder: str, part, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Texts in order of id as raw text under ``folder``, one subfolder for each value of
+    ``part`` (a text that ascends with the id), so that ``read_corpus`` of
+    ``folder/*`` gives their stream.  A null text is empty."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                       part.alias("part"))
+    (rows.repartitionByRange("id").sortWithinPartitions("id").select("text", "part")
+     .write.partitionBy("part").option("lineSep", " ").text(folder))
