@@ -75,9 +75,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every stored document."""
     stored = spark.read.schema(STORED).orc(path)
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    # one row a part, so the frame without a partition is bounded by the writing tasks
+    # one row a writing task: bounds the frame without a partition, and the broadcast
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return (stored.join(before, "part")
+    return (stored.join(F.broadcast(before), "part")
             .select("doc_id", (F.col("before") + F.col("part_start")).alias("start"),
                     "n_tokens", "ids"))
 
