@@ -32,6 +32,8 @@ VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:wordpair:page:"
 SPLIT_BYTES = 4 << 20
+#: Reading tasks at most; beyond that a task reads several ranges.
+READ_TASKS = 20_000
 CHUNK = 1 << 18
 
 MANIFEST = "path string, bytes long, records long"
@@ -89,11 +91,15 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = rows.withColumn("h", F.when(F.length("payload") >= min_bytes, F.sha2("payload", 256)))
     groups = (rows.where("h is not null").groupBy("h")
               .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").select("h", "first_id"))
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return (rows.join(groups, "h", "left")
-            .select("page_id", "url", "payload", F.when(again, F.col("first_id")).alias("refers_to"),
-                    again.alias("revisit")))
+              .where("n > 1 and first_id is not null").select("h", "first_id"))
+    # ids and hashes find out who revisits; payloads meet that by id and hash, so one
+    # that many pages share is spread by their ids
+    again = (rows.select("page_id", "h").join(groups, "h")
+             .where(~F.col("page_id").eqNullSafe(F.col("first_id"))).distinct()
+             .select(F.col("page_id").alias("again"), "h", "first_id"))
+    return (rows.join(again, (F.col("page_id").eqNullSafe(F.col("again"))) & (rows["h"] == again["h"]), "left")
+            .select("page_id", "url", "payload", F.col("first_id").alias("refers_to"),
+                    F.col("first_id").isNotNull().alias("revisit")))
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
@@ -227,7 +233,9 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BY
               .select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1,
                                                             F.lit(split_bytes).cast("long"))).alias("start"))
               .select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end")))
-    ranges = ranges.repartition("path", "start")
+    # ranges are tiny rows: a number given stays as it is, else they would be coalesced
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(n), READ_TASKS), "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
