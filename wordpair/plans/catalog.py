@@ -532,7 +532,14 @@ def q_fit_documents(spark, sf):
                               F.lit(round(c, 6)).alias("c"), "*")
 
 
+def q_relation_second_direction(spark, sf):
+    """D6's second direction, up to its sign."""
+    r = dg.relation_directions(fx.vectors(spark, sf), fx.analogy_questions(spark, sf))
+    return r.select("relation", F.round(F.abs("mean2"), 4).alias("mean2"), _r("std2", 4).alias("std2"))
+
+
 _MORE_QUERIES = {
+    "relation_second_direction": q_relation_second_direction,
     "relation_first_direction": q_relation_first_direction,
     "sn_loss_documents": q_sn_loss_documents,
     "pmi_scatter_documents": q_pmi_scatter_documents,

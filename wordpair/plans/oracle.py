@@ -400,6 +400,33 @@ mean1 AS (SELECT relation, sum(w * c) / sum(w) AS m FROM cs1 GROUP BY relation)"
     return out
 
 
+def second_direction_ctes(squarings: int) -> list[str]:
+    """The second eigenvector: the first one's part is taken out of the matrix, and the
+    rest is squared again."""
+    out = ["""d0 AS MATERIALIZED (
+  SELECT m.relation, m.i, m.j, m.m - l.v * a.u * b.u AS m
+  FROM m0 m JOIN u a ON a.relation = m.relation AND a.k = m.i JOIN u b ON b.relation = m.relation AND b.k = m.j
+  JOIN (SELECT m.relation, sum(m.m * a.u * b.u) AS v FROM m0 m
+        JOIN u a ON a.relation = m.relation AND a.k = m.i JOIN u b ON b.relation = m.relation AND b.k = m.j
+        GROUP BY m.relation) l ON l.relation = m.relation)"""]
+    for i in range(squarings):
+        out.append(f"""d{i + 1} AS MATERIALIZED (
+  SELECT a.relation, a.i, b.j, sum(a.m * b.m / (t.t * t.t)) AS m
+  FROM d{i} a JOIN d{i} b ON a.relation = b.relation AND a.j = b.i
+  JOIN (SELECT relation, sum(m) AS t FROM d{i} WHERE i = j GROUP BY relation) t ON t.relation = a.relation
+  GROUP BY a.relation, a.i, b.j)""")
+    last = f"d{squarings}"
+    out.append(f"""u2 AS (
+  SELECT m.relation, m.i AS k, m.m / sqrt(sum(m.m * m.m) OVER (PARTITION BY m.relation)) AS u
+  FROM {last} m JOIN (SELECT relation, arg_max(j, m) AS j FROM {last} WHERE i = j GROUP BY relation) c
+    ON c.relation = m.relation AND c.j = m.j),
+cs2 AS (
+  SELECT df.relation, df.a_id, df.b_id, any_value(df.w) AS w, sum(df.d * u2.u) / sqrt(sum(df.d * df.d)) AS c
+  FROM df JOIN u2 ON u2.relation = df.relation AND u2.k = df.k GROUP BY df.relation, df.a_id, df.b_id),
+mean2 AS (SELECT relation, sum(w * c) / sum(w) AS m FROM cs2 GROUP BY relation)""")
+    return out
+
+
 def more_sql() -> dict[str, str]:
     real = (*DOC_BASE, DVEC)
     scatter = SCATTER.replace("JOIN vec ", "JOIN dvec ")
@@ -432,6 +459,10 @@ FROM (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id
   round(sqrt(sum(w * (c - mean1.m) * (c - mean1.m)) / (sum(w) - 1)), 5) AS std1
 FROM cs1 JOIN mean1 ON mean1.relation = cs1.relation JOIN sz ON sz.relation = cs1.relation
 GROUP BY cs1.relation""",
+        "relation_second_direction": with_(VEC, QUEST, *first_direction_ctes(12), *second_direction_ctes(13))
+        + """SELECT cs2.relation, round(abs(any_value(mean2.m)), 4) AS mean2,
+  round(sqrt(sum(w * (c - mean2.m) * (c - mean2.m)) / (sum(w) - 1)), 4) AS std2
+FROM cs2 JOIN mean2 ON mean2.relation = cs2.relation GROUP BY cs2.relation""",
         "singular_power_sums": with_(VEC) + """, long AS (
   SELECT id, unnest(generate_series(1, len(v))) AS k, unnest(v) AS v FROM vec),
 gram AS (SELECT a.k AS i, b.k AS j, sum(a.v * b.v) AS m FROM long a JOIN long b ON a.id = b.id GROUP BY a.k, b.k),
