@@ -100,3 +100,28 @@ def test_other_columns_go_along(spark):
                                 F.lit("x").alias("bin"))
     out = pk.assign(df, capacity=10, group_pieces=7)
     assert out.count() == 50 and {"group", "bin"} <= set(out.columns)
+
+
+def test_poor_sequences_are_packed_again(spark):
+    """Groups of 20 pieces leave half-empty sequences; at most one is left in the end."""
+    df = spark.range(3000).select((F.abs(F.xxhash64("id")) % 90).alias("length")).repartition(4)
+    out = pk.assign(df, capacity=100, group_pieces=20)
+    filled = out.where("length > 0").groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    assert filled.where("2 * n <= 100").count() <= 1
+    items = out.collect()
+    assert len(items) == 3000
+    by_sequence = defaultdict(list)
+    for r in items:
+        if r.length:
+            by_sequence[r.sequence_id].append((r.offset, r.length))
+    for parts in by_sequence.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 100
+
+
+def test_only_empty_pieces(spark):
+    df = spark.range(100).select(F.lit(0).cast("long").alias("length"))
+    assert pk.assign(df, capacity=10, group_pieces=3).where("offset = 0").count() == 100

@@ -5,13 +5,14 @@ length are sequences of their own; the others are dealt evenly into packing
 groups of a bounded number of pieces, and each group is packed by best-fit
 decreasing in one task.  The open sequences are kept by remaining capacity in a
 segment tree, so the tightest one that holds a piece is found in
-O(log capacity).  A group leaves at most about one sequence badly filled, so groups
-are sized by tokens: one that fills a thousand sequences packs about as well as all
-pieces together.
+O(log capacity).  Groups are sized by tokens: one that fills a thousand sequences
+packs about as well as all pieces together.  A group leaves at most one sequence that
+is half empty or worse; what lies in those is packed again, until one group is left.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordpair.llm.store import written
+from wordpair.llm.store import columns_of, new_name, written
 from wordpair.llm.word_bpe import encoder
 
 CAPACITY = 4096
@@ -28,6 +29,8 @@ CAPACITY = 4096
 #: sequences its tokens fill: of short pieces a group takes more.
 GROUP_PIECES, MOST_PIECES = 8192, 1 << 19
 GROUP_SEQUENCES = 1000
+#: Rounds of packing at most: each has at most half as many groups as the one before.
+LEVELS = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -75,7 +78,9 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     offsets = np.zeros(len(lengths), np.int64)
     opened = 0
     for i, n in zip(order.tolist(), lengths[order].tolist(), strict=True):
-        got = tree.tightest(n) if n else (0, 0)
+        if not n:
+            break   # the last ones: offset 0 of the first bin
+        got = tree.tightest(n)
         if got is None:
             left, bin_ = capacity, opened
             opened += 1
@@ -138,37 +143,48 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int | None
     ``capacity``; other columns (an ``ids`` array, say) go along unchanged.
 
     Rows are dealt by their place in the stored table, so repeated ids, ties and
-    null ids spread evenly.  Rows of length 0 get offset 0 of the first sequence
-    of their group.
+    null ids spread evenly.  Each group may leave one sequence half empty or worse;
+    what lies in those is packed again, level by level, until one group is left.
+    Rows of length 0 get offset 0 of the first sequence of their group.
     """
-    pieces = written(pieces, "pieces").withColumn("__place", F.monotonically_increasing_id())
+    place, bin_, poor, group_ = (new_name(c, [*pieces.columns, "offset", "sequence_id"])
+                                 for c in ("__place", "__bin", "__poor", "__group"))
+    names = pieces.columns
+    pieces = written(pieces, "pieces").withColumn(place, F.monotonically_increasing_id())
     full = pieces.where(F.col("length") >= capacity)
-    part = pieces.where("length < " + str(capacity))
-    n, tokens = part.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    groups = max(1, -(-n // (group_pieces or pieces_a_group(n, tokens, capacity))))
-    # a partition's rows go round all groups, and partitions start at different ones
-    turn = F.shiftright("__place", 33) * 7919 + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
-    part = part.withColumn("__group", F.pmod(turn, F.lit(groups)))
-    names = [c for c in pieces.columns if c != "__place"]
-
-    def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("__place")
-        bins, offsets = best_fit_decreasing(table.column("length").to_numpy(), capacity)
-        group = key[0].as_py()
-        return (table.select([*names, "__place"])
-                .append_column("__bin", pa.array(bins * groups + group, pa.int64()))
-                .append_column("offset", pa.array(offsets, pa.int64())))
-
-    def ddl(df: DataFrame) -> str:
-        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    packed = part.groupBy("__group").applyInArrow(
-        pack, ddl(pieces) + ", __bin bigint, offset bigint")
-    # even numbers: shared sequences, odd ones: full pieces
-    a = packed.select(*names, (F.col("__bin") * 2).alias("sequence_id"), "offset")
-    b = full.select(*names, (F.col("__place") * 2 + 1).alias("sequence_id"),
-                    F.lit(0).cast("long").alias("offset"))
-    return a.unionByName(b)
+    done = full.select(*columns_of(full.drop(place)), (F.col(place) * 2 + 1).alias("sequence_id"),
+                       F.lit(0).cast("long").alias("offset"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    def packer(groups: int):
+        def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            table = table.sort_by(place)
+            length = table.column("length").to_numpy()
+            bins, offsets = best_fit_decreasing(length, capacity)
+            half_empty = 2 * np.bincount(bins, weights=length) <= capacity
+            return (table.select([*names, place])
+                    .append_column(bin_, pa.array(bins * groups + key[0].as_py(), pa.int64()))
+                    .append_column("offset", pa.array(offsets, pa.int64()))
+                    .append_column(poor, pa.array(half_empty[bins] & (length > 0))))
+        return pack
+
+    part, level, most = pieces.where(F.col("length") < capacity), 0, math.inf
+    while True:
+        n, tokens = part.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        groups = max(1, min(most, -(-n // (group_pieces or pieces_a_group(n, tokens, capacity)))))
+        # a partition's rows go round all groups, and partitions start at different ones
+        turn = F.shiftright(place, 33) * 7919 + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+
+        packed = (part.withColumn(group_, F.pmod(turn, F.lit(groups))).groupBy(group_)
+                  .applyInArrow(packer(groups), kinds + f", `{bin_}` bigint, offset bigint, `{poor}` boolean"))
+        # one job packs and tells what is packed again
+        packed = written(packed, "packed") if groups > 1 else packed
+        good = packed if groups == 1 else packed.where(~F.col(poor))
+        # even numbers: shared sequences of each level, odd ones: full pieces
+        done = done.unionByName(good.select(
+            *columns_of(pieces.drop(place)), ((F.col(bin_) * LEVELS + level) * 2).alias("sequence_id"), "offset"))
+        if groups == 1:
+            return done
+        part, level, most = packed.where(F.col(poor)).drop(bin_, "offset", poor), level + 1, groups // 2
 
 
 def sequences(packed: DataFrame) -> DataFrame:
