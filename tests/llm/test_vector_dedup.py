@@ -80,7 +80,7 @@ def test_empty(spark):
 @pytest.mark.parametrize("dim", [16, 64, 256])
 def test_recall_at_the_threshold(dim):
     rng = np.random.default_rng(3)
-    code = vd.ProductCode(dim, vd.BLOCKS, vd.CODE, 7)
+    code = vd.ProductCode(dim, vd.BLOCKS, 64, 7)
     a = rng.standard_normal((2000, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b = rng.standard_normal(a.shape)
@@ -91,11 +91,30 @@ def test_recall_at_the_threshold(dim):
     assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in pairs]) >= 0.99
 
 
+@pytest.mark.parametrize("n", [100, 50_000, 2_000_000, 30_000_000])
+def test_recall_and_filters_at_every_size(n):
+    """Directions follow the size: recall stays, filters a vector grow like their root."""
+    rng = np.random.default_rng(4)
+    size = vd.code_for(n)
+    assert size == vd.LEAST_CODE or abs(size ** 3 / n - vd.FILTERS_A_VECTOR) < 0.3 * vd.FILTERS_A_VECTOR
+    code = vd.ProductCode(64, vd.BLOCKS, size, 7)
+    a = rng.standard_normal((400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = 0.98 * a + np.sqrt(1 - 0.98 ** 2) * b
+    x, y = code.decode(a, vd.MARGIN), code.decode(b, vd.MARGIN)
+    recall, passed = np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y, strict=True)]), np.mean([len(p) for p in x])
+    print("RECALL", n, size, recall, passed)
+    assert recall >= 0.99 and passed <= 2.2 * size ** 0.5
+
+
 @pytest.mark.parametrize("dim", [16, 64, 256])
 @pytest.mark.parametrize("threshold", [0.95, 0.9, 0.8])
 def test_recall_at_lower_thresholds(dim, threshold):
     rng = np.random.default_rng(3)
-    code = vd.ProductCode(dim, vd.BLOCKS, vd.CODE, 7)
+    code = vd.ProductCode(dim, vd.BLOCKS, 64, 7)
     a = rng.standard_normal((300, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b = rng.standard_normal(a.shape)
