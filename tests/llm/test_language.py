@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 
@@ -66,7 +68,57 @@ def test_slack_bounds_the_maximum(model):
     best = e.em(start, 3000)[1]
     for steps in (1, 2, 4, 8, 16):
         pi, ll = e.em(start, steps)
-        assert ll + e.slack(pi) >= best - 1e-3
+        assert ll + e.slack(e.gain(pi)) >= best - 1e-3
+    for need in (10.0, 1.0, 0.1):
+        pi, ll, slack = e.settle(start, np.array([need]))
+        assert slack <= max(need, 2 * lg.ROUNDING * count.sum()) and best - slack - 1e-2 <= ll <= best + 1e-2
+
+
+def plain_em(logp, count, steps=4000):
+    """Proportions and log-likelihood, double precision, nothing but the definition."""
+    pi = np.full(logp.shape[1], 1 / logp.shape[1])
+    p = np.exp(logp.astype(np.float64))
+    for _ in range(steps):
+        joint = p * pi
+        joint /= joint.sum(axis=1, keepdims=True)
+        pi = (joint * count[:, None]).sum(axis=0) / count.sum()
+    return pi, float((count * np.log(p @ pi)).sum())
+
+
+def test_identify_against_plain_em_over_all_sets_of_languages(spark, model):
+    rng = np.random.default_rng(11)
+    parts = [("aa", 40), ("bb", 40), ("cc", 40), ("aa", 3), ("cc", 1)]
+    mixed = [[("aa", 200), ("bb", 150)], [("aa", 300), ("cc", 6)], [("bb", 60), ("cc", 60), ("aa", 60)],
+             [("cc", 400), ("bb", 2)], [("aa", 25), ("bb", 25)]]
+    texts = [" ".join(text(rng, k, n) for k, n in m) for m in [[p] for p in parts] + mixed]
+    got = {r.text: r for r in lg.identify(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()}
+    langs = sorted(model)
+    logp = np.stack([model[k] for k in langs], axis=1)
+    several = 0
+    for t in texts:
+        found, count = lg._counts(t.encode())
+        value = {}
+        for k in range(1, len(langs) + 1):
+            for some in itertools.combinations(range(len(langs)), k):
+                pi, ll = plain_em(logp[found][:, some], count)
+                value[some] = (ll - k * lg.PENALTY * np.log(max(count.sum(), 2)), pi)
+        best = max(value, key=lambda s: value[s][0])
+        r = got[t]
+        mine = tuple(langs.index(k) for k in sorted(r.lang_mix))
+        assert value[mine][0] >= value[best][0] - lg.CLOSE
+        share = dict(zip((langs[i] for i in mine), value[mine][1], strict=True))
+        assert all(abs(share[k] - v) < 0.02 for k, v in r.lang_mix.items())
+        assert r.lang_pred == max(sorted(share), key=share.get) and abs(r.lang_score - share[r.lang_pred]) < 0.02
+        several += len(mine) > 1
+    assert several >= 2
+
+
+def test_characters_that_are_no_letters(spark, model):
+    none = ["½ ² ① Ⅷ", "123 _ !", "…—", "٣"]
+    some = ["é", "½a", "ª", "漢", "ʰ", "ǅ"]
+    got = {r.text: r.lang_pred for r in lg.identify(
+        spark.createDataFrame([(t,) for t in none + some], "text string"), model).collect()}
+    assert all(got[t] == "und" for t in none) and all(got[t] != "und" for t in some)
 
 
 def test_blocks_do_not_matter(model, monkeypatch):

@@ -1,7 +1,7 @@
 """Language identification as a mixture: which languages a text is written in,
 and in what proportions.
 
-Each language has a smoothed distribution over hashed n-grams (1 to 3 bytes),
+Each language has a smoothed distribution over hashed n-grams (1 to 4 bytes),
 counted over all training rows.  A text's n-grams come from a mixture of those
 distributions; expectation-maximisation estimates the proportions.  Of the sets
 made of the k largest languages (k = 1, 2, ...), the one with the highest
@@ -20,24 +20,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordpair.llm.ngrams import add_up, bucket_counts
+from wordpair.llm.store import written
 
-ORDERS = (1, 2, 3)
-BITS = 14
+ORDERS = (1, 2, 3, 4)
+BITS = 15
 ALPHA = 0.5
-EM_STEPS = 8
-SET_STEPS = 8
-#: Rounds of EM_STEPS more for texts whose bound leaves the number of languages open; a
-#: text still open then is searched.
-MORE_ROUNDS = 12
+EM_STEPS = 12
+SET_STEPS = 12
+#: How far above the proportions' likelihood that of a set may still lie when sets are
+#: compared, in log units.
+CLOSE = 1.0
 #: Penalty a language of the chosen set, in units of ln(n-grams).
 PENALTY = 8.0
-#: The model holds languages x 2**BITS floats (64 KB a language) and goes to every
+#: The model holds languages x 2**BITS floats (128 KB a language) and goes to every
 #: task; beyond this many languages fitting is an error, nothing is dropped.
 MAX_LANGUAGES = 1000
+#: Relative error of a likelihood summed in single precision.
+ROUNDING = 2e-6
 #: n-gram entries that run through EM at once.
 ENTRIES = 400_000
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(rb"[A-Za-z]")
+
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
@@ -45,6 +49,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
     not null (null texts count as empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
         totals: dict[str, list] = {}
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -53,12 +58,13 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
                 mine[1] += bucket_counts(text, ORDERS, BITS)
         for lang, (n, counts) in totals.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang]), pa.array([n], pa.int64()), pa.array([counts.tobytes()], pa.binary())],
-                names=["label", "n", "counts"])
+                [pa.array([lang]), pa.array([n], pa.int64()), pa.array([counts.tobytes()], pa.binary()),
+                 pa.array([TaskContext.get().partitionId()], pa.int64())],
+                names=["label", "n", "counts", "part"])
 
     known = (rows.where(F.col(lang_col).isNotNull())
              .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary")))
-    sums = add_up(known.mapInArrow(run, "label string, n long, counts binary"))
+    sums = add_up(written(known.mapInArrow(run, "label string, n long, counts binary, part long"), "languages"))
     got = sums.limit(MAX_LANGUAGES + 1).collect()
     if len(got) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -99,19 +105,62 @@ class Entries:
         return pi, self.base + np.add.reduceat((self.count * np.log(np.maximum(mixed, 1e-30)))
                                                .astype(np.float64), self.first)
 
-    def slack(self, pi: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
-        """How much the log-likelihood at ``pi`` may be below the maximum (over the
+    def likelihood(self, pi: np.ndarray) -> np.ndarray:
+        mixed = np.einsum("ij,ij->i", self.like, pi[self.doc])
+        return self.base + np.add.reduceat(self.count * np.log(np.maximum(mixed, 1e-30)), self.first,
+                                           dtype=np.float64)
+
+    def gain(self, pi: np.ndarray) -> np.ndarray:
+        """The gradient of the log-likelihood over the text's n-grams: the factors of
+        an EM step."""
+        mixed = np.maximum(np.einsum("ij,ij->i", self.like, pi[self.doc]), 1e-30)
+        g = np.add.reduceat((self.like * (self.count / mixed)[:, None]).astype(np.float64), self.first, axis=0)
+        return g / self.total[:, None]
+
+    def slack(self, gain: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
+        """How much a log-likelihood with this gain may be below the maximum (over the
         languages ``within``, if given), at most.
 
         It is concave, and by Jensen's inequality no proportions are likelier by more
-        than n ln(max_k g_k / n), g the gradient at ``pi``.
+        than n ln(max_k gain_k).
         """
-        mixed = np.maximum(np.einsum("ij,ij->i", self.like, pi[self.doc]), 1e-30)
-        g = np.add.reduceat((self.like * (self.count / mixed)[:, None]).astype(np.float64), self.first, axis=0)
-        if within is not None:
-            g = np.where(within, g, 0.0)
+        most = (gain if within is None else np.where(within, gain, 0.0)).max(axis=1)
         # and the rounding of single precision
-        return self.total * (np.log(np.maximum(g.max(axis=1) / self.total, 1.0)) + 2e-6)
+        return self.total * (np.log(np.maximum(most, 1.0)) + ROUNDING)
+
+    def settle(self, pi: np.ndarray, need: np.ndarray, within: np.ndarray | None = None
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(pi, log-likelihood, slack)`` with a slack of at most ``need`` (per text),
+        or what rounding allows.
+
+        EM steps with their factors raised to a power, which grows as long as the
+        likelihood does; where it does not, a plain step is taken, which cannot lose.
+        """
+        pi, need = pi.astype(np.float64), np.maximum(need, 2 * ROUNDING * self.total)
+        value, power = self.likelihood(pi), np.ones(len(pi))
+        stuck = np.zeros(len(pi), bool)
+        while True:
+            gain = self.gain(pi)
+            slack = self.slack(gain, within)
+            open_ = (slack > need) & ~stuck
+            if not open_.any():
+                return pi.astype(np.float32), value, slack
+
+            def step(by, pi=pi, gain=gain):
+                new = pi * gain ** by[:, None]
+                return new / np.maximum(new.sum(axis=1, keepdims=True), 1e-300)
+
+            new = step(power)
+            got = self.likelihood(new)
+            worse = open_ & ~(got > value) & (power > 1)
+            if worse.any():
+                plain = step(np.ones(len(pi)))
+                new[worse], got[worse] = plain[worse], self.likelihood(plain)[worse]
+            # a plain step that gains nothing is at the end of what can be told apart
+            stuck |= open_ & ~(got > value) & (worse | (power <= 1))
+            moved = open_ & (got > value)
+            pi[moved], value[moved] = new[moved], got[moved]
+            power = np.where(moved & ~worse, np.minimum(power * 1.5, 64.0), 1.0)
 
     def of(self, docs: np.ndarray) -> Entries:
         """The same for some of the texts (ascending)."""
@@ -153,14 +202,10 @@ class Mixture:
         chosen[np.arange(n_docs), single.argmax(axis=1)] = 1.0
         cost = PENALTY * np.log(np.maximum(texts.total, 2.0))
         value = single.max(axis=1) - cost
-        slack = texts.slack(pi)
-        for _ in range(MORE_ROUNDS):
-            open_ = np.flatnonzero((most + slack - 2 * cost > value) & (slack > cost / 4))
-            if not len(open_):
-                break
-            some = texts.of(open_)
-            pi[open_], most[open_] = some.em(pi[open_], EM_STEPS)
-            slack[open_] = some.slack(pi[open_])
+        slack = texts.slack(texts.gain(pi))
+        open_ = np.flatnonzero((most + slack - 2 * cost > value) & (slack > cost / 4))
+        if len(open_):
+            pi[open_], most[open_], slack[open_] = texts.of(open_).settle(pi[open_], cost[open_] / 4)
         order = np.argsort(-pi, axis=1, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(n_langs)[None, :], axis=1)
@@ -173,20 +218,24 @@ class Mixture:
             start /= start.sum(axis=1, keepdims=True)
             some, within = texts.of(open_), start > 0
             got, ll = some.em(start, SET_STEPS)
-            short = some.slack(got, within)
-            for _ in range(MORE_ROUNDS):
-                again = np.flatnonzero((ll + short - k * cost[open_] > value[open_]) & (short > 1))
-                if not len(again):
-                    break
-                part = some.of(again)
-                got[again], ll[again] = part.em(got[again], SET_STEPS)
-                short[again] = part.slack(got[again], within[again])
+            short = some.slack(some.gain(got), within)
+            again = np.flatnonzero((ll + short - k * cost[open_] > value[open_]) & (short > CLOSE))
+            if len(again):
+                got[again], ll[again], _ = some.of(again).settle(got[again], np.full(len(again), CLOSE), within[again])
             better = ll - k * cost[open_] > value[open_]
             chosen[open_[better]] = got[better]
             value[open_[better]] = (ll - k * cost[open_])[better]
         return [{self.langs[j]: float(row[j]) for j in np.flatnonzero(row > 0)} for row in chosen]
 
 
+def has_letter(text: bytes) -> bool:
+    """Whether a text has a character of a Unicode category L*."""
+    # nearly all texts have an ASCII letter near their start
+    if _ASCII_LETTER.search(text):
+        return True
+    return any(c.isalpha() for c in text.decode("utf-8", "replace"))
+
+
 def identify(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
     """``docs`` plus ``lang_pred``, ``lang_score`` (its proportion) and ``lang_mix``
     (map of the chosen languages to proportions).
@@ -205,8 +254,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "tex
         mixture = Mixture(model)
         for batch in batches:
             texts = batch.column(place).cast(pa.binary()).to_pylist()
-            real = [i for i, t in enumerate(texts)
-                    if model and t and _LETTER.search(t.decode("utf-8", "replace"))]
+            real = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
             mixes: list[dict[str, float]] = [{} for _ in texts]
             for i, mix in zip(real, mixture.infer([texts[i] for i in real]), strict=True):
                 mixes[i] = mix

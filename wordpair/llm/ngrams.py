@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from wordpair.operators.fanin import FAN_IN, merge_tree
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of one text that are hashed at once.
@@ -45,6 +46,14 @@ def slices(data: bytes, longest: int) -> Iterator[bytes]:
         yield data[at:at + step + longest - 1]
 
 
+def few_at_once(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple]:
+    """The rows of a batch as Python values (texts as bytes), some at a time: a batch has
+    thousands of texts, which need not all be copied at once."""
+    for at in range(0, batch.num_rows, rows):
+        columns = (c.cast(pa.binary()) if pa.types.is_string(c.type) else c for c in batch.slice(at, rows).columns)
+        yield from zip(*(c.to_pylist() for c in columns), strict=True)
+
+
 class Presence:
     """The distinct buckets of a text, without sorting its n-grams."""
 
@@ -68,11 +77,10 @@ def bucket_counts(text: bytes | None, orders: tuple[int, ...], bits: int) -> np.
     return total
 
 
-def add_up(partial: DataFrame, spread: int = 64) -> DataFrame:
-    """``(label, n, counts)`` rows of equal-length int64 arrays (as bytes) ->
-    one row a label.  Rows of a label are added in ``spread`` tasks first, so a
-    label that every task has does not meet in one task."""
-    schema = "label string, n long, counts binary"
+def add_up(partial: DataFrame, fan: int = FAN_IN) -> DataFrame:
+    """``(label, n, counts, part)`` rows of equal-length int64 arrays (as bytes), one a
+    label and ``part`` -> one row a label, at most ``fan`` arrays in a group.
+    ``partial`` must be stored."""
 
     def add(table: pa.Table) -> pa.Table:
         total, n = None, 0
@@ -84,6 +92,5 @@ def add_up(partial: DataFrame, spread: int = 64) -> DataFrame:
                          "n": pa.array([n], pa.int64()),
                          "counts": pa.array([total.tobytes()], pa.binary())})
 
-    salted = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(spread)))
-    first = salted.groupBy("label", "salt").applyInArrow(add, schema)
-    return first.groupBy("label").applyInArrow(add, schema)
+    return merge_tree(partial.select("label", "n", "counts", "part"), ["label"], add,
+                      "label string, n long, counts binary", fan)
