@@ -95,7 +95,21 @@ def test_long_texts_in_parts(spark, monkeypatch):
     f, words = brute_counts([(t, lang) for _, t, lang in rows])
     phrases, counted = C.phrase_counts(docs, least=2, range_bytes=64)
     assert {(r.lang, r.n, r.phrase): r.a for r in phrases.collect()} == {k: a for k, a in f.items() if a >= 2}
-    assert {r.lang: r.n for r in counted.collect()} == dict(words)
+    assert {r.lang: r.n for r in counted.collect()} == {k: n for k, n in words.items() if n >= 2}
+
+
+def test_no_recount_without_shared_fingerprints(spark, small, monkeypatch):
+    """Sums of checks over many buffers still fit the words."""
+    def never(*args):
+        raise AssertionError("counted by text")
+
+    monkeypatch.setattr(C, "_by_text", never)
+    many = small
+    for _ in range(3):
+        many = many.unionAll(many)
+    f, _ = brute_counts(pairs(small))
+    phrases, _ = C.phrase_counts(many, range_bytes=1 << 18)
+    assert {(r.lang, r.n, r.phrase): r.a for r in phrases.collect()} == {k: 8 * a for k, a in f.items() if 8 * a >= 10}
 
 
 def test_products_beyond_64_bits(spark):
@@ -110,6 +124,6 @@ def test_products_beyond_64_bits(spark):
 def test_entries_survive_packing():
     rnd = np.random.default_rng(1)
     fp = np.sort(rnd.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
-    cols = [fp, rnd.integers(1, 1 << 40, 1000).astype(np.uint64), rnd.integers(0, 1 << 32, 1000).astype(np.uint32),
+    cols = [fp, rnd.integers(1, 1 << 32, 1000).astype(np.uint64), rnd.integers(0, C.CHECK, 1000).astype(np.uint16),
             rnd.integers(0, 1 << 40, 1000).astype(np.uint64)]
     assert all((a == b).all() for a, b in zip(cols, C.unpack(C.pack(*cols), 1000), strict=True))

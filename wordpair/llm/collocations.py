@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from wordpair.llm.store import written
 from wordpair.operators.ordering import dense_index
 
+#: Sums of checks are taken modulo this prime, so that a count cannot cancel them.
+CHECK = 65521
 #: Two primes for the fingerprint, one for the check, and their bases for bytes and
 #: for words (with one base for both, bytes of neighbouring words could change places).
 PRIMES = (2147483647, 2147483629, 2147483587)
@@ -40,16 +42,16 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 #: Bytes of text that a task adds up at once, bytes of text for each range of
 #: fingerprints, bytes that share one prefix polynomial, longest word inside it.
-BUFFER = 16 << 20
-RANGE_BYTES = 32 << 20
-BLOCK = 1 << 20
+BUFFER = 8 << 20
+RANGE_BYTES = 8 << 20
+BLOCK = 1 << 18
 LONG_WORD = 1 << 16
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\t\x0b\x0c\r",
                          b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n \n\n\n")
 _EDGE, _WORD = re.compile(rb"[ \n]"), re.compile(rb"[^ \n]+")
 
-COUNTED = "part int, lang string, n long, blob binary"
+COUNTED = "part int, n long, blob binary"
 FREQUENT = "fp long, a long, checks long, pointer long"
 
 
@@ -85,11 +87,11 @@ class Hasher:
         inside[0] = inside[-1] = 0
         inside[1:-1] = (a != 0x20) & (a != 0x0A)
         turn = np.diff(inside)
-        return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        return (np.flatnonzero(turn == 1).astype(np.int32), np.flatnonzero(turn == -1).astype(np.int32))
 
     def word_hashes(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         a = np.frombuffer(data, np.uint8)
-        out = [np.empty(len(starts), np.uint64) for _ in self.primes]
+        out = [np.empty(len(starts), np.uint32) for _ in self.primes]
         long = np.flatnonzero(ends - starts > LONG_WORD)
         at = 0
         while at < len(starts):
@@ -112,28 +114,31 @@ class Hasher:
 
     def phrases(self, docs: list[tuple[str, bytes]], below: int | None = None) -> Iterator[tuple]:
         """For each phrase length: ``n, fp, check, first word, doc`` of every phrase of
-        the texts (``below``: of those that start before that byte).  Also gives the
-        texts' words: the first item is ``0, data, starts, ends, doc of each word``."""
+        the texts (``below``: of those that start before that byte).  The empty phrase of
+        a language stands before every word, so its count is the language's words.  The
+        first item is ``None, data, starts, ends``: where the words lie."""
         data = b"\n".join(t for _, t in docs)
         starts, ends = self.words(data)
         sizes = np.array([len(t) + 1 for _, t in docs], np.int64)
         doc = np.searchsorted(np.cumsum(sizes), starts, side="right").astype(np.int32)
         counted = len(starts) if below is None else int(np.searchsorted(starts, below))
-        yield 0, data, starts, ends, doc[:counted]
+        yield None, data, starts, ends
         breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0A)
-        piece = np.searchsorted(breaks, starts)
+        piece = np.searchsorted(breaks, starts).astype(np.int32)
         words = self.word_hashes(data, starts, ends)
         seeds = np.array([self.seed(lang) for lang, _ in docs], np.uint64).reshape(-1, len(self.primes))
-        grams = [seeds[doc, i] for i in range(len(self.primes))]
-        for n in range(1, self.longest + 1):
-            size = len(starts) - n + 1
+        grams = [seeds[doc, i].astype(np.uint32) for i in range(len(self.primes))]
+        for n in range(self.longest + 1):
+            size = len(starts) - max(0, n - 1)
             if size <= 0:
                 return
-            for i, p in enumerate(self.primes):
-                grams[i] = (grams[i][:size] * np.uint64(WORD_BASES[i]) + words[i][n - 1:]) % np.uint64(p)
-            whole = np.flatnonzero(piece[:min(size, counted)] == piece[n - 1:n - 1 + min(size, counted)])
-            fp = ((grams[0][whole] << np.uint64(31)) | grams[1][whole]) * _SPREAD
-            yield n, fp, grams[2][whole].astype(np.uint32), whole, doc[whole]
+            for i, p in enumerate(self.primes) if n else ():
+                grams[i] = ((grams[i][:size].astype(np.uint64) * np.uint64(WORD_BASES[i]) + words[i][n - 1:])
+                            % np.uint64(p)).astype(np.uint32)
+            size, last = min(size, counted), max(0, n - 1)
+            whole = np.flatnonzero(piece[:size] == piece[last:last + size])
+            fp = ((grams[0][whole].astype(np.uint64) << np.uint64(31)) | grams[1][whole]) * _SPREAD
+            yield n, fp, (grams[2][whole] % np.uint32(CHECK)).astype(np.uint16), whole, doc[whole]
 
 
 def _cut(text: bytes, longest: int) -> Iterator[tuple[bytes, int]]:
@@ -169,25 +174,36 @@ def _buffers(rows: Iterator[tuple], longest: int) -> Iterator[tuple[list, int |
         yield held, None
 
 
+def _planes(column: np.ndarray) -> bytes:
+    """A column by byte place, so that bytes which are mostly alike shrink."""
+    return np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1).T).tobytes()
+
+
 def pack(fp: np.ndarray, count: np.ndarray, checks: np.ndarray, pointer: np.ndarray) -> bytes:
-    """Ascending fingerprints as gaps; all columns by byte place, so that bytes
-    which are mostly zero shrink."""
-    columns = (np.diff(fp, prepend=np.uint64(0)), count.astype("<u8"), checks.astype("<u4"),
-               pointer.astype("<u8"))
-    raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(fp), -1).T).tobytes()
-                   for c in columns)
-    return pa.compress(raw, codec="lz4", asbytes=True)
+    """Ascending fingerprints as gaps, and pointers as places in the list of those there are."""
+    keys, place = np.unique(pointer, return_inverse=True)
+    raw = b"".join([np.uint32(len(keys)).tobytes(), _planes(np.diff(keys, prepend=np.uint64(0))),
+                    _planes(np.diff(fp, prepend=np.uint64(0))), _planes(count.astype("<u4")),
+                    _planes(checks.astype("<u2")), _planes(place.astype("<u4"))])
+    return np.uint32(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack(blob, n: int) -> list[np.ndarray]:
-    raw = np.frombuffer(pa.decompress(blob, decompressed_size=28 * n, codec="lz4", asbytes=True), np.uint8)
-    out, at = [], 0
-    for dtype in ("<u8", "<u8", "<u4", "<u8"):
+    size = int(np.frombuffer(blob, np.uint32, 1)[0])
+    raw = np.frombuffer(pa.decompress(memoryview(blob)[4:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    at = 4
+
+    def column(n, dtype):
+        nonlocal at
         width = np.dtype(dtype).itemsize
         planes = raw[at:at + width * n].reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).view(dtype).ravel())
         at += width * n
-    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+        return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+    keys = np.cumsum(column(int(raw[:4].view(np.uint32)[0]), "<u8"), dtype=np.uint64)
+    fp = np.cumsum(column(n, "<u8"), dtype=np.uint64)
+    count, checks = column(n, "<u4").astype(np.uint64), column(n, "<u2")
+    return [fp, count, checks, keys[column(n, "<u4")]]
 
 
 def _add(fp, count, checks, pointer):
@@ -197,46 +213,40 @@ def _add(fp, count, checks, pointer):
     first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]])) if len(fp) else np.zeros(0, int)
     if not len(first):
         return fp, count, checks, pointer
-    return (fp[first], np.add.reduceat(count[order], first), np.add.reduceat(checks[order], first),
+    return (fp[first], np.add.reduceat(count[order], first),
+            (np.add.reduceat(checks[order], first, dtype=np.uint64) % np.uint64(CHECK)).astype(np.uint16),
             np.minimum.reduceat(pointer[order], first))
 
 
 def _count(rows: DataFrame, longest: int, ranges: int, primes) -> DataFrame:
-    """``(pointer, lang, text)`` -> packed entries by range (``part`` >= 0), and words
-    a language (``part`` -1)."""
+    """``(pointer, lang, text)`` -> packed entries by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(primes, longest)
 
-        def out(parts, langs, ns, blobs):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(parts, pa.int32()), pa.array(langs, pa.string()), pa.array(ns, pa.int64()),
-                 pa.array(blobs, pa.binary())], names=["part", "lang", "n", "blob"])
-
         def each():
             for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for at in range(0, batch.num_rows, 256):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True)
 
         for docs, below in _buffers(each(), longest):
             keys = np.array([k for k, _, _ in docs], np.uint64)
-            totals: dict[str, int] = {}
             for n, *got in hasher.phrases([(lang, text) for _, lang, text in docs], below):
-                if n == 0:
-                    in_doc = np.bincount(got[3], minlength=len(docs))
-                    for (_, lang, _), words in zip(docs, in_doc.tolist(), strict=True):
-                        totals[lang] = totals.get(lang, 0) + words
+                if n is None:
                     continue
                 fp, check, _, doc = got
-                entry = _add(fp, np.ones(len(fp), np.uint64), check, keys[doc])
+                entry = _add(fp, np.ones(len(fp), np.uint32), check, keys[doc])
                 # ranges are equal stretches of the 64-bit fingerprint
                 part = ((entry[0] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
                 edges = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
                 held = [(i, a, b) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
                 for at in range(0, len(held), 64):
                     some = held[at:at + 64]
-                    yield out([i for i, _, _ in some], [None] * len(some), [b - a for _, a, b in some],
-                              [pack(*(c[a:b] for c in entry)) for _, a, b in some])
-            yield out([-1] * len(totals), list(totals), list(totals.values()), [None] * len(totals))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i for i, _, _ in some], pa.int32()),
+                         pa.array([b - a for _, a, b in some], pa.int64()),
+                         pa.array([pack(*(c[a:b] for c in entry)) for _, a, b in some], pa.binary())],
+                        names=["part", "n", "blob"])
 
     return rows.mapInArrow(run, COUNTED)
 
@@ -251,7 +261,7 @@ def _frequent(counted: DataFrame, least: int) -> DataFrame:
                          "checks": checks[often].astype(np.int64),
                          "pointer": pointer[often].view(np.int64)})
 
-    return counted.where("part >= 0").groupBy("part").applyInArrow(add, FREQUENT)
+    return counted.groupBy("part").applyInArrow(add, FREQUENT)
 
 
 PHRASES = "fp long, lang string, n int, phrase string, a long, sure boolean"
@@ -278,8 +288,8 @@ def _materialise(docs: DataFrame, longest: int, primes) -> DataFrame:
             order = np.argsort(fps)
             fps, a, checks = fps[order], a[order], checks[order]
             for n, *got in hasher.phrases([(lang, text) for lang, _, text in rows], below):
-                if n == 0:
-                    data, starts, ends, _ = got
+                if n is None:
+                    data, starts, ends = got
                     continue
                 fp, check, first, doc = got
                 found, at = np.unique(fp.view(np.int64), return_index=True)
@@ -287,7 +297,7 @@ def _materialise(docs: DataFrame, longest: int, primes) -> DataFrame:
                 hit = np.flatnonzero(fps[place] == found)
                 place, at = place[hit], at[hit]
                 words = [[data[starts[w + i]:ends[w + i]] for i in range(n)] for w in first[at].tolist()]
-                sure = (check[at].astype(np.uint64) * a[place].astype(np.uint64)).astype(np.uint32) == checks[place]
+                sure = check[at].astype(np.int64) * (a[place] % CHECK) % CHECK == checks[place]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(fps[place]), pa.array([rows[d][0] for d in doc[at].tolist()], pa.string()),
                      pa.array([n] * len(at), pa.int32()),
@@ -310,13 +320,14 @@ def _by_text(rows: DataFrame, bad: DataFrame, longest: int, least: int, primes)
 
         def each():
             for batch in batches:
-                for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    yield lang, text
+                for at in range(0, batch.num_rows, 256):
+                    some = batch.slice(at, 256)
+                    yield from zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)
 
         for docs, below in _buffers(each(), longest):
             for n, *got in hasher.phrases(docs, below):
-                if n == 0:
-                    data, starts, ends, _ = got
+                if n is None:
+                    data, starts, ends = got
                     continue
                 fp, _, first, doc = got
                 counts: dict[tuple, int] = {}
@@ -341,7 +352,8 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
                   lang_col: str = "lang", id_col: str = "doc_id", primes=PRIMES,
                   range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(phrases, words)``: ``lang, n, phrase, a`` of every phrase of up to
-    ``longest`` words that occurs ``least`` times or more, and ``lang, n`` words.
+    ``longest`` words that occurs ``least`` times or more, and ``lang, n``, the words of
+    every language with ``least`` words or more.
 
     A null language is ``und`` and falls in one group with that name; a null text
     counts as empty.  Rows that are repeated count each.  Ids may repeat or be null:
@@ -353,17 +365,18 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
     rows = docs.select(pointer.alias("pointer"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"),
                        text.cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counted = written(_count(rows, longest, total // range_bytes + 1, primes), "phrase-entries")
-    words = counted.where("part = -1").groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = written(_frequent(counted, least), "frequent")
+    frequent = written(_frequent(_count(rows, longest, total // range_bytes + 1, primes), least), "frequent")
     wanted = frequent.groupBy("pointer").agg(F.collect_list(F.struct("fp", "a", "checks")).alias("wanted"))
-    texts = rows.join(wanted, "pointer").select("pointer", "lang", "text", "wanted")
+    # most texts are pointed to by nothing and go before any text is moved
+    pointers = written(frequent.select("pointer").distinct(), "pointers")
+    texts = rows.join(pointers, "pointer", "left_semi").join(wanted, "pointer").select("pointer", "lang", "text", "wanted")
     found = written(_materialise(texts, longest, primes), "phrases").dropDuplicates(["fp"])
     sure = found.where("sure").select("lang", "n", "phrase", "a")
     bad = found.where("not sure").select("fp")
     if not bad.isEmpty():
         sure = sure.unionByName(_by_text(rows, written(bad, "shared"), longest, least, primes))
-    return written(sure, "phrase-counts"), words
+    sure = written(sure, "phrase-counts")
+    return sure.where("n > 0"), sure.where("n = 0").select("lang", F.col("a").alias("n"))
 
 
 def _joined(words: Column, at, n) -> Column:
