@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wordpair.operators.analogy import ASKED, eligible_questions, ranked, targets, unit_vectors
 from wordpair.operators.scoring import Block, TopK, query_blocks, to_matrix
-from wordpair.session import materialize, scratch_folder
+from wordpair.session import discard, materialize, release, scratch_folder
 
 #: Centres (and cells) at most: they go to every task.
 MOST_CELLS = 1024
@@ -156,6 +156,8 @@ def search(cells: Cells, queries: DataFrame, k: int, exclude: tuple[str, ...] =
             rows = pa.table({"qid": block.qid, "cells": np.full(len(done), len(cells.centres), np.int32),
                              "searched": done})
             spark.createDataFrame(rows).write.mode("append").parquet(works)
+            discard(spark, mine)
+    release(q)
     return (ranked(spark.read.schema(TopK.schema).parquet(folder), k),
             spark.read.schema("qid long, cells int, searched int").parquet(works))
 

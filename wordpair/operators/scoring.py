@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordpair.session import materialize, scratch_folder
+from wordpair.session import materialize, release, scratch_folder
 
 #: Bytes of query vectors (double precision) that go to every task at once: the bound
 #: of a broadcast and of what passes through the driver.
@@ -139,6 +139,7 @@ def one_sided(vectors: DataFrame, queries: DataFrame, reducer: Callable, schema:
 
         v.mapInArrow(run, schema).write.mode("append").parquet(folder)
         sent.destroy()
+    release(q)
     return spark.read.schema(schema).parquet(folder)
 
 

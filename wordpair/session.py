@@ -78,7 +78,16 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     path = scratch_folder(spark, label)
     w = df.write.partitionBy(partition_by) if partition_by else df.write
     w.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``materialize`` returned; nothing reads it
+    any more.  Any other frame is left alone."""
+    if getattr(df, "_scratch", None):
+        discard(df.sparkSession, df._scratch)
 
 
 def hadoop_fs(spark: SparkSession, path: str):
