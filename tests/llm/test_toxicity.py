@@ -85,3 +85,63 @@ def test_scores_use_the_whole_text(spark):
     both = spark.createDataFrame([(1, clean), (2, clean + "grubble snarfle vexmont")], "doc_id long, text string")
     a, b = [r.toxic_score for r in tx.score(both, model).orderBy("doc_id").collect()]
     assert a < b
+
+
+def plain_scores(train, texts, buckets, l2=1e-4):
+    """The classifier without any of its helpers: presence of hashed n-grams, log-count
+    ratios, Newton's method on the balanced logistic loss."""
+    def grams(text):
+        b = (" " + " ".join((text or "").lower().split()) + " ").encode()
+        out = set()
+        for n in (3, 4, 5):
+            for i in range(len(b) - n + 1):
+                number = int.from_bytes(b[i:i + n], "little") + n
+                out.add((number * 0x9E3779B97F4A7C15) % 2 ** 64 >> (64 - buckets.bit_length() + 1))
+        return sorted(out)
+
+    count = {0: np.ones(buckets), 1: np.ones(buckets)}
+    for text, y in train:
+        count[y][grams(text)] += 1
+    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    X = np.zeros((len(train), buckets + 1))
+    for row, (text, _) in zip(X, train, strict=True):
+        row[grams(text)] = 1
+    X[:, :-1] *= ratio
+    X[:, -1] = 1
+    y = np.array([1 if y else -1 for _, y in train])
+    c = 0.5 / np.array([sum(t[1] == v for t in train) for _, v in train])
+
+    def loss(w):
+        return float((c * np.logaddexp(0, -y * (X @ w))).sum() + 0.5 * l2 * (w[:-1] @ w[:-1]))
+
+    w = np.zeros(buckets + 1)
+    ridge = np.full(buckets + 1, l2)
+    ridge[-1] = 0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(y * (X @ w)))
+        gradient = -(X.T @ (c * y * p)) + ridge * w
+        hessian = (X.T * (c * p * (1 - p))) @ X + np.diag(ridge + 1e-12)
+        w -= np.linalg.solve(hessian, gradient)
+
+    def scores(by_bucket, bias):
+        return np.array([1 / (1 + np.exp(-(by_bucket[grams(t)].sum() + bias))) for t in texts])
+
+    return ratio, w, loss, scores
+
+
+def test_scores_against_plain_numpy(spark, monkeypatch):
+    monkeypatch.setattr(tx, "BITS", 9)
+    rows = make(60, 5)
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1, ""), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    weights, bias = tx.fit(docs.repartition(3), labels)
+    ratio, w, loss, scores = plain_scores([(t, y) for _, t, y in rows], [r[1] for r in rows] + ["", None], 1 << 9)
+    got = {r.doc_id: r.toxic_score for r in tx.score(docs, (weights, bias)).collect()}
+    got = np.array([got[r[0]] for r in rows] + [got[1], got[2]])
+    # a score is the logistic function of the weights of the text's n-grams
+    assert np.abs(got - scores(weights, bias)).max() < 1e-5
+    # L-BFGS stops near the minimum that Newton's method reaches
+    mine = np.append(weights / np.where(ratio == 0, 1, ratio), bias)
+    assert loss(w) - 1e-9 <= loss(mine) <= loss(w) + 2e-3
+    want = scores(w[:-1] * ratio, w[-1])[:len(rows)]
+    assert np.abs(got[:len(rows)] - want).max() < 0.02 and ((got[:len(rows)] >= 0.5) == (want >= 0.5)).all()

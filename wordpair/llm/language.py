@@ -248,7 +248,9 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "tex
     rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
     names = rest.schema.names
     place = names.index(text_col)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
+    # columns go by their places: Python functions do not take names with dots
+    numbered = [f"c{i}" for i in range(len(names))]
+    ddl = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(numbered, rest.schema.fields, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixture = Mixture(model)
@@ -263,7 +265,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "tex
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(top, pa.string()), pa.array(share, pa.float64()),
                  pa.array([sorted(m.items()) for m in mixes], pa.map_(pa.string(), pa.float64()))],
-                names=[*names, *new])
+                names=[*numbered, *new])
 
-    return rest.mapInArrow(run, ddl + ", lang_pred string, lang_score double, "
-                                      "lang_mix map<string, double>")
+    return (rest.toDF(*numbered).mapInArrow(run, ddl + ", lang_pred string, lang_score double, "
+                                            "lang_mix map<string, double>").toDF(*names, *new))

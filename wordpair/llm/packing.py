@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordpair.llm.memory import trimmed
 from wordpair.llm.store import columns_of, new_name, written
 from wordpair.llm.word_bpe import encoder
 
@@ -106,11 +107,12 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         end = np.array([end_id], np.uint32)
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
+        # few documents at a time: a text's ids take several times its bytes
+        for some in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
+            ids = some.column(0).to_pylist()
             rows: list[tuple] = []
             bodies: list[np.ndarray] = []
-            for doc_id, body in zip(ids, enc.encode_many(batch.column(1).to_pylist()), strict=True):
+            for doc_id, body in zip(ids, enc.encode_many(some.column(1).to_pylist()), strict=True):
                 body = np.concatenate([body, end]).astype("<u4")
                 for k, at in enumerate(range(0, len(body), capacity)):
                     part = body[at:at + capacity]
@@ -130,7 +132,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def pieces_a_group(n: int, tokens: int, capacity: int) -> int:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordpair.llm.memory import kept
+
 WORD_MARK = "▁"
 #: A character that no piece covers costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -125,11 +127,10 @@ class TokenCounter:
 
 def _counter(path: str, max_nodes: int) -> TokenCounter:
     """This worker process's counter; it outlives the task."""
-    import sentencepiece
-    kept = sentencepiece.__dict__.setdefault("_wordpair_counters", {})
-    if (path, max_nodes) not in kept:
-        kept[path, max_nodes] = TokenCounter(path, max_nodes)
-    return kept[path, max_nodes]
+    counters = kept("counters")
+    if (path, max_nodes) not in counters:
+        counters[path, max_nodes] = TokenCounter(path, max_nodes)
+    return counters[path, max_nodes]
 
 
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",

@@ -5,8 +5,10 @@ log-count ratios (NB-SVM with a logistic loss).
 * Their log-count ratios come from all labelled training rows: each task adds
   up presence counts by class, and fixed-length arrays are summed.
 * The weights are fitted on a bounded sample (``per_class`` rows of each class,
-  by hash) with L-BFGS; every gradient is a Spark job over the stored sample that
-  returns one fixed-length array a task.
+  by hash) with L-BFGS; every gradient is a Spark job over the stored sample whose
+  tasks' arrays are added up by slices on the executors, so that the driver gets one
+  array in small pieces.  The weights go out as a broadcast that is destroyed
+  after its step.
 * Scoring is one pass over the documents with the weights (1 MB) in the closure.
 """
 
@@ -19,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordpair.llm.ngrams import Presence, add_up
+from wordpair.llm.memory import trimmed
+from wordpair.llm.ngrams import Presence, add_up, few_at_once
 from wordpair.llm.store import written
 
 ORDERS = (3, 4, 5)
 BITS = 18
 #: Rows of each class that the weights are fitted on, at most.
 PER_CLASS = 4096
-#: Tasks (so arrays sent to the driver) of a gradient.
+#: Tasks of a gradient, and slices in which their arrays are added up.
 FIT_TASKS = 8
+SLICES = 16
 
 
 def pack_buckets(found: np.ndarray) -> bytes:
@@ -43,22 +47,25 @@ def unpack_buckets(blob) -> np.ndarray:
 
 
 def _observe(rows: DataFrame) -> DataFrame:
-    """``(label, sampled, text)`` -> per task and class one array of presence
+    """``(label, sampled, text)`` -> per task (``part``) and class one array of presence
     counts (``kind`` 0), and the features of sampled rows (``kind`` 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId()
         presence = Presence(ORDERS, BITS)
         totals: dict[int, list] = {}
 
         def out(kind, label, n, blobs):
             return pa.RecordBatch.from_arrays(
                 [pa.array([kind] * len(blobs), pa.int32()), pa.array(label, pa.string()),
-                 pa.array(n, pa.int64()), pa.array(blobs, pa.binary())],
-                names=["kind", "label", "n", "counts"])
+                 pa.array(n, pa.int64()), pa.array(blobs, pa.binary()),
+                 pa.array([part] * len(blobs), pa.int64())],
+                names=["kind", "label", "n", "counts", "part"])
 
         for batch in batches:
             labels, blobs = [], []
-            for y, sampled, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for y, sampled, text in few_at_once(batch):
                 found = presence(text)
                 mine = totals.setdefault(y, [0, np.zeros(1 << BITS, np.int64)])
                 mine[0] += 1
@@ -71,7 +78,7 @@ def _observe(rows: DataFrame) -> DataFrame:
         for y, (n, counts) in totals.items():
             yield out(0, [str(y)], [n], [counts.tobytes()])
 
-    return rows.mapInArrow(run, "kind int, label string, n long, counts binary")
+    return rows.mapInArrow(trimmed(run), "kind int, label string, n long, counts binary, part long")
 
 
 def log_ratios(counts: dict[str, tuple[int, np.ndarray]], alpha: float = 1.0) -> np.ndarray:
@@ -115,15 +122,22 @@ def lbfgs(loss_grad, x: np.ndarray, steps: int = 25, memory: int = 8, tol: float
     return x
 
 
+def _add_slices(table: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(g.as_buffer()) for g in table.column("g")], axis=0)
+    return pa.table({"slice": table.column("slice")[:1], "g": pa.array([total.tobytes()], pa.binary())})
+
+
 def _loss_grad(sample: DataFrame, ratios: np.ndarray, n_by_class: dict[int, int], l2: float):
     """Balanced logistic loss and its gradient, summed over the stored sample."""
     share = {y: 0.5 / max(1, n) for y, n in n_by_class.items()}
-    r32 = ratios.astype(np.float32)
+    context = sample.sparkSession.sparkContext
 
     def at(x: np.ndarray) -> tuple[float, np.ndarray]:
-        w, b = (x[:-1] * ratios).astype(np.float32), float(x[-1])
+        # a closure, so that this step's job holds the broadcast and nothing larger
+        sent, b = context.broadcast((x[:-1] * ratios).astype(np.float32)), float(x[-1])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w = sent.value
             loss, grad, bias = 0.0, np.zeros(len(w)), 0.0
             for batch in batches:
                 for label, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -134,14 +148,17 @@ def _loss_grad(sample: DataFrame, ratios: np.ndarray, n_by_class: dict[int, int]
                     k = -share[y] * (1 if y else -1) / (1.0 + np.exp(min(m, 700.0)))
                     grad[found] += k
                     bias += k
-            out = np.concatenate([grad * r32, [bias, loss]])
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["g"])
-
-        # FIT_TASKS arrays of 2**BITS + 2 numbers, whatever the input
-        got = sample.select("label", "counts").mapInArrow(run, "g binary").collect()
-        total = np.sum([np.frombuffer(bytes(row["g"])) for row in got], axis=0)
+            parts = np.array_split(np.concatenate([grad, [bias, loss]]), SLICES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(SLICES), pa.int32()), pa.array([g.tobytes() for g in parts], pa.binary())],
+                names=["slice", "g"])
+
+        got = (sample.select("label", "counts").mapInArrow(run, "slice int, g binary")
+               .groupBy("slice").applyInArrow(_add_slices, "slice int, g binary").collect())
+        sent.destroy()
+        total = np.concatenate([np.frombuffer(bytes(r["g"])) for r in sorted(got, key=lambda r: r["slice"])])
         return (float(total[-1] + 0.5 * l2 * (x[:-1] @ x[:-1])),
-                np.append(total[:-2] + l2 * x[:-1], total[-2]))
+                np.append(total[:-2] * ratios + l2 * x[:-1], total[-2]))
 
     return at
 
@@ -167,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = written(_observe(texts.join(marked, "id")
                             .select("label", F.coalesce("sampled", F.lit(False)), "text")), "toxic")
     counts = {row["label"]: (row["n"], np.frombuffer(bytes(row["counts"]), np.int64))
-              for row in add_up(seen.where("kind = 0").select("label", "n", "counts")).collect()}
+              for row in add_up(seen.where("kind = 0")).collect()}
     x = np.zeros((1 << BITS) + 1)
     if not counts:
         return x[:-1], 0.0
@@ -178,24 +195,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return x[:-1] * ratios, float(x[-1])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``toxic_score`` (probability of label 1, from the text alone).
-    A null text scores as an empty one."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text",
+          score_col: str = "toxic_score") -> DataFrame:
+    """``docs`` plus ``score_col`` (probability of label 1, from the text alone), which
+    takes the place of a column of that name.  A null text scores as an empty one."""
     weights, bias = model[0].astype(np.float32), model[1]
     cols = docs.columns
-    schema = docs.select(*[F.col(f"`{c}`") for c in cols if c != "toxic_score"]).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in cols if c != score_col]).schema
     names = schema.names
     place = names.index(text_col)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    # columns go by their places: Python functions do not take names with dots
+    numbered = [f"c{i}" for i in range(len(names))]
+    ddl = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(numbered, schema.fields, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence(ORDERS, BITS)
         for batch in batches:
             z = [float(weights[presence(t)].sum(dtype=np.float64)) + bias
-                 for t in batch.column(place).cast(pa.binary()).to_pylist()]
+                 for t, in few_at_once(batch.select([place]))]
             p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())],
-                                             names=[*names, "toxic_score"])
+                                             names=[*numbered, "score"])
 
-    return (docs.select(*[F.col(f"`{c}`") for c in names])
-            .mapInArrow(run, ddl + ", toxic_score double"))
+    return (docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, numbered, strict=True)])
+            .mapInArrow(trimmed(run), ddl + ", score double").toDF(*names, score_col))

@@ -15,6 +15,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from wordpair.llm.memory import kept
+
+#: Words that a worker keeps (some 100 bytes each) before it starts over.
+MAX_WORDS = 400_000
 #: Words looked up before their ids are expanded; bounds the memory of a task.
 SLICE_WORDS = 200_000
 #: Bytes of one text that are split at once.
@@ -46,7 +50,7 @@ class _Places(dict):
 
 
 class WordEncoder:
-    def __init__(self, path: str, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_words: int = MAX_WORDS):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
@@ -140,10 +144,9 @@ class WordEncoder:
         yield from flush()
 
 
-def encoder(path: str, max_words: int = 1_000_000) -> WordEncoder:
+def encoder(path: str, max_words: int = MAX_WORDS) -> WordEncoder:
     """This worker process's encoder for a file; it outlives the task."""
-    import tokenizers
-    kept = tokenizers.__dict__.setdefault("_wordpair_encoders", {})
-    if (path, max_words) not in kept:
-        kept[path, max_words] = WordEncoder(path, max_words)
-    return kept[path, max_words]
+    encoders = kept("encoders")
+    if (path, max_words) not in encoders:
+        encoders[path, max_words] = WordEncoder(path, max_words)
+    return encoders[path, max_words]
