@@ -2,7 +2,9 @@ import pytest
 
 #: Columns whose names operators use inside; they must neither clash nor change.
 CLASHING = ["size", "key", "h", "n", "k", "label", "place", "norm", "text_sha256", "toxic_score",
-            "lang_pred", "root", "copies", "rate", "count", "value", "row"]
+            "lang_pred", "root", "copies", "rate", "count", "value", "row", "pointer", "parts", "uid", "spans",
+            "__h", "__s", "__copies", "__own", "__keep", "__key", "__place", "__group", "__bin", "__poor", "__text",
+            "a.b"]
 
 
 @pytest.fixture(scope="module", autouse=True)

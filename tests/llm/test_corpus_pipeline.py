@@ -94,3 +94,36 @@ def test_packing(stages):
 def test_run_is_the_last_stage(spark, stages):
     got = Counter((r.doc_id, r.piece, r.length) for r in cp.run(spark, SF).collect())
     assert got == Counter((r.doc_id, r.piece, r.length) for r in stages["packing"].collect())
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, odd_docs, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("odd"))
+    odd_docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(10, 0, 1), (17, 1, 0), (21, 1, 0), (None, 1, 1), (999, 0, 1), (20, None, None)],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_every_stage_on_odd_documents(spark, odd_docs, odd_folder):
+    """Nulls, blanks, repeats, long texts, and columns with the stages' own names."""
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    extra = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    values = {c: docs.select(f"`{c}`").first()[0] for c in extra}
+    for name, stage in cp.STAGES[:-1]:
+        before, docs = docs, written(stage(spark, docs, odd_folder), name)
+        assert docs.columns == odd_docs.columns
+        rows = docs.collect()
+        assert all(r[c] == values[c] for r in rows for c in extra), name   # no value of the user's changes
+        assert Counter(map(key, rows)).keys() <= Counter(map(key, before.collect())).keys()
+    packed = cp.pack(spark, docs, odd_folder).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in docs.collect())
+
+
+def test_run_on_odd_documents_and_on_none(spark, odd_folder, tmp_path):
+    rows = cp.run(spark, odd_folder).collect()
+    assert rows and all(r.length >= 1 and r.offset >= 0 for r in rows)
+    empty = str(tmp_path)
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{odd_folder}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
+    assert cp.run(spark, empty).count() == 0

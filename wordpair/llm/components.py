@@ -12,13 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordpair.llm.store import written
+from wordpair.llm.store import temporary, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``node, root``: nodes of a component share a root (one
     of its nodes).  Loops and null ends are ignored; nodes without an edge are
     absent."""
+    with temporary(edges.sparkSession) as keep:
+        label = _components(edges)
+        keep.append(label)
+    return label
+
+
+def _components(edges: DataFrame) -> DataFrame:
     e = written(edges.where("a <> b").select("a", "b").distinct(), "edges")
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
     label = written(nodes.withColumn("root", F.col("node")), "labels")

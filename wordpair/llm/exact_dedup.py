@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordpair.llm.store import written
+from wordpair.llm.store import columns_of, new_name, written
 
 #: Runs of white space that count as one space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -40,7 +40,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that repeat an id and a text count each in ``group_size`` and are all
     ``kept`` if theirs is the smallest.  Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), normalised(F.col(f"`{text_col}`")).alias("norm"))
     rows = rows.withColumn("h", hash_fn(F.col("norm")))
     texts = (rows.groupBy("h", "norm")
              .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -66,14 +66,17 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Of rows that repeat the same id and text one is kept.  Rows whose id is
     null are kept only where no other row has their text (one of them).
     """
-    cols = docs.columns
-    keyed = docs.withColumn("__h", hash128(normalised(F.col(text_col))))
+    own, other = new_name("__text", docs.columns), new_name("__copies", docs.columns)
+    text = F.col(f"`{text_col}`")
     g = exact_groups(docs, id_col, text_col)
-    keep = g.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("__copies"))
-    keyed = keyed.withColumn("__s", F.sha2(normalised(F.col(text_col)), 256))
-    out = keyed.join(keep, keyed[id_col].eqNullSafe(keep["doc_id"]) &
-                     (keyed["__s"] == keep["text_sha256"]), "inner")
-    out = out.select(*[keyed[c] for c in cols], "__copies", "__s")
-    once = out.where("__copies = 1").select(*cols)
-    again = out.where("__copies > 1").dropDuplicates([id_col, "__s"]).select(*cols)
+    keep = (g.where("kept").groupBy(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_text"))
+            .agg(F.count(F.lit(1)).alias(other)))
+    keyed = docs.withColumn(own, F.sha2(normalised(text), 256)).alias("d")
+    # the ids of docs and keep are told apart by alias, whatever docs' columns are called
+    out = keyed.join(keep.alias("k"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.__keep_id"))
+                     & (F.col(f"d.`{own}`") == F.col("k.__keep_text")), "inner")
+    cols = [F.col("d.`" + c.replace("`", "``") + "`") for c in docs.columns]
+    once = out.where(F.col(f"k.`{other}`") == 1).select(*cols)
+    again = out.where(F.col(f"k.`{other}`") > 1).select(*cols, F.col(f"d.`{own}`"))
+    again = again.dropDuplicates([id_col, own]).select(*columns_of(docs))
     return once.unionByName(again)

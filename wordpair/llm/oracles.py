@@ -11,6 +11,29 @@ def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def mixing_targets(rounds: int = 8) -> str:
+    """Sizes and targets: every round freezes the sources above three times their size and
+    shares the rest among the others (more rounds than the tables have sources)."""
+    steps = "".join(f""",
+        t{i + 1} AS (
+          SELECT source, size, w, CASE WHEN target IS NOT NULL THEN target
+                   WHEN free * w / weight > 3 * size THEN CAST(3 * size AS DOUBLE) END AS target,
+                 free * w / weight AS share
+          FROM (SELECT source, size, w, target, (SELECT total FROM sums) - coalesce(sum(target) OVER (), 0) AS free,
+                       sum(CASE WHEN target IS NULL THEN w END) OVER () AS weight FROM t{i}))""" for i in range(rounds))
+    return rf"""
+        WITH d AS (
+          SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                                     lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, row_number() OVER (ORDER BY source NULLS LAST) AS r
+              FROM d GROUP BY source),
+        sums AS (SELECT CAST(sum(size) AS DOUBLE) AS total FROM s),
+        t0 AS (SELECT source, size, CAST([5, 2, 1][(r - 1) % 3 + 1] AS DOUBLE) AS w, CAST(NULL AS DOUBLE) AS target,
+                      CAST(0 AS DOUBLE) AS share FROM s){steps}
+        SELECT d.doc_id, d.size, t.size AS source_size, round(coalesce(t.target, t.share), 3) AS target
+        FROM d JOIN t{rounds} t ON t.source IS NOT DISTINCT FROM d.source"""
+
+
 def conversation_repair() -> str:
     return r"""
         WITH RECURSIVE crc_table AS (

@@ -37,6 +37,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of operator 1 that SQL can repeat: sizes and targets."""
+    out = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeat=3, seed=0)
+    return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -100,7 +106,7 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mixing, op2_exact_dedup, op3_vector_dedup, op4_toxicity, op5_warc, op6_token_counts,
+    op1_mixing, mixing_targets, op2_exact_dedup, op3_vector_dedup, op4_toxicity, op5_warc, op6_token_counts,
     op7_packing, op8_ngram_join, op9_token_files, op10_language,
     op11_conversation_repair, op12_collocations, op13_secret_scan)}
 
@@ -168,6 +174,7 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
         JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id""",
+    "mixing_targets": oracles.mixing_targets(),
     "op11_conversation_repair": oracles.conversation_repair(),
     "op12_collocations": oracles.collocations(),
     "op13_secret_scan": oracles.secret_scan_sql(),
