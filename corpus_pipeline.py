@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordpair.llm import exact_dedup, mixing, ngram_join, packing, queries, toxicity
-from wordpair.llm.store import written
+from wordpair.llm.store import columns_of, new_name, temporary, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(queries.fold("doc_id", 5) != 0)
     model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model).where(F.col("toxic_score") < 0.5).select(*docs.columns)
+    name = new_name("toxic_score", docs.columns)
+    scored = toxicity.score(docs, model, score_col=name)
+    return scored.where(F.col(f"`{name}`") < 0.5).select(*columns_of(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with temporary(spark) as keep:
+            docs = written(stage(spark, docs, sf_dir), name)
+            keep.append(docs)
     return docs
