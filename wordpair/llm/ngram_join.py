@@ -14,12 +14,14 @@ inverted lists.  The join runs in steps that each keep every link:
 3. Short lists.  By ascending list length, a text's lists but its T - 1 longest are
    its short ones (DivideSkip: the long ones are never merged); partners share a
    short list of both.
-4. Leaders.  In each short list every text is compared with one leader, and
-   linked texts are merged into classes.
-5. Search.  Where a short list still holds several classes, the texts of the smaller
-   class query an index over blocks of the larger one: short inverted lists are
-   merged, counts that can still reach T are kept, long lists are probed by binary
-   search.  Only links that join two classes are sent on.
+4. Search among leaders.  Each short list has one leader; the texts of a list query an
+   index over blocks of leaders, and linked texts are merged into classes.
+5. Search between classes.  Where a short list still holds several classes, the texts
+   of the smaller class query an index over blocks of the larger one.
+
+All links come from the T-occurrence search: a heap merges the query's short inverted
+lists, counts that can still reach T are kept, long lists are probed by binary search.
+Only links that join two classes are sent on.
 
 So copies and near copies are never expanded into pairs, and no step sets a limit
 on partners or candidates.
@@ -27,6 +29,7 @@ on partners or candidates.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -36,14 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordpair.llm.components import components
+from wordpair.llm.memory import trimmed
 from wordpair.llm.shingles import shingle_hashes
-from wordpair.llm.store import written
+from wordpair.llm.store import columns_of, new_name, temporary, written
 
 #: Postings a task collects before it sends them off.
 CHUNK_POSTINGS = 2_000_000
 #: Postings a bucket of the hash range holds on average, and how many buckets there
 #: are at least (powers of two).
-BUCKET_POSTINGS, BUCKET_BITS = 1_000_000, 0
+BUCKET_POSTINGS = 1_000_000
 #: Ranges of text keys (a power of two): a bucket sends one packed row to each.
 RANGE_BITS = 8
 #: Texts a block of the final search indexes, and queries it answers in one task.
@@ -91,7 +95,7 @@ def _sketch(rows: DataFrame, words: int) -> DataFrame:
                 [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())],
                 names=["doc_id", "key", "n"])
 
-    return rows.mapInArrow(run, "doc_id long, key binary, n long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, key binary, n long")
 
 
 def _prefix_postings(rows: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
@@ -99,8 +103,8 @@ def _prefix_postings(rows: DataFrame, words: int, percent: int, bits: int) -> Da
     buckets below 0, ``key64, shared`` counts that are already known in the task."""
     schema = "bucket long, keys binary, texts binary, hashes binary, key64 long, shared long"
 
-    def send(block: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys = np.fromiter(block, np.int64, len(block))
+    def send(block: dict[bytes, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys = np.array([int.from_bytes(k[:8], "little", signed=True) for k in block], np.int64)
         h = np.concatenate(list(block.values()))
         text = np.repeat(np.arange(len(keys)), [len(x) for x in block.values()])
         order = np.argsort(h, kind="stable")
@@ -135,12 +139,12 @@ def _prefix_postings(rows: DataFrame, words: int, percent: int, bits: int) -> Da
             names=["bucket", "keys", "texts", "hashes", "key64", "shared"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: dict[int, np.ndarray] = {}
+        block: dict[bytes, np.ndarray] = {}   # by the whole key: half of one may be another text's
         held = 0
         for batch in batches:
             for t in batch.column(0):
                 t = t.as_py()
-                key = int.from_bytes(_text_key(t)[:8], "little", signed=True)
+                key = _text_key(t)
                 if key in block:
                     continue
                 h = shingle_hashes(t, words)
@@ -155,7 +159,7 @@ def _prefix_postings(rows: DataFrame, words: int, percent: int, bits: int) -> Da
         if block:
             yield from send(block)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def _shared_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +238,23 @@ def _sets(rows: DataFrame, words: int) -> DataFrame:
                 [pa.array(rep, pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int64()),
                  pa.array(sets, pa.list_(pa.int64()))], names=["rep", "key", "n", "hashes"])
 
-    return rows.mapInArrow(run, "rep long, key binary, n long, hashes array<long>")
+    return rows.mapInArrow(trimmed(run), "rep long, key binary, n long, hashes array<long>")
+
+
+def merged(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ascending lists, each once and ascending, and in how many lists
+    each is: a heap holds the next number of every list."""
+    numbers: list[int] = []
+    counts: list[int] = []
+    last = None
+    for x in heapq.merge(*lists):
+        if x == last:
+            counts[-1] += 1
+        else:
+            numbers.append(x)
+            counts.append(1)
+            last = x
+    return np.array(numbers, np.int64), np.array(counts, np.int64)
 
 
 class Inverted:
@@ -264,10 +284,8 @@ class Inverted:
         # DivideSkip: set aside so many of the longest lists that probing pays
         skip = min(t - 1, int(t / (MU * math.log2(int(length[-1]) + 1) + 1)))
         short, long_ = at[:len(at) - skip], at[len(at) - skip:]
-        size = length[:len(at) - skip]
-        end = np.cumsum(size)
-        entries = self.text[np.repeat(self.start[short] - (end - size), size) + np.arange(end[-1])]
-        text, count = np.unique(entries, return_counts=True)   # the short lists, merged
+        text, count = merged([self.text[a:b].tolist() for a, b in
+                              zip(self.start[short].tolist(), self.start[short + 1].tolist(), strict=True)])
         fits = (count >= t - skip) & (self.sizes[text] * 100 >= n * self.percent) & \
             (n * 100 >= self.sizes[text] * self.percent)
         probes = np.sort(self.shingle[long_])
@@ -326,14 +344,16 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
                                       F.count(F.lit(1)).alias("m"))
                .where("m > 1").select("h", F.col("l.k").alias("lead"), F.col("l.n").alias("lead_n")))
     fits = (F.col("n") * 100 >= F.col("lead_n") * percent) & (F.col("lead_n") * 100 >= F.col("n") * percent)
-    pairs = short.join(leaders, "h").where(fits & (F.col("k") != F.col("lead"))).select("k", "lead").distinct()
-    a = sets.select("k", F.col("n").alias("n"), F.col("hashes").alias("ha"))
-    b = sets.select(F.col("k").alias("lead"), F.col("n").alias("m"), F.col("hashes").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    near = (pairs.join(a, "k").join(b, "lead").withColumn("both", both)
-            .where(F.col("both") * 100 >= (F.col("n") + F.col("m") - F.col("both")) * percent)
-            .select(F.col("k").alias("a"), F.col("lead").alias("b")))
-    near = written(near, "leader-links")
+    pairs = written(short.join(leaders, "h").where(fits & (F.col("k") != F.col("lead"))).select("k", "lead").distinct(),
+                    "leader-pairs")
+    leads = pairs.select(F.col("lead").alias("k")).distinct()
+    blocks = max(1, -(-leads.count() // INDEX_TEXTS))
+
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(blocks)).alias("block")
+
+    near = written(_searched(pairs.select("k", F.col("k").alias("label"), place("lead")).distinct(),
+                             leads.select("k", F.col("k").alias("label"), place("k")), sets, percent), "leader-links")
 
     roots = components(near)
     labelled = (sets.select("k").join(roots.withColumnRenamed("node", "k"), "k", "left")
@@ -362,17 +382,24 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     asks = (q.join(hosts, (F.col("q.h") == F.col("i.h")) & (F.col("i.top") > F.col("q.rank")))
             .select(F.col("q.k").alias("k"), F.col("q.label").alias("label"),
                     F.col("i.block").alias("block")).distinct())
+    index = mixed.select("k", "label", "block").distinct()
+    return near.unionByName(written(_searched(asks, index, sets, percent), "search-links"))
+
+
+def _searched(asks: DataFrame, index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` that join two labels, between texts ``asks(k, label, block)`` and those
+    indexed in the same block, ``index(k, label, block)``.  A block's queries are split
+    into turns of about QUERY_TEXTS, each with the block's index."""
     asks = written(asks, "queries")
     turns = asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(QUERY_TEXTS))).alias("turns"))
     turns = written(turns, "turns")
-    index = (mixed.select("k", "label", "block").distinct().join(turns, "block")
+    index = (index.join(turns, "block")
              .withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))))
     rows = (asks.join(turns, "block").withColumn("turn", F.pmod(F.xxhash64("k"), F.col("turns")))
             .select("block", "turn", "k", "label", F.lit(True).alias("query"))
             .unionByName(index.select("block", "turn", "k", "label", F.lit(False).alias("query"))))
-    found = (rows.join(sets.select("k", "hashes"), "k").groupBy("block", "turn")
-             .applyInArrow(_search_block(percent), "a long, b long"))
-    return near.unionByName(written(found, "search-links"))
+    return (rows.join(sets.select("k", "hashes"), "k").groupBy("block", "turn")
+            .applyInArrow(_search_block(percent), "a long, b long"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = 5, percent: int = 75) -> DataFrame:
@@ -385,7 +412,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = 5, percen
     texts = written(texts.select("key", "rep", "n", _key64("key").alias("key64")), "texts")
 
     total = texts.agg(F.sum("n")).first()[0] or 0
-    bits = max(BUCKET_BITS, math.ceil(math.log2(max(1, total / 2 / BUCKET_POSTINGS))))
+    bits = max(0, math.ceil(math.log2(max(1, total / 2 / BUCKET_POSTINGS))))
     sent = _prefix_postings(rows.select("text"), words, percent, bits)
     # far more buckets than ranges would make the ranges too large for a task
     packed = _count_shared(max(RANGE_BITS, bits - 4))
@@ -405,7 +432,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int = 5, percen
     sets = sets.unionByName(_sets(unnamed, words))
     # numbered before the write: a number made in each scan would follow the scan's splits
     sets = written(sets.withColumn("k", F.monotonically_increasing_id()), "sets")
-    roots = components(_links(sets, percent))
+    with temporary(docs.sparkSession) as keep:
+        roots = components(_links(sets, percent))
+        keep.append(roots)
     linked = (sets.select("k", "key", "rep").join(roots.withColumnRenamed("node", "k"), "k")
               .select("key", "rep", "root"))
     least_id = linked.groupBy("root").agg(F.min("rep").alias("component"))
@@ -449,9 +478,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id stay."""
     classes = _classes(docs, id_col, text_col, **options).where("doc_id = component_id")
     near = F.coalesce(F.col("root").cast("string").cast("binary"), F.col("key"))
-    keep = (classes.groupBy("doc_id", near, F.col("root").isNull()).agg(F.min("key").alias("__key"))
-            .select(F.col("doc_id").alias("__keep"), "__key"))
-    keyed = docs.where(F.col(id_col).isNotNull()).withColumn("__own", _key_of(text_col))
-    named = keyed.join(keep, (F.col(id_col) == F.col("__keep")) & (F.col("__own") == F.col("__key")))
-    return (named.dropDuplicates([id_col, "__own"]).drop("__keep", "__key", "__own")
-            .unionByName(docs.where(F.col(id_col).isNull())))
+    keep = (classes.groupBy("doc_id", near, F.col("root").isNull()).agg(F.min("key").alias("key"))
+            .select("doc_id", "key").alias("k"))
+    own = new_name("__own", docs.columns)
+    keyed = docs.withColumn(own, _key_of(text_col)).alias("d")
+    own_id, own_key = F.col(f"d.`{id_col}`"), F.col(f"d.`{own}`")
+    named = keyed.join(keep, (own_id == F.col("k.doc_id")) & (own_key == F.col("k.key")))
+    named = named.select("d.*").dropDuplicates([id_col, own]).select(*columns_of(docs))
+    return named.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
