@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordpair.llm.memory import trimmed
 from wordpair.llm.store import written
 from wordpair.operators.ordering import dense_index
 
@@ -46,6 +47,8 @@ BUFFER = 8 << 20
 RANGE_BYTES = 8 << 20
 BLOCK = 1 << 18
 LONG_WORD = 1 << 16
+#: Languages whose totals are broadcast; beyond that they are joined by shuffle.
+BROADCAST_LANGS = 100_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\t\x0b\x0c\r",
                          b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n \n\n\n")
@@ -248,10 +251,10 @@ def _count(rows: DataFrame, longest: int, ranges: int, primes) -> DataFrame:
                          pa.array([pack(*(c[a:b] for c in entry)) for _, a, b in some], pa.binary())],
                         names=["part", "n", "blob"])
 
-    return rows.mapInArrow(run, COUNTED)
+    return rows.mapInArrow(trimmed(run), COUNTED)
 
 
-def _frequent(counted: DataFrame, least: int) -> DataFrame:
+def _frequent(counted: DataFrame, ranges: int, least: int) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         entries = [unpack(blob.as_buffer(), n) for n, blob in
                    zip(table.column("n").to_pylist(), table.column("blob"), strict=True)]
@@ -261,7 +264,8 @@ def _frequent(counted: DataFrame, least: int) -> DataFrame:
                          "checks": checks[often].astype(np.int64),
                          "pointer": pointer[often].view(np.int64)})
 
-    return counted.groupBy("part").applyInArrow(add, FREQUENT)
+    # a number given stays as it is: one range a task, however many tables' partitions are set
+    return counted.repartition(ranges, "part").groupBy("part").applyInArrow(add, FREQUENT)
 
 
 PHRASES = "fp long, lang string, n int, phrase string, a long, sure boolean"
@@ -305,7 +309,7 @@ def _materialise(docs: DataFrame, longest: int, primes) -> DataFrame:
                      pa.array(a[place]), pa.array(sure)],
                     names=["fp", "lang", "n", "phrase", "a", "sure"])
 
-    return docs.mapInArrow(run, PHRASES)
+    return docs.mapInArrow(trimmed(run), PHRASES)
 
 
 def _by_text(rows: DataFrame, bad: DataFrame, longest: int, least: int, primes) -> DataFrame:
@@ -365,7 +369,8 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
     rows = docs.select(pointer.alias("pointer"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"),
                        text.cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    frequent = written(_frequent(_count(rows, longest, total // range_bytes + 1, primes), least), "frequent")
+    ranges = total // range_bytes + 1
+    frequent = written(_frequent(_count(rows, longest, ranges, primes), ranges, least), "frequent")
     wanted = frequent.groupBy("pointer").agg(F.collect_list(F.struct("fp", "a", "checks")).alias("wanted"))
     # most texts are pointed to by nothing and go before any text is moved
     pointers = written(frequent.select("pointer").distinct(), "pointers")
@@ -416,7 +421,9 @@ def collocations(phrases: DataFrame, words: DataFrame, top: int = 2000, shortest
             .where(F.coalesce(100 * F.col("longer") < inside_percent * F.col("a"), F.lit(True))))
     kept = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     placed = dense_index(kept, [F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase")])
-    first = placed.groupBy("lang").agg(F.min("idx").alias("first"))
-    ranked = (placed.join(first, "lang").withColumn("rank", F.col("idx") - F.col("first") + 1)
-              .where(F.col("rank") <= top))
-    return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # a row a language: broadcast up to BROADCAST_LANGS of them, so that a language with most
+    # phrases is no hot key
+    langs = written(placed.groupBy("lang").agg(F.min("idx").alias("first")).join(words, "lang"), "languages")
+    langs = F.broadcast(langs) if langs.count() <= BROADCAST_LANGS else langs
+    return (placed.join(langs, "lang").withColumn("rank", F.col("idx") - F.col("first") + 1)
+            .where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
