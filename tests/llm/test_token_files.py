@@ -63,3 +63,29 @@ def test_lookup_is_pushed_down(spark, odd_docs):
 def test_empty(spark, no_docs):
     path = tf.write_token_files(no_docs, new_folder(spark, "tokens"), PATH)
     assert tf.checksums(tf.read_token_files(spark, path)).count() == 0
+
+
+def test_words_met_again_stay_when_the_table_is_full(monkeypatch):
+    """Words met once are forgotten; those met often keep their ids, and all ids are right."""
+    whole = word_bpe.WordEncoder(PATH)
+    enc = word_bpe.WordEncoder(PATH, max_words=20)
+    monkeypatch.setattr(word_bpe, "SLICE_WORDS", 10)
+    added = []
+    monkeypatch.setattr(enc, "_add", lambda w, real=enc._add: (added.append(w), real(w))[1])
+    enc.places.add = enc._add
+    texts = [f"the cat of the word{chr(97 + i % 26)}{chr(97 + i // 26)} the cat one{chr(97 + i // 26)}two{chr(97 + i % 26)}"
+             .encode() for i in range(200)]
+    for text, ids in zip(texts, enc.encode_many(texts)):
+        assert ids.tolist() == whole.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    assert added.count(b"the") == 1 and len(enc.starts) <= 45
+
+
+def test_punctuation_after_a_word_needs_no_whole_tokenizer(monkeypatch):
+    enc = word_bpe.WordEncoder(PATH)
+    words = ["the", "ofthen", "ndoüng", "éc", "l", "s"]
+    marks = ["###", "%%%", ",***", "<|>", "\"", ")]}", "-", "_~`", "$&@", "...", "!?"]
+    want = [enc.tokenizer.encode(w + m, add_special_tokens=False).ids for w in words for m in marks]
+    asked = []
+    monkeypatch.setattr(enc, "_whole", lambda w, real=enc._whole: (asked.append(w), real(w))[1])
+    got = [x.tolist() for x in enc.encode_many([(w + m).encode() for w in words for m in marks])]
+    assert got == want and sorted(asked) == sorted(marks)

@@ -17,7 +17,7 @@ import numpy as np
 
 from wordpair.llm.memory import kept
 
-#: Words that a worker keeps (some 100 bytes each) before it starts over.
+#: Words that a worker keeps (some 100 bytes each) before it forgets those met once.
 MAX_WORDS = 400_000
 #: Words looked up before their ids are expanded; bounds the memory of a task.
 SLICE_WORDS = 200_000
@@ -25,9 +25,9 @@ SLICE_WORDS = 200_000
 SLICE_BYTES = 1 << 20
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-# One letter run, perhaps closed by one run of punctuation: exactly the pre-tokens
-# of the tokenizer, and nothing that its normaliser changes.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([,.;:!?]*)").fullmatch
+# One letter run, perhaps closed by one run of ASCII punctuation without apostrophes:
+# exactly the pre-tokens of the tokenizer, and nothing that its normaliser changes.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def byte_letters() -> dict[int, str]:
@@ -64,6 +64,26 @@ class WordEncoder:
         self.ids = array("I")
         self.starts = array("q")
         self.sizes = array("q")
+        self.met = np.zeros(0, np.int64)   # how often each place was looked up
+
+    def _forget(self) -> None:
+        """Keep the words met most often, at most half as many as a worker keeps, and
+        none that was met once."""
+        met = self.met
+        most = len(met) - self.max_words // 2
+        least = max(2, int(np.partition(met, most)[most]) + 1) if most > 0 else 2
+        words, ids = [w for w, k in self.places.items() if met[k] >= least], self.ids
+        kept = [(w, ids[self.starts[k]:self.starts[k] + self.sizes[k]]) for w, k in
+                zip(words, map(self.places.__getitem__, words), strict=True)]
+        if sum(len(x) for _, x in kept) > 8 * self.max_words:
+            kept = []
+        self.clear()
+        for w, x in kept:
+            self.places[w] = len(self.starts)
+            self.starts.append(len(self.ids))
+            self.sizes.append(len(x))
+            self.ids.extend(x)
+        self.met = np.zeros(len(self.starts), np.int64)
 
     def _whole(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -90,6 +110,9 @@ class WordEncoder:
     def _expand(self, places: list[np.ndarray]) -> list[np.ndarray]:
         """The ids of each run of word places."""
         k = np.concatenate(places)
+        met = np.bincount(k, minlength=len(self.starts))
+        met[:len(self.met)] += self.met
+        self.met = met
         size = np.frombuffer(self.sizes, np.int64)[k] if len(k) else np.zeros(0, np.int64)
         start = np.frombuffer(self.starts, np.int64)[k] if len(k) else size
         end = np.cumsum(size)
@@ -124,7 +147,7 @@ class WordEncoder:
             places.clear()
             owner.clear()
             if len(self.starts) > self.max_words or len(self.ids) > 16 * self.max_words:
-                self.clear()
+                self._forget()
 
         for text in texts:
             text = text or b""
