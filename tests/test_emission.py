@@ -45,3 +45,32 @@ def test_gumbel_draw_frequencies(spark):
     assert chi2 < 20.5   # 4 d.o.f., p ~ 0.0004
     again = sample_emissions(_vectors(spark, V).repartition(3), ctx, seed=3)
     assert again.exceptAll(sample_emissions(_vectors(spark, V), ctx, seed=3)).count() == 0
+
+
+def test_draws_take_no_logarithms_where_a_word_cannot_win(monkeypatch):
+    """The same draws as with noise for every word, of which few are worked out."""
+    from wordpair.operators import scoring as sc
+    rng = np.random.default_rng(4)
+    n, q = 6000, 40
+    V, Q = rng.normal(size=(n, 8)), rng.normal(size=(q, 8))
+    V[17, 2], V[1800, 1] = np.nan, np.inf
+    ids = rng.permutation(n) + 1
+    block = object.__new__(sc.Block)
+    block.qid, block.Q, block.more = np.arange(q) * 7, Q, {}
+    seen = []
+    real = sc.as_uniform
+    monkeypatch.setattr(sc, "as_uniform", lambda bits: (seen.append(bits.size), real(bits))[1])
+    draw = sc.GumbelMax(block, 11)
+    for at in range(0, n, 2500):
+        order = np.argsort(ids[at:at + 2500])
+        draw.add(ids[at:at + 2500][order], V[at:at + 2500][order])
+    got = {r["qid"]: (r["id"], r["score"]) for r in draw.table().to_pylist()}
+    worked_out = sum(seen)
+    u = sc.uniform01(11, block.qid[None, :].repeat(n, 0), ids[:, None].repeat(q, 1))
+    with np.errstate(invalid="ignore"):
+        scores = V @ Q.T - np.log(-np.log(u))
+    scores[np.isnan(scores)] = -np.inf
+    best = scores.argmax(axis=0)
+    assert {k: v[0] for k, v in got.items()} == dict(zip((np.arange(q) * 7).tolist(), ids[best].tolist()))
+    assert np.allclose([got[k][1] for k in block.qid.tolist()], scores[best, np.arange(q)])
+    assert worked_out < 0.5 * n * q
