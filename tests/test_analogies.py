@@ -76,3 +76,14 @@ def test_three_word_vocabulary_has_no_candidate(spark):
     r = pred.first()
     assert r.pred == 0 and not r.correct
     assert summary.first().overall == 0.0
+
+
+def test_normalize_works_out_its_vector_once(spark):
+    """The norm of a computed vector is no part of the lambda over components."""
+    from wordpair.functions.vec import normalize, vadd
+    df = spark.createDataFrame([(1, [3.0, 4.0], [0.0, 0.0]), (2, [0.0], [0.0]), (3, None, [1.0])],
+                               "id int, a array<double>, b array<double>")
+    out = df.select("id", normalize(vadd("a", "b")).alias("n"))
+    got = {r["id"]: r["n"] for r in out.collect()}
+    assert got[1] == [0.6, 0.8] and got[2][0] != got[2][0] and got[3] is None
+    assert out._jdf.queryExecution().analyzed().toString().count("zip_with") == 1
