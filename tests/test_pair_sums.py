@@ -90,3 +90,16 @@ def test_pairs_are_not_shuffled_as_rows(spark):
     assert met.agg(F.sum("n")).first()[0] == 4
     plan = _plan(met)
     assert "collect_set" not in plan and "rows#" in plan
+
+
+def test_sums_of_any_size_come_back():
+    """Keys and counts that do not fit one number, and negative counts."""
+    rng = np.random.default_rng(7)
+    for top, low in ((1 << 10, 1), (1 << 40, 1), (1 << 10, -5)):
+        keys = rng.integers(0, 1 << 52, 300, dtype=np.uint64)[rng.integers(0, 300, 900)]
+        counts = rng.integers(low, top, 900)
+        want = {}
+        for k, x in zip(keys.tolist(), counts.tolist()):
+            want[k] = want.get(k, 0) + x
+        k, x = pair_sums._summed_bucket(keys, counts)
+        assert k.tolist() == sorted(want) and dict(zip(k.tolist(), x.tolist())) == want
