@@ -89,3 +89,18 @@ def test_punctuation_after_a_word_needs_no_whole_tokenizer(monkeypatch):
     monkeypatch.setattr(enc, "_whole", lambda w, real=enc._whole: (asked.append(w), real(w))[1])
     got = [x.tolist() for x in enc.encode_many([(w + m).encode() for w in words for m in marks])]
     assert got == want and sorted(asked) == sorted(marks)
+
+
+def test_a_table_that_forgets_stays_in_order_of_places():
+    """What stays is cut out of the table as a whole: places count up, and ids lie between starts."""
+    enc = word_bpe.WordEncoder(PATH, max_words=20)
+    words = [w.encode() for w in "the cat éc word.,;: onetwo <| ndoüng x l's Don't".split()]
+    want = {w: enc.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words}
+    list(enc._expand([np.array([enc.places[w] for w in words] + [enc.places[w] for w in words[::3]])]))
+    enc._forget()
+    assert set(enc.places) == set(words[::3]) and list(enc.places.values()) == list(range(len(enc.places)))
+    ends = [*enc.starts, len(enc.ids)]
+    assert {w: enc.ids[ends[k]:ends[k + 1]].tolist() for w, k in enc.places.items()} == {w: want[w] for w in words[::3]}
+    enc.places[b"again"]
+    assert enc.places[b"again"] == len(enc.starts) - 1
+    assert [x.tolist() for x in enc.encode_many(words)] == list(want.values())

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 
@@ -62,8 +63,7 @@ class WordEncoder:
         self.places = _Places(self._add)
         self.marks: dict[str, list[int]] = {}
         self.ids = array("I")
-        self.starts = array("q")
-        self.sizes = array("q")
+        self.starts = array("q")           # of each place; its ids end where the next one's start
         self.met = np.zeros(0, np.int64)   # how often each place was looked up
 
     def _forget(self) -> None:
@@ -72,17 +72,17 @@ class WordEncoder:
         met = self.met
         most = len(met) - self.max_words // 2
         least = max(2, int(np.partition(met, most)[most]) + 1) if most > 0 else 2
-        words, ids = [w for w, k in self.places.items() if met[k] >= least], self.ids
-        kept = [(w, ids[self.starts[k]:self.starts[k] + self.sizes[k]]) for w, k in
-                zip(words, map(self.places.__getitem__, words), strict=True)]
-        if sum(len(x) for _, x in kept) > 8 * self.max_words:
-            kept = []
+        kept = met >= least
+        # a word's place is its number in the table, so the table's order is that of places
+        words = list(compress(self.places, kept.tolist()))
+        size = np.diff(self.starts, append=len(self.ids))
+        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(kept, size)]
+        size = size[kept]
         self.clear()
-        for w, x in kept:
-            self.places[w] = len(self.starts)
-            self.starts.append(len(self.ids))
-            self.sizes.append(len(x))
-            self.ids.extend(x)
+        if len(ids) <= 8 * self.max_words:
+            self.places.update(zip(words, range(len(words))))
+            self.starts.frombytes((np.cumsum(size) - size).astype(np.int64).tobytes())
+            self.ids.frombytes(ids.tobytes())
         self.met = np.zeros(len(self.starts), np.int64)
 
     def _whole(self, word: str) -> list[int]:
@@ -90,7 +90,7 @@ class WordEncoder:
 
     def _add(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
-        m = _PLAIN(text.lower())
+        m = _PLAIN(text) or _PLAIN(text.lower())
         if m is None:
             ids = self._whole(text)
         else:
@@ -103,7 +103,6 @@ class WordEncoder:
                     self.marks[mark] = self._whole(mark)
                 ids += self.marks[mark]
         self.starts.append(len(self.ids))
-        self.sizes.append(len(ids))
         self.ids.extend(ids)
         return len(self.starts) - 1
 
@@ -113,8 +112,9 @@ class WordEncoder:
         met = np.bincount(k, minlength=len(self.starts))
         met[:len(self.met)] += self.met
         self.met = met
-        size = np.frombuffer(self.sizes, np.int64)[k] if len(k) else np.zeros(0, np.int64)
-        start = np.frombuffer(self.starts, np.int64)[k] if len(k) else size
+        starts = np.array(self.starts, np.int64)
+        size = np.diff(starts, append=len(self.ids))[k]
+        start = starts[k]
         end = np.cumsum(size)
         at = np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
         flat = np.frombuffer(self.ids, np.uint32)[at] if len(at) else np.zeros(0, np.uint32)
