@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -6,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 
+from wordpair.llm import memory
 from wordpair.llm import ngram_join as nj
 from wordpair.llm.shingles import shingle_hashes, word_hashes
 
@@ -194,6 +196,37 @@ def test_a_bucket_sends_a_row_a_range(bits):
     assert got == want
 
 
+def test_a_bucket_takes_little_memory():
+    """Counting a bucket takes a few numbers a posting beside the table."""
+    rng = np.random.default_rng(5)
+    n, keys = 200_000, rng.integers(-2**63, 2**63 - 1, 1000)
+    rows = 4
+    place = [rng.integers(0, len(keys), n // rows).astype("<u2").tobytes() for _ in range(rows)]
+    hashes = [rng.integers(0, 2**32, n // rows).astype("<u4").tobytes() for _ in range(rows)]
+    t = pa.table({"bucket": pa.array([0] * rows, pa.int64()),
+                  "keys": pa.array([keys.astype("<i8").tobytes()] * rows, pa.binary()),
+                  "texts": pa.array(place, pa.binary()), "hashes": pa.array(hashes, pa.binary())})
+    tracemalloc.start()
+    try:
+        nj._shared_of(t)
+        assert tracemalloc.get_traced_memory()[1] < 40 * n
+    finally:
+        tracemalloc.stop()
+
+
+def test_groups_give_back_memory(monkeypatch):
+    """A worker that counted or searched a group does not keep its peak."""
+    ended = []
+    monkeypatch.setattr(memory, "give_back", lambda: ended.append(1))
+    one = np.array([7], "<i8").tobytes()
+    t = pa.table({"bucket": [0], "keys": [one], "texts": [b"\0\0"], "hashes": [b"\1\0\0\0"]})
+    nj._count_shared(8)(t)
+    nj._add_shared(pa.table({"keys": [one], "counts": [b"\1\0\0\0"]}))
+    none = pa.array([], pa.list_(pa.int64()))
+    nj._search_block(75)(pa.table({"k": [], "label": [], "query": [], "hashes": none}))
+    assert len(ended) == 3
+
+
 def test_the_prefix_keeps_the_overlap():
     """What step 2 asks of a text is met by every text that has a partner."""
     rng = np.random.default_rng(1)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordpair.llm.components import components
-from wordpair.llm.memory import trimmed
+from wordpair.llm.memory import trimmed, trimmed_group
 from wordpair.llm.shingles import shingle_hashes
 from wordpair.llm.store import columns_of, new_name, temporary, written
 
@@ -106,12 +106,15 @@ def _prefix_postings(rows: DataFrame, words: int, percent: int, bits: int) -> Da
     def send(block: dict[bytes, np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys = np.array([int.from_bytes(k[:8], "little", signed=True) for k in block], np.int64)
         h = np.concatenate(list(block.values()))
-        text = np.repeat(np.arange(len(keys)), [len(x) for x in block.values()])
+        text = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(x) for x in block.values()])
+        block.clear()
         order = np.argsort(h, kind="stable")
         h, text = h[order], text[order]
+        del order
         first = np.concatenate([[True], h[1:] != h[:-1]])
-        several = np.diff(np.append(np.flatnonzero(first), len(h))) > 1
-        several_row = np.repeat(several, np.diff(np.append(np.flatnonzero(first), len(h))))
+        size = np.diff(np.append(np.flatnonzero(first), len(h)))
+        several_row = np.repeat(size > 1, size)
+        del size
         shared = np.bincount(text[several_row], minlength=len(keys))
         some = np.flatnonzero(shared)
         none = pa.nulls(len(some), pa.binary())
@@ -119,9 +122,9 @@ def _prefix_postings(rows: DataFrame, words: int, percent: int, bits: int) -> Da
             [pa.array(-1 - (keys[some] & ((1 << bits) - 1))), none, none, none, pa.array(keys[some]),
              pa.array(shared[some].astype(np.int64))],
             names=["bucket", "keys", "texts", "hashes", "key64", "shared"])
-        keep = first
-        h = h[keep]
-        text = np.where(several_row[keep], len(keys), text[keep])
+        h, text = h[first], text[first]
+        text[several_row[first]] = len(keys)
+        del first, several_row
         keys = np.append(keys, SEVERAL)
         bucket = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
         low = ((h >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -166,24 +169,31 @@ def _shared_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """One bucket's postings -> texts and how many shingles another text has too."""
     if table.column("bucket")[0].as_py() < 0:
         return _added(table.column("key64").to_numpy(), table.column("shared").to_numpy())
-    hashes, keys = [], []
+    # a posting is one number: its hash above its text's number, so that plain numbers are sorted in place
+    texts = np.unique(np.concatenate([np.frombuffer(k.as_buffer(), "<i8") for k in table.column("keys")]))
+    found = np.empty(sum(h.as_buffer().size // 4 for h in table.column("hashes")), np.uint64)
+    at = 0
     for k, t, h in zip(*(table.column(c) for c in ("keys", "texts", "hashes")), strict=True):
-        k, h = np.frombuffer(k.as_buffer(), "<i8"), np.frombuffer(h.as_buffer(), "<u4")
-        t = t.as_buffer()
-        keys.append(k[np.frombuffer(t, "<u4" if t.size == 4 * len(h) else "<u2")])
-        hashes.append(h)
-    h, key = np.concatenate(hashes), np.concatenate(keys)
-    order = np.argsort(h, kind="stable")
-    h, key = h[order], key[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    size = np.diff(np.append(first, len(h)))
-    differ = (np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)) | \
-        (np.maximum.reduceat(np.where(key == SEVERAL, 1, 0), first) > 0)
-    row = np.repeat(differ & (size >= 1), size) & (key != SEVERAL)
+        number = np.searchsorted(texts, np.frombuffer(k.as_buffer(), "<i8")).astype(np.uint64)
+        h, t = np.frombuffer(h.as_buffer(), "<u4"), t.as_buffer()
+        mine = found[at:at + len(h)]
+        mine[:] = h
+        mine <<= np.uint64(32)
+        mine |= number[np.frombuffer(t, "<u4" if t.size == 4 * len(h) else "<u2")]
+        at += len(h)
+    found.sort()
     # copies of a text in other tasks must not count a shingle twice
-    pairs = np.unique(np.stack([key[row], h[row].astype(np.int64)]), axis=1)[0] if row.any() \
-        else np.zeros(0, np.int64)
-    return np.unique(pairs, return_counts=True)
+    found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+    h = (found >> np.uint64(32)).astype(np.uint32)
+    number = found.astype(np.uint32)   # the low half
+    del found
+    # another text has the shingle too: the posting before or after has its hash
+    equal = h[1:] == h[:-1]
+    several = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
+    counts = np.bincount(number[several], minlength=len(texts))
+    counts[texts == SEVERAL] = 0
+    some = np.flatnonzero(counts)
+    return texts[some], counts[some]
 
 
 def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,6 +208,7 @@ def _count_shared(range_bits: int):
     """One bucket's postings -> counts packed by range of the text keys
     (``range, keys, counts``), so a bucket sends at most 2**range_bits rows."""
 
+    @trimmed_group
     def count(table: pa.Table) -> pa.Table:
         keys, counts = _shared_of(table)
         range_ = keys >> np.int64(64 - range_bits)
@@ -211,6 +222,7 @@ def _count_shared(range_bits: int):
     return count
 
 
+@trimmed_group
 def _add_shared(table: pa.Table) -> pa.Table:
     """The packed counts of one range of text keys -> ``key64, shared``."""
     keys = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in table.column("keys")])
@@ -300,6 +312,7 @@ class Inverted:
 
 
 def _search_block(percent: int):
+    @trimmed_group
     def search(table: pa.Table) -> pa.Table:
         k, label, query = (table.column(c).to_pylist() for c in ("k", "label", "query"))
         sets = [np.array(x.values.to_numpy(), np.int64) for x in table.column("hashes")]
