@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wordpair.operators import pair_blocks, pair_sums
 from wordpair.operators.cooccur import cooccurrence, merge_counts
 from wordpair.operators.pairs_arrow import window_pairs_kernel
+from wordpair.plans import catalog
 from wordpair.sources.corpus import document_tokens
 
 
@@ -103,3 +104,31 @@ def test_sums_of_any_size_come_back():
             want[k] = want.get(k, 0) + x
         k, x = pair_sums._summed_bucket(keys, counts)
         assert k.tolist() == sorted(want) and dict(zip(k.tolist(), x.tolist())) == want
+
+
+def _sums(df):
+    return {(r.w1, r.w2): r.x for r in df.collect()}
+
+
+@pytest.mark.parametrize("method", ["scan", "sorted", "blocks"])
+def test_packed_counts_are_merged_with_rows(spark, method):
+    vocab = spark.createDataFrame([(i + 1, w, 5) for i, w in enumerate("abcdef")], "id int, word string, count long")
+    one, two = (document_tokens(spark.createDataFrame(rows, "doc_id long, text string")) for rows in
+                ([(k, "a b c a d") for k in range(9)], [(k, "f e d c") for k in range(5)] + [(7, None)]))
+    rows = spark.createDataFrame([(1, 2, 100), (None, 2, 1), (3, 6, None)], "w1 int, w2 int, x long")
+    counts = [cooccurrence(t, vocab, 3, method=method, packed=True) for t in (one, two)]
+    want = cooccurrence(one, vocab, 3).unionByName(cooccurrence(two, vocab, 3)).unionByName(rows) \
+        .groupBy("w1", "w2").agg(F.sum("x").alias("x"))
+    assert _sums(merge_counts(*counts, rows)) == _sums(want)
+    assert _sums(merge_counts(counts[0])) == _sums(cooccurrence(one, vocab, 3))
+
+
+def test_halves_are_shuffled_and_added_up_once(spark, tmp_path):
+    """merged_pairs_documents: the halves' sums do not become rows before they are merged."""
+    rows = [(k, "a b c a d e f a b") for k in range(20)] + [(3, "b a f"), (4, None), (None, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    merged = catalog.q_merged_pairs_documents(spark, str(tmp_path))
+    assert _plan(merged).count("hashpartitioning(bucket") == 1
+    kept = document_tokens(docs.where("doc_id is not null"))
+    assert _sums(merged) == _sums(cooccurrence(kept, catalog.doc_vocab(spark, str(tmp_path)), catalog.WINDOW))
